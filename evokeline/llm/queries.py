@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import line_dedup, minhash, packing, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_document_fingerprints": minhash.op6_document_fingerprints,
+    "op7_secret_scans": secret_scan.op7_secret_scans,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
+}
