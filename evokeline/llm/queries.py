@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, packing, secret_scan, sharding, simhash, toxicity
+from . import html_text, line_dedup, media, minhash, packing, pieces, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_document_fingerprints": minhash.op6_document_fingerprints,
     "op7_secret_scans": secret_scan.op7_secret_scans,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_media_columns": media.op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
