@@ -41,7 +41,7 @@ def cont_signal(spark: SparkSession, d: str) -> DataFrame:
 def score_matrix(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("subject"), F.month("l_shipdate").alias("t")).agg((F.avg("l_discount") * 10).alias("score"))
     place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return line.join(place.select(F.col("s_suppkey").alias("subject"), F.col("r_name").alias("grp")), "subject").select("grp", "subject", "t", F.round("score", 6).alias("score"))
+    return line.join(place.select(F.col("s_suppkey").alias("subject"), F.col("r_name").alias("grp")), "subject").select("grp", "subject", "t", F.round("score", 9).alias("score"))
 
 
 def pair_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ VIEWS = {
     "trial_long": "trial_long AS (SELECT vec_id % 5 AS subject, vec_id AS trial, cast((i - 1) // 8 AS INT) AS channel, cast((i - 1) % 8 AS INT) AS t, cast(embedding[i] AS DOUBLE) AS x, label FROM (SELECT vec_id, embedding, label, unnest(range(1, 65)) AS i FROM embeddings))",
     "event_seq": f"event_seq AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts, {_case()} AS code, value FROM events)",
     "event_names": "event_names AS (SELECT user_id AS subject, event_id, event_type || '/' || cast(event_id % 3 AS VARCHAR) AS name FROM events)",
-    "score_matrix": "score_matrix AS (SELECT r_name AS grp, subject, t, round(score, 6) AS score FROM (SELECT l_suppkey AS subject, cast(month(l_shipdate) AS INT) AS t, avg(l_discount) * 10 AS score FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = subject JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
+    "score_matrix": "score_matrix AS (SELECT r_name AS grp, subject, t, round(score, 9) AS score FROM (SELECT l_suppkey AS subject, cast(month(l_shipdate) AS INT) AS t, avg(l_discount) * 10 AS score FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = subject JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "prediction": "prediction AS (SELECT doc_id AS trial, quality AS y, cast(n_chars AS DOUBLE) AS score, CASE WHEN n_chars > (SELECT quantile_cont(cast(n_chars AS DOUBLE), 0.5) FROM labels JOIN documents USING (doc_id)) THEN 1 ELSE 0 END AS yhat FROM labels JOIN documents USING (doc_id))",
 }
 VIEWS["cont_signal"] = VIEWS["event_seq"] + ", cont_signal AS (SELECT subject, 'a' AS channel, seq AS sample, value AS x FROM event_seq UNION ALL SELECT subject, 'b', seq, coalesce(lead(value) OVER (PARTITION BY subject ORDER BY seq), 0) FROM event_seq)"
