@@ -2,8 +2,8 @@
 
 The five-word shingles of a text are hashed once. The upper bits of a hash name one of 128 bins; sorting the hashes puts
 a bin's smallest one first. An empty bin takes the value of another one, found by a probe sequence of its own that all
-texts share and that visits every bin (optimal densification: each empty bin draws independently). The low four bits
-of the bins are packed into eight longs, 128 hexadecimal digits.
+texts share and that visits every bin (optimal densification: each empty bin draws independently); it is hashed once more
+with the bin, so texts of few shingles don't agree everywhere by the chance of one value. The low four bits of the bins are packed into eight longs, 128 hexadecimal digits.
 
 Two fingerprints agree in a bin by chance with probability C = 1/16, so the share m of equal bins estimates the
 resemblance as (m - C) / (1 - C), cut at 0 and 1.
@@ -20,6 +20,7 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,8 @@ LOW_BITS = 4
 PACK = 64 // LOW_BITS
 #: Blocks of neighbours for each shuffle partition; the bounds of all blocks go through the driver.
 BLOCKS = 4
+#: Probes that are tried one by one before all of a bin's probes are listed.
+FEW = 6
 
 
 def words(text: str | Column) -> Column:
@@ -50,10 +53,11 @@ def shingle_hashes(tokens: str, n: int = SHINGLE) -> Column:
     return hashed, F.when(F.size("_hashed") >= n, runs).otherwise(F.array(F.xxhash64(F.array_join(tokens, " "))))
 
 
-def _probe(bin_: Column, k: Column) -> Column:
-    """The bin that the ``k``-th probe of an empty bin looks into: an odd step, so all bins come up."""
-    salt = F.xxhash64(bin_)
-    return F.pmod(salt + k * (F.pmod(F.shiftright(salt, 20), F.lit(BINS // 2)) * 2 + 1), F.lit(BINS)).cast("int")
+def _draws() -> tuple[Column, Column]:
+    """For each bin the first probe and the odd step of the next ones, so a bin's probes visit all bins."""
+    draw = random.Random(BINS)
+    first, step = zip(*[(draw.randrange(BINS), 2 * draw.randrange(BINS // 2) + 1) for _ in range(BINS)], strict=True)
+    return F.array(*map(F.lit, first)), F.array(*map(F.lit, step))
 
 
 def fingerprint_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -65,13 +69,15 @@ def fingerprint_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
     of = lambda x: F.shiftrightunsigned(x, shift).cast("int")
     firsts = F.filter("_sorted", lambda x, i: (i == 0) | (of(x) != of(F.get("_sorted", i - 1))))
     df = df.withColumn("_firsts", firsts).withColumn("_bins", F.transform("_firsts", of)).drop("_words", "_hashed", "_sorted")
-    place = lambda b: F.array_position("_bins", b).cast("int") - 1
-    probes = F.sequence(F.lit(0), F.lit(BINS - 1))
-    filled = lambda b: F.get(F.filter(F.transform(probes, lambda k: place(_probe(b, k))), lambda p: p >= 0), F.lit(0))
-    value = lambda b: F.get("_firsts", F.when(F.array_contains("_bins", b), place(b)).otherwise(filled(b)))
-    df = df.withColumn("_values", F.transform(probes, lambda b: value(b).bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
+    every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    df = df.withColumn("_dense", F.transform(every, lambda b: F.get("_firsts", F.array_position("_bins", b).cast("int") - 1))).drop("_firsts", "_bins")
+    first, step = _draws()
+    probe = lambda b, k: F.get("_dense", (F.get(first, b) + F.get(step, b) * k).bitwiseAND(F.lit(BINS - 1)))
+    last = lambda b: F.get(F.filter(F.transform(every, lambda k: probe(b, k)), lambda v: v.isNotNull()), F.lit(0))
+    value = lambda b: F.coalesce(F.get("_dense", b), F.xxhash64(F.coalesce(*[probe(b, F.lit(k)) for k in range(FEW)], last(b)), b))
+    df = df.withColumn("_values", F.transform(every, lambda b: value(b).bitwiseAND(F.lit((1 << LOW_BITS) - 1))))
     packed = [F.aggregate(F.slice("_values", 1 + at, PACK), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, LOW_BITS).bitwiseOR(x)) for at in range(0, BINS, PACK)]
-    return df.withColumn(prefix, F.array(*packed)).drop("_firsts", "_bins", "_values")
+    return df.withColumn(prefix, F.array(*packed)).drop("_dense", "_values")
 
 
 def likeness(a: str, b: str) -> Column:
