@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 PATTERNS = {
@@ -44,6 +44,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 2000
 #: Natural log of how many times likelier a token must be as a random string.
 LEAST_RATIO = 20.0
+#: Pairs that the share of single characters counts as.
+PRIOR = 10.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -68,11 +70,13 @@ class Markov:
 
     @staticmethod
     def logs(tokens: list[str]) -> dict[str, float]:
-        pairs = Counter(x[k : k + 2] for x in tokens for k in range(len(x) - 1))
-        before = Counter()
+        """Log-probability of a character after another; rare pairs lean on how common the character is."""
+        pairs, single, before = Counter(x[k : k + 2] for x in tokens for k in range(len(x) - 1)), Counter(), Counter()
         for pair, n in pairs.items():
             before[pair[0]] += n
-        return {a + b: math.log((pairs[a + b] + 0.5) / (before[a] + 0.5 * len(ALPHABET))) for a in ALPHABET for b in ALPHABET}
+            single[pair[1]] += n
+        share = {b: (single[b] + 0.5) / (sum(single.values()) + 0.5 * len(ALPHABET)) for b in ALPHABET}
+        return {a + b: math.log((pairs[a + b] + PRIOR * share[b]) / (before[a] + PRIOR)) for a in ALPHABET for b in ALPHABET}
 
     def ratio(self, token: str) -> float:
         return sum(self.gain.get(token[k : k + 2], 0.0) for k in range(len(token) - 1))
@@ -128,7 +132,7 @@ def scan(df: DataFrame, model: Markov) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(scanned, schema)
+    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(scanned, schema)
 
 
 def hidden(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
@@ -148,7 +152,7 @@ def redact(df: DataFrame, model: Markov, mark: str = "[secret]") -> DataFrame:
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: x if x is None else hidden(x, spans(x, model), mark), na_action="ignore")
 
-    out = df.withColumn("text", cleaned("text"))
+    out = small_batches(df).withColumn("text", cleaned("text"))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
 
 
