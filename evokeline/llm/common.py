@@ -31,3 +31,16 @@ def partitions(df: DataFrame) -> int:
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows that Arrow moves to a Python worker at once. Copies of long texts are small in a file, so a split can hold far
+#: more text than its bytes; with the default of 10,000 rows a batch of them would fill a worker.
+ROWS_AT_ONCE = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session hands at most ROWS_AT_ONCE rows to Python at once from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_AT_ONCE:
+        conf.set(key, str(ROWS_AT_ONCE))
+    return df

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 # Elements of HTML by how they are treated, and words in classes and ids that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -323,7 +323,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``df`` (page_id, url, html)."""
-    pages = df.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
+    pages = small_batches(df).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
     learnt = checkpoint(wrappers(pages))
     total = learnt.agg(F.sum("pages")).first()[0] or 0
     hot = learnt.where(F.col("pages") * 256 > total).select(F.col("host").alias("hot_host"))  # 256 hosts at most

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 
 WIDTH = 64
 HEIGHT = 64
@@ -287,7 +287,7 @@ def _mapped(df: DataFrame, schema: str, kinds: list, rows) -> DataFrame:
                 out = [(doc, *row) for doc, each in zip(ids, rows(texts), strict=True) for row in each]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(made, schema)
+    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(made, schema)
 
 
 def media(df: DataFrame) -> DataFrame:

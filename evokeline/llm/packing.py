@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents, text_of
+from .common import checkpoint, documents, small_batches, text_of
 from .tokens import packed_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[: len(names)]], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)
+    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)
 
 
 class Gaps:

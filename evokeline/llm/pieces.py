@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 from .tokens import RecentWords
 
 MODEL = "piece_bpe_32k.model"
@@ -177,7 +177,7 @@ def _mapped(df: DataFrame, path: str | None, schema: str, kinds: list, row) -> D
                 rows = [(doc, *row(*own.encode(text.as_py()))) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encoded, schema)
+    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encoded, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, text_of
+from .common import checkpoint, documents, small_batches, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             bits = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
-    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(hashed, "doc_id long, bits long")
+    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(hashed, "doc_id long, bits long")
 
 
 @lru_cache(maxsize=1)
