@@ -12,3 +12,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the session's shared one; only a session without one (tests) gets a folder of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df):
+    """``df`` without its lineage, in the session's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

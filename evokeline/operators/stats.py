@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.distributions import normal_cdf, rank_sum_null, signed_rank_null, t_tail, tail
 from ..functions.hashing import sign
+from ..functions.session import cut
 
 
 def _missing(value: str) -> Column:
@@ -303,3 +304,27 @@ def label_summary(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     n = df.groupBy(*keys, y).agg(F.count(F.lit(1)).alias("n"))
     parts = [F.col(k) for k in keys] if keys else [F.lit(0)]
     return n.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*parts)))
+
+
+def islands_2d(t: DataFrame, keys: Sequence[str], a: str, b: str, stat: str, threshold: float, rounds: int = 40) -> DataFrame:
+    """(keys, cluster, n, mass): components of a matrix's cells beyond the threshold, side by side and of one sign.
+
+    Labels spread to the smallest neighbour, then jump to their label's label, so long shapes take few rounds; each round
+    is cut by a checkpoint. A cluster is named by its smallest cell, a * 2^31 + b.
+    """
+    cells = t.where(F.abs(stat) > threshold).select(*keys, F.signum(stat).cast("int").alias("_side"), (F.col(a).cast("long") * F.lit(1 << 31) + F.col(b)).alias("_id"), F.col(stat).alias("_stat"))
+    own = [*keys, "_side"]
+    labels = cut(cells.withColumn("_label", F.col("_id")))
+    last = None
+    for _ in range(rounds):
+        offers = labels.select(*own, F.explode(F.array(F.col("_id"), *[F.col("_id") + d for d in (1, -1, 1 << 31, -(1 << 31))])).alias("_id"), F.col("_label").alias("_offer"))
+        least = labels.join(offers, [*own, "_id"]).groupBy(*own, "_id", "_stat").agg(F.min("_offer").alias("_label"))
+        jump = least.select(*own, F.col("_id").alias("_label"), F.col("_label").alias("_next"))
+        labels = cut(least.join(jump, [*own, "_label"]).select(*own, "_id", "_stat", F.least("_label", "_next").alias("_label")))
+        now = labels.agg(F.sum(F.col("_label").cast("decimal(38,0)"))).first()[0]
+        if now == last:
+            break
+        last = now
+    else:
+        raise RuntimeError("clusters did not settle")
+    return labels.groupBy(*own, "_label").agg(F.count(F.lit(1)).alias("n"), F.sum("_stat").alias("mass")).select(*keys, F.col("_label").alias("cluster"), "n", "mass")

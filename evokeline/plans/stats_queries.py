@@ -261,3 +261,16 @@ def _limits(spark: SparkSession, d: str) -> DataFrame:
 @query("label_summary", V.sql("prediction", "SELECT trial % 3 AS g, y, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY trial % 3), 6) AS percent FROM prediction GROUP BY 1, 2"))
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.label_summary(V.prediction(spark, d).withColumn("g", F.col("trial") % 3), ["g"], "y"), "percent")
+
+
+GRID_SQL = """WITH RECURSIVE """ + V.VIEWS["trial_long"] + """, tm AS (SELECT subject, channel, t, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS st FROM trial_long GROUP BY ALL),
+ nd AS (SELECT subject, sign(st) AS sd, cast(channel AS BIGINT) * 2147483648 + t AS id, st FROM tm WHERE abs(st) > 0.6),
+ re AS (SELECT subject, sd, id, id AS root FROM nd UNION SELECT n.subject, n.sd, n.id, r.root FROM re r JOIN nd n ON n.subject = r.subject AND n.sd = r.sd AND (n.id - r.id) IN (1, -1, 2147483648, -2147483648)),
+ lb AS (SELECT subject, sd, id, min(root) AS cluster FROM re GROUP BY ALL)
+ SELECT subject, cluster, count(*) AS n, round(sum(st), 6) + 0 AS mass FROM lb JOIN nd USING (subject, sd, id) GROUP BY subject, sd, cluster"""
+
+
+@query("cluster_matrix", GRID_SQL)
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    t = V.trial_long(spark, d).groupBy("subject", "channel", "t").agg((F.avg("x") / (F.stddev_samp("x") / F.sqrt(F.count("x")))).alias("st"))
+    return rounded(T.islands_2d(t, ["subject"], "channel", "t", "st", 0.6), "mass")

@@ -149,3 +149,10 @@ def test_empty_tables(spark):
     assert decode.sliding_auc(none, decode.stratified_folds(none, ["subject"], 5, 1), ["subject"]).count() == 0
     assert signal.reject_ptp(none, spark.createDataFrame([(0, 1.0)], "channel int, ptp_limit double")).count() == 0
     assert stats.cluster_permutation(none.withColumnRenamed("x", "score"), ["channel"], "t", 0.0, 5).count() == 0
+
+
+def test_matrix_clusters(spark):
+    snake = [(0, b) for b in range(9)] + [(1, 8), (2, 8)] + [(2, b) for b in range(8)] + [(3, 0), (4, 0)]
+    rows = [(a, b, 2.0) for a, b in snake] + [(0, 11, 3.0), (4, 5, -2.0), (4, 6, -2.0), (4, 1, -2.0), (3, 5, 0.1)]
+    got = sorted((r["n"], r["mass"]) for r in stats.islands_2d(spark.createDataFrame(rows, "a int, b int, tval double"), [], "a", "b", "tval", 1.0).collect())
+    assert got == [(1, -2.0), (1, 3.0), (2, -4.0), (21, 42.0)]
