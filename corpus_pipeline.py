@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evokeline.llm import line_dedup, packing, secret_scan, simhash, toxicity
+from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicity
 from evokeline.llm.common import checkpoint, documents
 
 
@@ -19,8 +19,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of linked fingerprints."""
-    return simhash.first_of_each(docs)
+    """The first document of each group whose five-word shingles resemble by 0.8 or more."""
+    return near_copies.first_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
