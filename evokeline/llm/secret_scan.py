@@ -7,7 +7,10 @@ log-likelihood ratio; tokens above the threshold are spans of the kind ``markov`
 The models are trained from labelled samples: values that the patterns match are random strings, other tokens of the
 texts are ordinary. ``SAMPLE`` rows with patterns and as many of all rows are drawn by the hash of their id; that is the one bounded
 sample, and scanning covers every whole text. Counts are smoothed, so a corpus without secrets still gives models: a
-flat one for random strings. The threshold is the larger of ``LEAST_RATIO`` and the highest ratio of an ordinary token.
+flat one for random strings. Ordinary tokens aren't labelled and may be secrets that no pattern knows, so the first model
+of the ordinary class has the short ones alone: long ones join it whose ratio for each pair of characters is nearer to
+theirs than to that of the labelled random strings (by medians). A span's ratio is above ``LEAST_RATIO``, and for
+each pair above zero and above the ``QUANTILE`` of the long ordinary tokens that stayed; one token can't lift it.
 
 Null texts are empty and have no spans. Spans are in code points, end exclusive, by start and then by kind in the order
 of ``KINDS``. Repeated rows give repeated results, empty tables empty ones; other columns are ignored by ``scan`` and kept
@@ -21,6 +24,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from random import Random
+from statistics import median
 
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +49,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 2000
 #: Natural log of how many times likelier a token must be as a random string.
 LEAST_RATIO = 20.0
+#: Share of the long ordinary tokens that are no span.
+QUANTILE = 0.99
 #: Pairs that the share of single characters counts as.
 PRIOR = 10.0
 
@@ -64,9 +71,23 @@ class Markov:
     """The log-likelihood ratio of a token, random string against ordinary identifier, by pairs of characters."""
 
     def __init__(self, random: list[str], ordinary: list[str]):
+        draw = Random(SAMPLE)
+        known = [x for x in random if len(x) > 1] or ["".join(draw.choices(ALPHABET, k=40)) for _ in range(100)]  # as the flat model has them
+        short = [x for x in ordinary if len(x) < 20]
+        self.fit(random, short)
+        middle = self.middle(known, short or ordinary)
+        ordinary = short + [x for x in ordinary if len(x) >= 20 and self.rate(x) <= middle[0]]
+        self.fit(random, ordinary)
+        rates = sorted(self.rate(x) for x in ordinary if len(x) >= 20)
+        self.least = max([0.0, *rates[int(QUANTILE * (len(rates) - 1)) :][:1]])
+
+    def fit(self, random: list[str], ordinary: list[str]) -> None:
         tables = [self.logs(x) for x in (random, ordinary)]
         self.gain = {pair: tables[0][pair] - tables[1][pair] for pair in tables[0]}
-        self.least = max([LEAST_RATIO, *(self.ratio(x) for x in ordinary if len(x) >= 20)])
+
+    def middle(self, random: list[str], ordinary: list[str]) -> list[float]:
+        """The rate half way between those of random and ordinary tokens; none without ordinary ones."""
+        return [(median(map(self.rate, random)) + median(map(self.rate, ordinary))) / 2] if ordinary else []
 
     @staticmethod
     def logs(tokens: list[str]) -> dict[str, float]:
@@ -81,6 +102,12 @@ class Markov:
     def ratio(self, token: str) -> float:
         return sum(self.gain.get(token[k : k + 2], 0.0) for k in range(len(token) - 1))
 
+    def rate(self, token: str) -> float:
+        return self.ratio(token) / max(1, len(token) - 1)
+
+    def secret(self, token: str) -> bool:
+        return self.ratio(token) > LEAST_RATIO and self.rate(token) > self.least
+
 
 def train(df: DataFrame, sample: int = SAMPLE) -> Markov:
     """Models from about ``sample`` rows that may hold pattern matches and as many of all rows."""
@@ -106,7 +133,7 @@ def spans(text: str, model: Markov) -> list[tuple[int, int, int]]:
     base = [x[:3] for x in base_spans(text)]
     added = []
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and model.ratio(m[0]) > model.least:
+        if not any(a < m.end() and m.start() < b for a, _, b in base) and model.secret(m[0]):
             added.append((m.start(), 3, m.end()))
     return sorted(base + added)
 
