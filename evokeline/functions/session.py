@@ -5,18 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a session on one machine (tests) may go without: it gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared one; only a session without one (tests) gets a folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the session's shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df):
+def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, in the session's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch`` named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

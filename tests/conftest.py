@@ -1,22 +1,20 @@
-import os
-import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="spark-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.local.dir", f"{folder}/local")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
