@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with files in the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """Cut the lineage of ``df`` with files in the cluster's shared checkpoint folder."""
+    return cut(df)
 
 
 def partitions(df: DataFrame) -> int:
@@ -33,14 +29,39 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Rows that Arrow moves to a Python worker at once. Copies of long texts are small in a file, so a split can hold far
-#: more text than its bytes; with the default of 10,000 rows a batch of them would fill a worker.
-ROWS_AT_ONCE = 256
+#: Bytes of a table that is broadcast at most, as rows of so many bytes beside its arrays and texts.
+BROADCAST = 32 << 20
+
+
+def bounded(df: DataFrame, width: int) -> DataFrame:
+    """``df``, which is checkpointed and has ``width`` bytes a row or so, with a hint to broadcast it if it is small enough."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST else df
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, none of which ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows and bytes of an Arrow batch that a function works on at once. Spark bounds the bytes of whole batches itself
+#: (spark.sql.execution.arrow.maxBytesPerBatch); what Python makes of them is larger.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 4 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; its session hands at most ROWS_AT_ONCE rows to Python at once from now on."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ROWS_AT_ONCE:
-        conf.set(key, str(ROWS_AT_ONCE))
-    return df
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ROWS_AT_ONCE rows and, beyond one row, about BYTES_AT_ONCE bytes."""
+    at, rows = 0, ROWS_AT_ONCE
+    while at < len(batch):
+        part = batch.slice(at, rows)
+        if part.nbytes > BYTES_AT_ONCE and len(part) > 1:
+            rows = len(part) // 2
+            continue
+        yield part
+        at, rows = at + len(part), min(ROWS_AT_ONCE, 2 * rows)
