@@ -18,3 +18,26 @@ def test_unlabelled_secrets_in_the_training_rows(spark):
     assert [x for x in secrets if x not in [r for t in rows for a, k, b in secret_scan.spans(t, model) if k == 3 for r in [t[a:b]]]] == []
     assert sum(k == 3 for t in rows for _, k, _ in secret_scan.spans(t, model)) == len(secrets)
     assert all("[secret]" in r["text"] for r in secret_scan.redact(df.where("doc_id >= 300"), model).collect())
+
+
+LETTERS = string.ascii_letters + string.digits
+WAYS = {"base62": LETTERS, "base64url": LETTERS + "-_", "lower": string.ascii_lowercase + string.digits, "base64": LETTERS + "+/", "base32": string.ascii_uppercase + "234567"}
+ORDINARY = "getUserNameFromRequest internationalisation the_quick_brown_fox_jumps Content-Security-Policy-Report-Only AbstractSingletonProxyFactoryBean application/vnd/openxmlformats usr/local/lib/python3/dist-packages antidisestablishmentarianism MAX_CONNECTION_POOL_SIZE_DEFAULT src/main/java/com/example/service/UserServiceImpl Donaudampfschifffahrtsgesellschaft anticonstitutionnellement abcdefghijklmnopqrstuvwxyz".split()
+
+
+def test_planted_tokens(docs):
+    """Nine of ten tokens of each alphabet from 20 characters on are found; rulers and ordinary identifiers aren't."""
+    model, draw = secret_scan.train(docs), random.Random(21)
+    for letters in WAYS.values():
+        for n in (20, 24, 40):
+            tokens = ["".join(draw.choices(letters, k=n)) for _ in range(200)]
+            assert sum(secret_scan.spans(f"see {t} here", model) == [(4, 3, 4 + n)] for t in tokens) >= 180
+    for x in [*ORDINARY, "-" * 30, "=" * 64, "-=" * 20, "_" * 500, "0" * 40 + "x", "1234567890" * 3]:
+        assert [k for _, k, _ in secret_scan.spans(f"see {x} here", model) if k == 3] == []
+
+
+def test_sample_is_the_same_with_repeated_ids(spark):
+    rows = [(None, f"text {k} with some Words{k % 7}OfLongNames{k}AndMore and token: abcdef{k:08x}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [secret_scan.train(df.repartition(n), 40) for n in (1, 5)]
+    assert models[0].least == models[1].least and (models[0].random == models[1].random).all()
