@@ -47,43 +47,56 @@ def tail_sql(z: str, alternative: str) -> str:
     return {"greater": f"(1e0 - {normal_cdf_sql(z)})", "less": normal_cdf_sql(z), "two-sided": f"least(1e0, 2 * (1e0 - {normal_cdf_sql(f'abs({z})')}))"}[alternative]
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - incomplete_beta(b, a, 1.0 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function by Stirling's series, after moving the argument up to 10 or more."""
+    x = np.asarray(x, float)
+    up = np.maximum(0, np.ceil(10 - x))
+    shift = sum((np.where(up > k, np.log(np.where(up > k, x + k, 1.0)), 0.0) for k in range(int(up.max(initial=0)))), np.zeros_like(x))
+    z = x + up
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz), for arrays with 0 < x < 1."""
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a
+    safe = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1.0 / safe(1.0 - (a + b) * x / (a + 1))
     value = d
     for m in range(1, 500):
         for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + numerator * d
-            c = 1.0 + numerator / c
-            d, c = 1.0 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            value *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+            d, c = 1.0 / safe(1.0 + numerator * d), safe(1.0 + numerator / c)
+            value = value * c * d
+        if np.all(np.abs(c * d - 1.0) < 1e-15):
             break
-    return front * value
-
-
-def t_sf(t: float, df: float) -> float:
-    """P(T > t) of Student's t."""
-    if not df > 0 or math.isnan(t):
-        return math.nan
-    half = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
-    return half if t >= 0 else 1.0 - half
+    return np.where(turned, 1.0 - front * value, front * value)
+
+
+def t_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(T > t) of Student's t; nothing known gives nothing."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    out = np.full(t.shape, np.nan)
+    known = (df > 0) & ~np.isnan(t)
+    out[known & np.isinf(t)] = np.where(t[known & np.isinf(t)] > 0, 0.0, 1.0)
+    out[known & (t == 0)] = 0.5
+    own = known & np.isfinite(t) & (t != 0)
+    v, n = t[own], df[own]
+    half = 0.5 * incomplete_beta(n / 2, np.full_like(n, 0.5), np.clip(n / (n + v * v), 1e-300, 1 - 1e-16))
+    out[own] = np.where(v > 0, half, 1.0 - half)
+    return out
 
 
 @lru_cache(maxsize=4)
 def t_tail(alternative: str):
     """An Arrow function (t, df) -> p."""
+    side = {"greater": lambda t, n: t_sf(t, n), "less": lambda t, n: t_sf(-t, n), "two-sided": lambda t, n: np.minimum(1.0, 2 * t_sf(np.abs(t), n))}[alternative]
 
     @F.pandas_udf("double")
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        side = {"greater": lambda a, b: t_sf(a, b), "less": lambda a, b: t_sf(-a, b), "two-sided": lambda a, b: min(1.0, 2 * t_sf(abs(a), b))}[alternative]
-        return pd.Series([side(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df, strict=True)], dtype="float64")
+        out = side(t.to_numpy(float), df.to_numpy(float))
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     return p
 

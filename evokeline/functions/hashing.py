@@ -1,34 +1,39 @@
-"""Random order and signs that any SQL engine reproduces: 64-bit integer arithmetic only."""
+"""Random order and signs that any SQL engine reproduces, for ids of any type: digits of MD5."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODULUS = 1_000_003
+#: Signs that one digest gives.
+SIGNS = 32
 
 
-def mixed(i: Column, p: Column) -> Column:
-    """A number below MODULUS for row ``i`` and draw ``p``, both at least 0; four rounds, as one alone is visibly regular."""
-    i, p, m = i.cast("long") % MODULUS, p.cast("long"), F.lit(MODULUS)
-    a = (i * 7919 + p * 104729 + i * p * 31) % m
-    a = (a * a + 12345 * a + 7) % m
-    a = (a * a + i * 31337 + p * 271) % m
-    return (a * a + 54321) % m
+def drawn(seed: int | Column, unit: Column) -> Column:
+    """A text by which an order is random: the digest of the id's text."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    return F.md5(F.concat_ws(":", seed.cast("string"), unit.cast("string")))
 
 
-def sign(i: Column, p: Column) -> Column:
-    return F.lit(1) - 2 * (mixed(i, p) % 2)
+def drawn_sql(seed: str | int, unit: str) -> str:
+    return f"md5(concat_ws(':', cast({seed} AS VARCHAR), cast({unit} AS VARCHAR)))"
 
 
-def mixed_sql(i: str, p: str) -> str:
-    m = MODULUS
-    i = f"(({i}) % {m})"
-    a = f"(({i} * 7919 + ({p}) * 104729 + {i} * ({p}) * 31) % {m})"
-    a = f"(({a} * {a} + 12345 * {a} + 7) % {m})"
-    a = f"(({a} * {a} + {i} * 31337 + ({p}) * 271) % {m})"
-    return f"(({a} * {a} + 54321) % {m})"
+def signs(unit: object, seed: int, draws: Iterable[int]) -> np.ndarray:
+    """The signs of an id in some draws, 1 or -1; draw 0 is what was observed."""
+    out, words = [], {}
+    for p in draws:
+        k = p // SIGNS
+        if k not in words:
+            words[k] = int(hashlib.md5(f"{seed}:{k}:{unit}".encode()).hexdigest()[:8], 16)
+        out.append(1 if p == 0 or not words[k] >> p % SIGNS & 1 else -1)
+    return np.array(out, np.float64)
 
 
-def sign_sql(i: str, p: str) -> str:
-    return f"(1 - 2 * ({mixed_sql(i, p)} % 2))"
+def sign_sql(unit: str, draw: str, seed: int = 0) -> str:
+    word = f"cast('0x' || substr(md5('{seed}:' || cast({draw} // {SIGNS} AS VARCHAR) || ':' || cast({unit} AS VARCHAR)), 1, 8) AS BIGINT)"
+    return f"(CASE WHEN {draw} = 0 THEN 1 ELSE 1 - 2 * (({word} >> cast({draw} % {SIGNS} AS INT)) & 1) END)"

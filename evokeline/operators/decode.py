@@ -7,15 +7,17 @@ by (keys, repeat, fold, t): one plan for all subjects, comparisons and times.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import mixed
+from ..functions.hashing import drawn
 
 
 def build_comparison(trial: DataFrame, condition: DataFrame, comparison: DataFrame) -> DataFrame:
@@ -40,10 +42,10 @@ def class_guard(df: DataFrame, keys: Sequence[str], kmax: int = 10, y: str = "y"
 def stratified_folds(df: DataFrame, keys: Sequence[str], k: int | Column, repeats: int, seed: int = 0) -> DataFrame:
     """(keys, trial, y, repeat, fold): each class of each group dealt out in a random order, anew for each repeat."""
     trials = df.select(*keys, "trial", "y", *(["k"] if "k" in df.columns else [])).distinct()
-    drawn = trials.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy(*keys, "repeat", "y").orderBy(mixed(F.col("trial"), F.lit(seed * 100) + F.col("repeat")), "trial")
+    dealt = trials.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = Window.partitionBy(*keys, "repeat", "y").orderBy(drawn(F.concat_ws(".", F.lit(str(seed)), F.col("repeat").cast("string")), F.col("trial")), "trial")
     folds = k if isinstance(k, Column) else F.lit(k)
-    return drawn.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    return dealt.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
 
 
 def group_folds(df: DataFrame, keys: Sequence[str], group: str, k: int) -> DataFrame:
@@ -139,12 +141,95 @@ def sliding_auc(trial: DataFrame, fold: DataFrame, keys: Sequence[str], kind: st
     return auc(linear_scorer(folded_rows(trial, fold, keys), [*keys, "repeat"], kind), [*keys, "repeat", "fold", "t"])
 
 
+def _dense(rows: list[dict], places: dict, axis: str, values: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The axis of some (channel, axis, values) entries, and axis x channel matrices: which are there, and each value."""
+    at, line = np.unique([r[axis] for r in rows], return_inverse=True)
+    column = [places[r["channel"]] for r in rows]
+    known, out = np.zeros((len(at), len(places))), [np.zeros((len(at), len(places))) for _ in values]
+    known[line, column] = 1
+    for matrix, v in zip(out, values, strict=True):
+        matrix[line, column] = [r[v] for r in rows]
+    return at, known, out
+
+
+def crossed(folded: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, fold, trial, y, t_train, t_test, score): each held-out trial at every time, by the weights of every time.
+
+    A trial is one row with its samples, and a fold one row with its weights, so the join has a row for each trial and
+    repeat; the scores are one matrix product for each. Samples without a weight for their channel add nothing.
+    """
+    own = [*keys, "fold"]
+    trials = folded.groupBy(*own, "trial", "y").agg(F.collect_list(F.struct("channel", "t", "x")).alias("_x"))
+    models = weights.groupBy(*own).agg(F.collect_list(F.struct("channel", "t", "w", "mid")).alias("_w"))
+    both, types = trials.join(models, own), dict(folded.dtypes)
+    names = [*own, "trial", "y"]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + f", t_train {types['t']}, t_test array<{types['t']}>, score array<double>"
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                b = batch.slice(k, 1)
+                samples, model = (b.column(b.schema.get_field_index(c))[0].as_py() for c in ("_x", "_w"))
+                places = {c: i for i, c in enumerate(sorted({r["channel"] for r in model}))}
+                train, there, (w, mid) = _dense(model, places, "t", ["w", "mid"])
+                test, known, (x,) = _dense([r for r in samples if r["channel"] in places and r["x"] is not None], places, "t", ["x"])
+                scores, met = w @ x.T - (w * mid) @ known.T, there @ known.T
+                lines = [(t, test[m > 0], s[m > 0]) for t, m, s in zip(train.tolist(), met, scores, strict=True) if (m > 0).any()]
+                if lines:
+                    again = pa.array([0] * len(lines))
+                    columns = [b.column(b.schema.get_field_index(c)).take(again) for c in names]
+                    kinds = [b.schema.field("_x").type.value_type.field("t").type, pa.list_(b.schema.field("_x").type.value_type.field("t").type), pa.list_(pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, k) for v, k in zip(zip(*lines, strict=True), kinds, strict=True))], [*names, "t_train", "t_test", "score"])
+
+    scored = both.mapInArrow(products, schema)
+    return scored.select(*names, "t_train", F.explode(F.arrays_zip("t_test", "score")).alias("s")).select(*names, "t_train", "s.t_test", "s.score")
+
+
 def generalisation_matrix(trial: DataFrame, fold: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, repeat, fold, t_train, t_test, auc): weights of every time on the trials of every time."""
     rows, own = folded_rows(trial, fold, keys), [*keys, "repeat"]
-    weights = fit(rows, own, ["channel", "t"]).withColumnRenamed("t", "t_train").drop("m0", "m1")
-    scores = scored(rows.withColumnRenamed("t", "t_test"), weights, own, ["channel"], ["t_train", "t_test"])
-    return auc(scores, [*own, "fold", "t_train", "t_test"])
+    return auc(crossed(rows, fit(rows, own, ["channel", "t"]), own), [*own, "fold", "t_train", "t_test"])
+
+
+def pipeline_weights(folded: DataFrame, keys: Sequence[str], feature: Sequence[str], percentile: float = 15.0, shrink: Column | float = 0.0) -> DataFrame:
+    """(keys, fold, feature, w, mid, f): a scaler, the features with the highest F, and a balanced model, all of a fold's training rows.
+
+    The scaler's mean and deviation, the one-way F and the class means and variances all come from the training sums (all
+    folds' less the fold's own), so nothing of the held-out rows enters. Classes weigh the same in the spread. ``w`` and
+    ``mid`` are for the unscaled values: scores are those of the scaled ones. At least one feature stays.
+    """
+    own = folded.groupBy(*keys, "fold", *feature).agg(*_sums())
+    w = Window.partitionBy(*keys, *feature)
+    rest = {c: F.sum(c).over(w) - F.coalesce(c, F.lit(0)) for c in ("n0", "s0", "q0", "n1", "s1", "q1")}
+    t = own.select(*keys, "fold", *feature, *[v.alias(c) for c, v in rest.items()]).where("n0 > 0 and n1 > 0")
+    n, mean = F.col("n0") + F.col("n1"), (F.col("s0") + F.col("s1")) / (F.col("n0") + F.col("n1"))
+    variance = F.greatest(F.lit(0.0), (F.col("q0") + F.col("q1")) / n - mean * mean)
+    t = t.withColumn("sd", F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(1.0)))
+    t = t.withColumn("m0", F.col("s0") / F.col("n0")).withColumn("m1", F.col("s1") / F.col("n1"))
+    t = t.withColumn("v0", F.greatest(F.lit(0.0), F.col("q0") / F.col("n0") - F.col("m0") * F.col("m0"))).withColumn("v1", F.greatest(F.lit(0.0), F.col("q1") / F.col("n1") - F.col("m1") * F.col("m1")))
+    within = F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")
+    between = F.col("n0") * F.pow(F.col("m0") - mean, 2) + F.col("n1") * F.pow(F.col("m1") - mean, 2)
+    t = t.withColumn("f", F.when((n > 2) & (within > 1e-18), between / (within / (n - 2))))
+    best = select_percentile(t, [*keys, "fold"], feature, percentile)
+    spread = (F.col("v0") + F.col("v1")) / 2 / (F.col("sd") * F.col("sd")) + (shrink if isinstance(shrink, Column) else F.lit(float(shrink)))
+    weight = F.when(spread > 1e-18, (F.col("m1") - F.col("m0")) / F.col("sd") / spread).otherwise(F.lit(0.0))
+    return best.select(*keys, "fold", *feature, (weight / F.col("sd")).alias("w"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"), "f")
+
+
+def global_decode_pipeline(trial: DataFrame, fold: DataFrame, keys: Sequence[str], percentile: float = 15.0, shrink: float = 0.0) -> DataFrame:
+    """(keys, repeat, fold, trial, y, score): scaler, selection and balanced model of each fold's training trials, on all channels and times."""
+    rows, own = folded_rows(trial, fold, keys), [*keys, "repeat"]
+    return scored(rows, pipeline_weights(rows, own, ["channel", "t"], percentile, shrink), own, ["channel", "t"])
+
+
+def grid_search_pipeline(trial: DataFrame, fold: DataFrame, grid: Sequence[tuple[float, float]], keys: Sequence[str]) -> DataFrame:
+    """(keys, percentile, shrink, auc): of some settings (percentile, shrink) the one with the best mean area over the folds, the first on ties."""
+    means = []
+    for k, (percentile, shrink) in enumerate(grid):
+        area = auc(global_decode_pipeline(trial, fold, keys, percentile, shrink), [*keys, "repeat", "fold"])
+        means.append(area.groupBy(*keys).agg(F.avg("auc").alias("auc")).select(*keys, F.lit(-k).alias("order"), F.lit(float(percentile)).alias("percentile"), F.lit(float(shrink)).alias("shrink"), "auc"))
+    best = reduce(DataFrame.unionByName, means).groupBy(*keys).agg(F.max(F.struct(F.round("auc", 9).alias("auc"), "order", "percentile", "shrink")).alias("m"))
+    return best.select(*keys, "m.percentile", "m.shrink", "m.auc")
 
 
 def global_decode(trial: DataFrame, fold: DataFrame, keys: Sequence[str], shrink: float = 0.0) -> DataFrame:
@@ -275,7 +360,7 @@ def config_sweep(trial: DataFrame, config: DataFrame, keys: Sequence[str], repea
 def group_run(trial: DataFrame, subject_group: DataFrame, grp: str, k: int, repeats: int = 1) -> DataFrame:
     """(subject, auc, processed) for every subject of a group: the mean of the global model's areas."""
     members = subject_group.where(F.col("grp") == grp).select("subject")
-    rows = trial.join(F.broadcast(members), "subject")
+    rows = trial.join(members, "subject")
     scores = global_decode(rows, stratified_folds(rows, ["subject"], k, repeats), ["subject"])
     mean = auc(scores, ["subject", "repeat", "fold"]).groupBy("subject").agg(F.avg("auc").alias("auc"))
     return members.join(mean, "subject", "left").withColumn("processed", F.col("auc").isNotNull())

@@ -144,7 +144,7 @@ def compare_dict(observed: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def resolve_group(df: DataFrame, subject_group: DataFrame, default: str = "unknown", allowed: Sequence[str] | None = None) -> DataFrame:
-    out = df.join(F.broadcast(subject_group), "subject", "left").withColumn("grp", F.coalesce("grp", F.lit(default)))
+    out = df.join(subject_group, "subject", "left").withColumn("grp", F.coalesce("grp", F.lit(default)))
     return out.where(F.col("grp").isin(*allowed)) if allowed else out
 
 

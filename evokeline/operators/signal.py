@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,9 +38,9 @@ def interpolate_bad(df: DataFrame, bad: DataFrame, position: DataFrame, power: f
     a, b = position.withColumnsRenamed({"channel": "target", "px": "ax", "py": "ay", "pz": "az"}), position
     distance = F.sqrt(F.pow(F.col("px") - F.col("ax"), 2) + F.pow(F.col("py") - F.col("ay"), 2) + F.pow(F.col("pz") - F.col("az"), 2))
     weights = a.join(b, F.col("target") != F.col("channel")).select("target", "channel", F.pow(distance, F.lit(-float(power))).alias("w"))  # channels squared
-    good = df.join(F.broadcast(bad), ["subject", "channel"], "left_anti")
+    good = df.join(bad, ["subject", "channel"], "left_anti")
     pairs = bad.withColumnRenamed("channel", "target").join(F.broadcast(weights), "target")
-    filled = good.join(F.broadcast(pairs), ["subject", "channel"]).groupBy(*keys, "target").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    filled = good.join(pairs, ["subject", "channel"]).groupBy(*keys, "target").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
     return good.select(*keys, "channel", "x").unionByName(filled.withColumnRenamed("target", "channel").select(*keys, "channel", "x"))
 
 
@@ -55,24 +57,53 @@ def sinc_kernel(taps: int, low: float | None, high: float | None, sfreq: float)
     return [a - b for a, b in zip(top, low_pass(low), strict=True)] if low else top
 
 
-def fir_filter(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], zero_phase: bool = True, order: str = "sample") -> DataFrame:
-    """``x`` convolved with a centred kernel within each channel, forwards and (zero_phase) backwards; zeros beyond the ends.
+def notch_kernel(taps: int, freqs: Sequence[float], width: float, sfreq: float) -> list[float]:
+    """A centred kernel that takes out ``width`` Hz around each of some frequencies (mains and its harmonics)."""
+    kernel = [1.0 if k == taps // 2 else 0.0 for k in range(2 * (taps // 2) + 1)]
+    for f in freqs:
+        band = sinc_kernel(taps, f - width / 2, f + width / 2, sfreq)
+        kernel = [a - b for a, b in zip(kernel, band, strict=True)]
+    return kernel
 
-    The taps are shifted windows of one sort, so a pass adds no shuffle and no row.
-    """
-    w, half = Window.partitionBy(*keys).orderBy(order), len(kernel) // 2
 
-    def passed(x: DataFrame, taps: Sequence[float]) -> DataFrame:
-        near = F.collect_list("x").over(w.rowsBetween(-half, half))
-        first = F.row_number().over(w) - 1
-        lead = F.greatest(F.lit(0), half - F.col("_n"))
-        x = x.withColumn("_n", first).withColumn("_near", near)
-        h = F.array(*[F.lit(float(t)) for t in taps])
-        products = F.zip_with(F.col("_near"), F.slice(h, lead + 1, F.size("_near")), lambda a, b: a * b)
-        return x.withColumn("x", F.aggregate(products, F.lit(0.0), lambda a, b: a + b)).drop("_n", "_near")
+def fir_filter(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], zero_phase: bool = True, order: str = "sample") -> DataFrame:
+    """``x`` convolved with a centred kernel within each channel, forwards and (zero_phase) backwards; zeros where no sample is.
 
-    once = passed(df, kernel)
-    return passed(once, list(reversed(kernel))) if zero_phase else once
+    Samples lie in chunks by their number, and those near a chunk's border also in the next one, so a recording of any
+    length is many groups; a chunk is convolved in numpy, which holds for kernels of thousands of taps. Columns other than
+    the keys, the order and ``x`` go.
+    """
+    half, size = len(kernel) // 2, max(8192, 16 * len(kernel))
+    reach = 2 * half if zero_phase else half
+    at = F.col(order).cast("long")
+    own = df.select(*keys, F.col(order), F.col("x").cast("double").alias("x"), F.explode(F.sequence(F.floor((at - reach) / size), F.floor((at + reach) / size))).alias("_chunk"))
+    taps, types = np.asarray(kernel, float), dict(own.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pdf[order].to_numpy(np.int64)
+        low = place.min() - half
+        there, x = np.zeros(place.max() - low + half + 1), np.zeros(place.max() - low + half + 1)
+        there[place - low], x[place - low] = 1, pdf["x"].fillna(0.0)
+        x = convolved(x, taps) * there
+        x = convolved(x, taps[::-1]) if zero_phase else x
+        core = place // size == pdf["_chunk"].iloc[0]
+        out = pdf.loc[core, [*keys, order]]
+        out["x"] = x[place[core] - low]
+        return out
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, order)) + ", x double"
+    return own.groupBy(*keys, "_chunk").applyInPandas(one, schema)
+
+
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The sum over taps h(o) x(k + o - half), as long as ``x``; by transforms for long kernels."""
+    flipped = taps[::-1]
+    if len(taps) < 256:
+        whole = np.convolve(x, flipped)
+    else:
+        n = 1 << (len(x) + len(taps) - 2).bit_length()
+        whole = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(flipped, n), n)
+    return whole[len(taps) // 2 : len(taps) // 2 + len(x)]
 
 
 def resample_bins(df: DataFrame, keys: Sequence[str], sfreq_in: float, sfreq_out: float, order: str = "sample") -> DataFrame:
@@ -132,7 +163,7 @@ def drop_log(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("subjec
 def tumbling_epochs(df: DataFrame, start: DataFrame, size_s: float = 10.0, n: int = 60, sfreq: float = 1.0, default_start: float = 60.0) -> DataFrame:
     """Adds ``epoch``, the number of the window after the subject's start (subject, t_start); rows outside go."""
     second = F.col("sample") / F.lit(float(sfreq))
-    timed = df.join(F.broadcast(start), "subject", "left").withColumn("epoch", F.floor((second - F.coalesce("t_start", F.lit(default_start))) / F.lit(float(size_s))))
+    timed = df.join(start, "subject", "left").withColumn("epoch", F.floor((second - F.coalesce("t_start", F.lit(default_start))) / F.lit(float(size_s))))
     return timed.where((F.col("epoch") >= 0) & (F.col("epoch") < n)).drop("t_start")
 
 
@@ -169,7 +200,7 @@ def eog_regress_out(df: DataFrame, eog: str | int, on: Sequence[str] = ("subject
     """Each channel less its regression on the ocular channel."""
     both = _beside(df, eog, on)
     slope = both.groupBy("subject", "channel").agg(F.regr_slope("x", "eog").alias("_b"))
-    return both.join(F.broadcast(slope), ["subject", "channel"]).withColumn("x", F.col("x") - F.coalesce("_b", F.lit(0.0)) * F.col("eog")).drop("_b", "eog")
+    return both.join(slope, ["subject", "channel"]).withColumn("x", F.col("x") - F.coalesce("_b", F.lit(0.0)) * F.col("eog")).drop("_b", "eog")
 
 
 def auto_threshold(ptp: DataFrame, candidates: DataFrame, folds: int, keys: Sequence[str] = ("subject", "channel"), fold: Column | None = None) -> DataFrame:
@@ -191,7 +222,33 @@ def consensus_reject(ptp: DataFrame, thresholds: DataFrame, consensus: float, ke
     return shares.withColumn("dropped", F.col("share_bad") > consensus)
 
 
+def rejection_grid(ptp: DataFrame, thresholds: DataFrame, n_interpolate: Sequence[int], consensus: Sequence[float], folds: int, keys: Sequence[str] = ("subject", "channel"), fold: Column | None = None) -> DataFrame:
+    """(subject, n_interpolate, consensus, cost, n_kept): the setting that repairs and drops best, by cross-validation.
+
+    A trial goes if a larger share of its channels than ``consensus`` is above the threshold; of the others the worst
+    ``n_interpolate`` channels above it are repaired, the rest stay as they are. The cost of a fold is the distance of the
+    mean range of what stays in the other folds from the fold's median, and a setting's cost the mean over channels and
+    folds. Settings that keep nothing have none; ties go to the smaller values.
+    """
+    subject, trial = keys[0], "trial"
+    dealt = ptp.withColumn("fold", fold if fold is not None else F.pmod(F.col(trial), F.lit(folds)))
+    above = dealt.join(thresholds.select(*keys, "threshold"), list(keys)).withColumn("over", F.col("ptp") > F.col("threshold"))
+    one = Window.partitionBy(subject, trial)
+    ranked = above.withColumn("share", F.avg(F.col("over").cast("double")).over(one)).withColumn("worst", F.row_number().over(one.orderBy(F.col("over").desc(), F.col("ptp").desc(), keys[1])))
+    settings = F.explode(F.array(*[F.struct(F.lit(n).alias("n_interpolate"), F.lit(float(c)).alias("consensus")) for n in n_interpolate for c in consensus])).alias("s")
+    kept = ranked.select("*", settings).select("*", "s.*").where("share <= consensus and not (over and worst <= n_interpolate)")  # a few settings
+    sums = kept.groupBy(*keys, "n_interpolate", "consensus", "fold").agg(F.sum("ptp").alias("s"), F.count(F.lit(1)).alias("n"))
+    middle = dealt.groupBy(*keys, "fold").agg(F.percentile("ptp", 0.5).alias("middle"))
+    whole = sums.groupBy(*keys, "n_interpolate", "consensus").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+    tests = whole.join(middle, list(keys)).join(sums, [*keys, "n_interpolate", "consensus", "fold"], "left")
+    left = F.col("n_all") - F.coalesce("n", F.lit(0))
+    costs = tests.where(left > 0).withColumn("cost", F.abs((F.col("s_all") - F.coalesce("s", F.lit(0.0))) / left - F.col("middle")))
+    mean = costs.groupBy(subject, "n_interpolate", "consensus").agg(F.round(F.avg("cost"), 9).alias("cost"), F.sum(F.coalesce("n", F.lit(0))).alias("n_kept"))
+    best = mean.groupBy(subject).agg(F.min(F.struct("cost", "n_interpolate", "consensus", "n_kept")).alias("m"))
+    return best.select(subject, "m.n_interpolate", "m.consensus", "m.cost", "m.n_kept")
+
+
 def split_good_window(df: DataFrame, overrides: DataFrame) -> DataFrame:
     """Only samples lo..hi of the subjects in ``overrides`` (subject, lo, hi); others stay whole."""
-    both = df.join(F.broadcast(overrides), "subject", "left")
+    both = df.join(overrides, "subject", "left")
     return both.where("lo is null or sample between lo and hi").drop("lo", "hi")

@@ -90,17 +90,17 @@ def cross(spark: SparkSession, d: str) -> DataFrame:
     return A.cross_spectrum(A.spectrum(trials(spark, d), ["subject", "event", "trial", "channel"], N, RATE, n_tapers=1), ["subject", "event", "trial"])
 
 
-@query("cross_spectrum", V.sql("trial_long", CROSS_SQL + " SELECT subject, event, trial, freq, ch_i, ch_j, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im FROM cs WHERE freq BETWEEN 5 AND 35"))
+@query("cross_spectrum", V.sql("trial_long", CROSS_SQL + " SELECT subject, event, trial, freq, ch_i, ch_j, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im FROM cs"))
 def _cross(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cross(spark, d).where("freq between 5 and 35"), "re", "im")
+    return rounded(cross(spark, d), "re", "im")
 
 
-WPLI_SQL = CROSS_SQL + ", " + BAND_SQL + """, w AS (SELECT subject, event, ch_i, ch_j, freq, sum(im) AS s, sum(abs(im)) AS a, sum(im * im) AS q FROM cs WHERE freq BETWEEN 5 AND 35 GROUP BY ALL),
+WPLI_SQL = CROSS_SQL + ", " + BAND_SQL + """, w AS (SELECT subject, event, ch_i, ch_j, freq, sum(im) AS s, sum(abs(im)) AS a, sum(im * im) AS q FROM cs GROUP BY ALL),
  wpli AS (SELECT subject, event, band, ch_i, ch_j, avg(CASE WHEN abs(a * a - q) > 1e-300 THEN (s * s - q) / (a * a - q) END) AS value FROM w JOIN band ON freq >= lo AND freq < hi GROUP BY ALL)"""
 
 
 def wpli(spark: SparkSession, d: str) -> DataFrame:
-    return A.wpli2_debiased(cross(spark, d).where("freq between 5 and 35"), bands(spark), ["subject", "event"])
+    return A.wpli2_debiased(cross(spark, d), bands(spark), ["subject", "event"])
 
 
 @query("wpli2_debiased", V.sql("trial_long", WPLI_SQL + " SELECT subject, event, band, ch_i, ch_j, round(value, 6) + 0 AS value FROM wpli"))
@@ -121,7 +121,7 @@ def _roi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.roi_mean(V.pair_matrix(spark, d), rois(spark), ["subject"]), "value")
 
 
-@query("conn_subject_band", V.sql("trial_long", WPLI_SQL.replace("WHERE freq BETWEEN 5 AND 35", "WHERE freq BETWEEN 0 AND 40") + ", " + ROI_SQL + " " + ROI_MEAN.format(k="subject, event, band", v="wpli")))
+@query("conn_subject_band", V.sql("trial_long", WPLI_SQL + ", " + ROI_SQL + " " + ROI_MEAN.format(k="subject, event, band", v="wpli")))
 def _conn(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.conn_subject_band(trials(spark, d), rois(spark), bands(spark), N, RATE), "value")
 

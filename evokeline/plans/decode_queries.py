@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import mixed_sql
+from ..functions.hashing import drawn_sql
 from ..operators import decode as C
 from . import views as V
 from .registry import query, rounded
@@ -34,7 +34,7 @@ MAIN_SQL = ", tr AS (SELECT subject, trial, channel, t, x, CASE WHEN label >= 5
 
 
 def folds_sql(keys: str = "subject", k: str | int = K, repeats: int = REPEATS) -> str:
-    return f", folds AS (SELECT {keys}, trial, y, repeat, cast((row_number() OVER (PARTITION BY {keys}, repeat, y ORDER BY {mixed_sql('trial', 'repeat')}, trial) - 1) % {k} AS INT) AS fold FROM (SELECT DISTINCT {keys}, trial, y FROM tr) CROSS JOIN (SELECT unnest(range(0, {repeats})) AS repeat))"
+    return f", folds AS (SELECT {keys}, trial, y, repeat, cast((row_number() OVER (PARTITION BY {keys}, repeat, y ORDER BY {drawn_sql("'0.' || cast(repeat AS VARCHAR)", 'trial')}, trial) - 1) % {k} AS INT) AS fold FROM (SELECT DISTINCT {keys}, trial, y FROM tr) CROSS JOIN (SELECT unnest(range(0, {repeats})) AS repeat))"
 
 
 def fit_sql(keys: str, feature: str, shrink: str = "0e0", rows: str = "tr") -> str:
@@ -57,9 +57,9 @@ def auc_sql(name: str, source: str, keys: str, score: str = "score") -> str:
 SLIDE_SQL = MAIN_SQL + folds_sql() + fit_sql("subject", "channel, t") + score_sql("subject") + auc_sql("au", "sc", "subject, repeat, fold, t")
 
 
-@query("build_comparison", V.sql("trial_long", COMPARE_SQL + " SELECT cmp, subject, trial, channel, t, round(x, 6) AS x, y FROM tr WHERE t < 2"))
+@query("build_comparison", V.sql("trial_long", COMPARE_SQL + " SELECT cmp, subject, trial, channel, t, round(x, 6) AS x, y FROM tr"))
 def _comparison(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compared(spark, d).where("t < 2"), "x")
+    return rounded(compared(spark, d), "x")
 
 
 @query("label_encode", V.sql("trial_long", ", l AS (SELECT DISTINCT subject, trial, CASE WHEN label < 8 THEN 'c' || cast(label % 3 AS VARCHAR) ELSE 'one' END AS lab, label < 8 AS g FROM trial_long), c AS (SELECT *, dense_rank() OVER (PARTITION BY subject, g ORDER BY lab) - 1 AS y FROM l) SELECT subject, g, lab, trial, cast(y AS INT) AS y FROM c WHERE g"))
@@ -174,6 +174,33 @@ def _global(spark: SparkSession, d: str) -> DataFrame:
     return rounded(whole(spark, d).select("subject", "repeat", "fold", "trial", "y", "score"), "score")
 
 
+PIPE_PERCENT, PIPE_SHRINK = 25, 0.1
+PIPE_GRID = [(10.0, 0.0), (25.0, 0.1), (50.0, 0.1), (100.0, 1.0)]
+
+
+def pipe_sql(percent: float, shrink: float, name: str = "") -> str:
+    """sp: scores of the pipeline; st: each feature's training rows outside a fold."""
+    return f""", st{name} AS (SELECT r.subject, r.repeat, g.fold, r.channel, r.t, count(*) AS n, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1, avg(x) AS m, avg(x) FILTER (WHERE y = 0) AS m0, avg(x) FILTER (WHERE y = 1) AS m1, var_pop(x) AS v, var_pop(x) FILTER (WHERE y = 0) AS v0, var_pop(x) FILTER (WHERE y = 1) AS v1 FROM fr r JOIN (SELECT DISTINCT subject, repeat, fold FROM folds) g ON g.subject = r.subject AND g.repeat = r.repeat AND g.fold <> r.fold GROUP BY ALL),
+ fv{name} AS (SELECT *, (n0 * pow(m0 - m, 2) + n1 * pow(m1 - m, 2)) / ((n0 * v0 + n1 * v1) / (n - 2)) AS f, CASE WHEN v > 1e-18 THEN sqrt(v) ELSE 1 END AS sd FROM st{name} WHERE m0 IS NOT NULL AND m1 IS NOT NULL),
+ sl{name} AS (SELECT *, (m1 - m0) / sd / ((v0 + v1) / 2 / (sd * sd) + {shrink}e0) / sd AS w, (m0 + m1) / 2 AS mid FROM (SELECT *, row_number() OVER (PARTITION BY subject, repeat, fold ORDER BY f DESC, channel, t) AS k, ceil(count(*) OVER (PARTITION BY subject, repeat, fold) * {percent / 100}e0) AS most FROM fv{name}) WHERE k <= most),
+ sp{name} AS (SELECT subject, repeat, fold, trial, y, sum(w * (x - mid)) AS score FROM fr JOIN sl{name} USING (subject, repeat, fold, channel, t) GROUP BY ALL)"""
+
+
+FOLDED_SQL = MAIN_SQL + folds_sql("subject", K, 1) + ", fr AS (SELECT r.*, f.repeat, f.fold FROM tr r JOIN folds f USING (subject, trial))"
+
+
+@query("global_decode_pipeline", V.sql("trial_long", FOLDED_SQL + pipe_sql(PIPE_PERCENT, PIPE_SHRINK) + " SELECT subject, cast(repeat AS INT) AS repeat, fold, trial, y, round(score, 6) + 0 AS score FROM sp"))
+def _pipeline(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.global_decode_pipeline(rows, fold, ["subject"], PIPE_PERCENT, PIPE_SHRINK).select("subject", "repeat", "fold", "trial", "y", "score"), "score")
+
+
+@query("grid_search_pipeline", V.sql("trial_long", FOLDED_SQL + "".join(pipe_sql(p, s, f"_{k}") + auc_sql(f"au_{k}", f"sp_{k}", "subject, repeat, fold") for k, (p, s) in enumerate(PIPE_GRID)) + ", m AS (" + " UNION ALL ".join(f"SELECT subject, {k} AS k, {p}e0 AS percentile, {s}e0 AS shrink, round(avg(auc), 9) AS auc FROM au_{k} GROUP BY 1" for k, (p, s) in enumerate(PIPE_GRID)) + ") SELECT subject, percentile, shrink, round(auc, 6) AS auc FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY auc DESC, k) AS o FROM m) WHERE o = 1"))
+def _pipeline_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.grid_search_pipeline(rows, fold, PIPE_GRID, ["subject"]), "auc")
+
+
 @query("auc", V.sql("prediction", ", p AS (SELECT *, trial % 7 AS g FROM prediction)" + auc_sql("au", "p", "g") + " SELECT g, round(auc, 6) AS auc FROM au"))
 def _auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.auc(V.prediction(spark, d).withColumn("g", F.col("trial") % 7), ["g"]), "auc")

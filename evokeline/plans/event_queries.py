@@ -103,22 +103,27 @@ def _expand(spark: SparkSession, d: str) -> DataFrame:
     return E.expand_conditions(names, E.match_conditions(names, specs(spark))).select("subject", "event_id", "name", "condition")
 
 
-RULES = [("full", ["purchase/0", "signup/2", "error/1", "view/1", "click/2"]), ("pay", ["purchase/1", "signup/0"]), ("look", ["view/"])]
-PROTOCOL_SQL = ", proto AS (SELECT subject, CASE " + " ".join("WHEN " + " AND ".join(f"bool_or(contains(name, '{t}'))" for t in own) + f" THEN '{n}'" for n, own in RULES) + " ELSE 'other' END AS protocol FROM early GROUP BY 1)"
-EARLY_SQL = ", early AS (SELECT subject, event_id, name FROM event_names WHERE event_id < 2000)"
+RULES = [("full", ["/k7/", "/k11/", "view/1"]), ("pay", ["purchase/1", "/k30/"]), ("look", ["view/", "/k50/"])]
+PROTOCOL_SQL = ", proto AS (SELECT subject, CASE " + " ".join("WHEN " + " AND ".join(f"bool_or(contains(name, '{t}'))" for t in own) + f" THEN '{n}'" for n, own in RULES) + " ELSE 'other' END AS protocol FROM tagged GROUP BY 1)"
+TAGGED_SQL = ", tagged AS (SELECT user_id AS subject, event_type || '/' || cast(event_id % 3 AS VARCHAR) || '/k' || regexp_extract(props, '[0-9]+') || '/' AS name FROM events)"
 
 
-@query("detect_protocol", V.sql("event_names", EARLY_SQL + PROTOCOL_SQL + " SELECT * FROM proto"))
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.col("event_type"), F.lit("/"), (F.col("event_id") % 3).cast("string"), F.lit("/k"), F.regexp_extract("props", "[0-9]+", 0), F.lit("/")]
+    return V.table(spark, d, "events").select(F.col("user_id").alias("subject"), F.concat(*parts).alias("name"))
+
+
+@query("detect_protocol", V.sql("event_names", TAGGED_SQL + PROTOCOL_SQL + " SELECT * FROM proto"))
 def _protocol(spark: SparkSession, d: str) -> DataFrame:
-    return E.detect_protocol(V.event_names(spark, d).where("event_id < 2000"), RULES, hint="other")
+    return E.detect_protocol(tagged(spark, d), RULES, hint="other")
 
 
-ADAPT = [("full", "a", "purchase/"), ("full", "b", "error/2"), ("pay", "a", "purchase/"), ("pay", "b", "click/1"), ("look", "b", "view/"), ("other", "c", "error")]
+ADAPT = [("full", "a", "purchase/"), ("full", "b", "error/2/k3"), ("pay", "a", "purchase/0/k9"), ("pay", "b", "click/1"), ("look", "b", "view/2/k5"), ("other", "c", "error/")]
 
 
-@query("adapt_conditions", V.sql("event_names", EARLY_SQL + PROTOCOL_SQL + ", adapt(protocol, condition, spec) AS (VALUES " + ", ".join(map(str, ADAPT)) + ") SELECT subject, condition, spec FROM proto JOIN adapt USING (protocol) WHERE EXISTS (SELECT 1 FROM early e WHERE e.subject = proto.subject AND starts_with(e.name, spec))"))
+@query("adapt_conditions", V.sql("event_names", TAGGED_SQL + PROTOCOL_SQL + ", adapt(protocol, condition, spec) AS (VALUES " + ", ".join(map(str, ADAPT)) + ") SELECT subject, condition, spec FROM proto JOIN adapt USING (protocol) WHERE EXISTS (SELECT 1 FROM tagged e WHERE e.subject = proto.subject AND starts_with(e.name, spec))"))
 def _adapt(spark: SparkSession, d: str) -> DataFrame:
-    names = V.event_names(spark, d).where("event_id < 2000")
+    names = tagged(spark, d)
     return E.adapt_conditions(names, E.detect_protocol(names, RULES, hint="other"), spark.createDataFrame(ADAPT, "protocol string, condition string, spec string"))
 
 

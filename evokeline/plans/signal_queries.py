@@ -53,6 +53,20 @@ def _fir(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.fir_filter(V.cont_signal(spark, d), ["subject", "channel"], KERNEL), "x")
 
 
+#: Mains at 50 Hz and a band of 0.5 to 45 Hz at 250 samples a second, in kernels of 41 taps.
+NOTCH, BAND = P.notch_kernel(41, [50.0, 100.0], 4.0, 250.0), P.sinc_kernel(41, 0.5, 45.0, 250.0)
+
+
+def once_sql(name: str, source: str, kernel: list[float]) -> str:
+    taps = ", ".join(f"({k - len(kernel) // 2}, {h!r}::DOUBLE)" for k, h in enumerate(kernel))
+    return f", {name} AS (SELECT c.subject, c.channel, c.sample, sum(h * n.x) AS x FROM {source} c CROSS JOIN (VALUES {taps}) k(o, h) JOIN {source} n ON n.subject = c.subject AND n.channel = c.channel AND n.sample = c.sample + o GROUP BY 1, 2, 3)"
+
+
+@query("notch_filter", V.sql("cont_signal", once_sql("one", "cont_signal", NOTCH) + once_sql("two", "one", NOTCH[::-1]) + once_sql("three", "two", BAND) + " SELECT subject, channel, sample, round(x, 6) + 0 AS x FROM three"))
+def _notch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.fir_filter(P.fir_filter(V.cont_signal(spark, d), ["subject", "channel"], NOTCH), ["subject", "channel"], BAND, False), "x")
+
+
 @query("resample_bins", V.sql("cont_signal", "SELECT subject, channel, cast(floor(sample * 100e0 / 250e0) AS BIGINT) AS sample, round(avg(x), 6) AS x FROM cont_signal GROUP BY 1, 2, 3"))
 def _resample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.resample_bins(V.cont_signal(spark, d), ["subject", "channel"], 250.0, 100.0), "x")
@@ -135,6 +149,22 @@ def _auto(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.consensus_reject(ptp, best, 0.4), "share_bad")
 
 
+REPAIR, CONSENSUS = [0, 1, 4], [0.2, 0.4, 0.7]
+REJECT_SQL = AUTO_SQL + f""", ab AS (SELECT p.*, ptp > threshold AS over FROM ptp p JOIN best b ON b.subject = p.subject AND b.channel = p.channel),
+ rk AS (SELECT *, avg(CASE WHEN over THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY subject, trial) AS share, row_number() OVER (PARTITION BY subject, trial ORDER BY over DESC, ptp DESC, channel) AS worst FROM ab),
+ gr AS (SELECT n_interpolate, consensus FROM (VALUES {", ".join(f"({n})" for n in REPAIR)}) a(n_interpolate) CROSS JOIN (VALUES {", ".join(f"({c}e0)" for c in CONSENSUS)}) b(consensus)),
+ kp AS (SELECT * FROM rk CROSS JOIN gr WHERE share <= consensus AND NOT (over AND worst <= n_interpolate)),
+ co AS (SELECT t.subject, t.channel, n_interpolate, consensus, held, abs(avg(ptp) FILTER (WHERE fold <> held) - any_value(middle)) AS c, count(*) FILTER (WHERE fold = held) AS n FROM test t JOIN kp k ON k.subject = t.subject AND k.channel = t.channel GROUP BY ALL HAVING count(*) FILTER (WHERE fold <> held) > 0),
+ me AS (SELECT subject, n_interpolate, consensus, round(avg(c), 9) AS cost, cast(sum(n) AS BIGINT) AS n_kept FROM co GROUP BY 1, 2, 3)"""
+
+
+@query("rejection_grid", V.sql("trial_long", REJECT_SQL + " SELECT subject, n_interpolate, consensus, round(cost, 6) AS cost, n_kept FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY cost, n_interpolate, consensus) AS k FROM me) WHERE k = 1"))
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    ptp = P.peak_to_peak(trials(spark, d))
+    best = P.auto_threshold(ptp, spark.createDataFrame([(c,) for c in CANDIDATES], "threshold double"), 4)
+    return rounded(P.rejection_grid(ptp, best, REPAIR, CONSENSUS, 4), "cost")
+
+
 @query("split_good_window", V.sql("cont_signal", "SELECT c.subject, channel, sample, round(x, 6) AS x FROM cont_signal c LEFT JOIN (VALUES (3, 10, 20), (7, 1, 5)) o(subject, lo, hi) ON o.subject = c.subject WHERE lo IS NULL OR sample BETWEEN lo AND hi"))
 def _good(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.split_good_window(V.cont_signal(spark, d), spark.createDataFrame([(3, 10, 20), (7, 1, 5)], "subject long, lo long, hi long")).select("subject", "channel", "sample", "x"), "x")

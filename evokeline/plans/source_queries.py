@@ -30,22 +30,22 @@ def _sheet(spark: SparkSession, d: str) -> DataFrame:
 
 
 VERSIONS = [("noise_rejected", 1), ("noise", 2), ("rejected", 3), ("plain", 4)]
-CAND_SQL = ", cand AS (SELECT CASE WHEN code = 5 THEN 'Tp' ELSE '' END || 'S' || cast(subject AS VARCHAR) AS subject, 'f/' || cast(seq AS VARCHAR) AS path, CASE code WHEN 1 THEN 'noise' WHEN 2 THEN 'rejected' WHEN 5 THEN 'noise_rejected' ELSE 'plain' END AS version FROM event_seq WHERE seq % 9 < 2)"
+CAND_SQL = ", cand AS (SELECT CASE WHEN code = 5 THEN 'Tp' ELSE '' END || 'S' || cast(subject AS VARCHAR) AS subject, 'f/' || cast(seq AS VARCHAR) AS path, CASE WHEN code = 1 AND subject % 3 = 0 THEN 'noise' WHEN code = 2 AND subject % 2 = 0 THEN 'rejected' WHEN code = 5 THEN 'noise_rejected' ELSE 'plain' END AS version FROM event_seq)"
 
 
 @query("best_version", V.sql("event_seq", CAND_SQL + ", pr(version, rank) AS (VALUES " + ", ".join(map(str, VERSIONS)) + ") SELECT s AS subject, path, version FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY a, rank, path) AS k FROM (SELECT CASE WHEN starts_with(subject, 'Tp') THEN substring(subject, 3) ELSE subject END AS s, CASE WHEN starts_with(subject, 'Tp') THEN 1 ELSE 0 END AS a, path, version, rank FROM cand JOIN pr USING (version))) WHERE k = 1"))
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    version = F.create_map(F.lit(1), F.lit("noise"), F.lit(2), F.lit("rejected"), F.lit(5), F.lit("noise_rejected"))[F.col("code")]
-    rows = V.event_seq(spark, d).where("seq % 9 < 2").select(F.concat(F.when(F.col("code") == 5, "Tp").otherwise(""), F.lit("S"), F.col("subject").cast("string")).alias("subject"), F.concat(F.lit("f/"), F.col("seq").cast("string")).alias("path"), F.coalesce(version, F.lit("plain")).alias("version"))
+    version = F.when(F.expr("code = 1 and subject % 3 = 0"), "noise").when(F.expr("code = 2 and subject % 2 = 0"), "rejected").when(F.col("code") == 5, "noise_rejected")
+    rows = V.event_seq(spark, d).select(F.concat(F.when(F.col("code") == 5, "Tp").otherwise(""), F.lit("S"), F.col("subject").cast("string")).alias("subject"), F.concat(F.lit("f/"), F.col("seq").cast("string")).alias("path"), F.coalesce(version, F.lit("plain")).alias("version"))
     return S.best_version(rows, spark.createDataFrame(VERSIONS, "version string, rank int"))
 
 
-PATH_SQL = ", paths AS (SELECT 'data/g' || cast(subject % 6 AS VARCHAR) || '/' || CASE WHEN code < 3 THEN 'PP' ELSE 'LG' END || '/' || CASE WHEN code = 4 THEN 'Subj_' ELSE 'p' END || 'T' || cast(subject AS VARCHAR) || '/res_' || cast(seq AS VARCHAR) || '.npz' AS path FROM event_seq WHERE seq < 8)"
+PATH_SQL = ", paths AS (SELECT 'data/g' || cast(subject % 6 AS VARCHAR) || '/' || CASE WHEN code < 3 THEN 'PP' ELSE 'LG' END || '/' || CASE WHEN code = 4 THEN 'Subj_' ELSE 'p' END || 'T' || cast(subject AS VARCHAR) || '/res_' || cast(seq AS VARCHAR) || '.npz' AS path FROM event_seq)"
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
     parts = [F.lit("data/g"), (F.col("subject") % 6).cast("string"), F.lit("/"), F.when(F.col("code") < 3, "PP").otherwise("LG"), F.lit("/"), F.when(F.col("code") == 4, "Subj_").otherwise("p"), F.lit("T"), F.col("subject").cast("string"), F.lit("/res_"), F.col("seq").cast("string"), F.lit(".npz")]
-    return V.event_seq(spark, d).where("seq < 8").select(F.concat(*parts).alias("path"))
+    return V.event_seq(spark, d).select(F.concat(*parts).alias("path"))
 
 
 @query("catalog_results", V.sql("event_seq", PATH_SQL + ", p AS (SELECT path, string_split(path, '/') AS s FROM paths) SELECT path, s[2] AS grp, s[3] AS protocol, s[4] AS subject FROM p WHERE s[2] IN ('g0', 'g1', 'g4')"))
@@ -79,9 +79,9 @@ def _axes(spark: SparkSession, d: str) -> DataFrame:
     return S.validate_axes(rows, ["subject"], "t")
 
 
-@query("update_bad_channels", V.sql("event_seq", ", pt AS (SELECT subject, CASE code WHEN 1 THEN 'PP' ELSE 'LG' END AS protocol, 'E' || cast(min(seq) AS VARCHAR) AS bad FROM event_seq WHERE code < 3 GROUP BY 1, 2) SELECT subject, protocol, CASE WHEN subject % 3 = 0 AND protocol = 'PP' THEN 'E23,E125' ELSE bad END AS bad_chans FROM pt"))
+@query("update_bad_channels", V.sql("event_seq", ", pt AS (SELECT subject, CASE code WHEN 1 THEN 'PP' ELSE 'LG' END AS protocol, 'E' || cast(min(seq) AS VARCHAR) AS bad FROM event_seq GROUP BY 1, 2) SELECT subject, protocol, CASE WHEN subject % 3 = 0 AND protocol = 'PP' THEN 'E23,E125' ELSE bad END AS bad_chans FROM pt"))
 def _bad(spark: SparkSession, d: str) -> DataFrame:
-    sheet = V.event_seq(spark, d).where("code < 3").groupBy("subject", F.when(F.col("code") == 1, "PP").otherwise("LG").alias("protocol")).agg(F.array(F.concat(F.lit("E"), F.min("seq").cast("string"))).alias("bad_chans"))
+    sheet = V.event_seq(spark, d).groupBy("subject", F.when(F.col("code") == 1, "PP").otherwise("LG").alias("protocol")).agg(F.array(F.concat(F.lit("E"), F.min("seq").cast("string"))).alias("bad_chans"))
     updates = sheet.where("subject % 3 = 0 and protocol = 'PP'").select("subject", "protocol", F.array(F.lit("E23"), F.lit("E125")).alias("bad_chans"))
     return S.update_bad_channels(sheet, updates).select("subject", "protocol", F.array_join("bad_chans", ",").alias("bad_chans"))
 

@@ -44,7 +44,18 @@ def _ttest(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.ttest_1samp(shifted(spark, d), ["grp", "t"], "holed", CHANCE).drop("p"), "stat")
 
 
-@query("ttest_1samp_p")
+#: Student's t by its finite series over the cosines of atan(t / sqrt(df)), with coefficients for even and odd degrees.
+SERIES_SQL = ", ser(k, even, odd) AS (SELECT 0, 1e0, 1e0 UNION ALL SELECT k + 1, even * (2 * k + 1) / (2 * k + 2), odd * (2 * k + 2) / (2 * k + 3) FROM ser WHERE k < 2000)"
+
+
+def t_tail_sql(name: str, source: str, keys: str) -> str:
+    """``name``: the rows of ``source`` (keys, n, stat) with p, the upper tail."""
+    return f"""{SERIES_SQL}, an_{name} AS (SELECT *, n - 1 AS v, atan(stat / sqrt(n - 1)) AS th FROM {source}),
+ sm_{name} AS (SELECT {keys}, sum(CASE WHEN v % 2 = 0 THEN even ELSE odd END * pow(cos(th), 2 * k)) AS su FROM an_{name} JOIN ser ON k < CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END WHERE stat IS NOT NULL GROUP BY {keys}),
+ {name} AS (SELECT an_{name}.*, CASE WHEN stat IS NOT NULL THEN (1e0 - CASE WHEN v % 2 = 0 THEN sin(th) * coalesce(su, 0) ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(su, 0)) END) / 2 END AS p FROM an_{name} LEFT JOIN sm_{name} USING ({keys}))"""
+
+
+@query("ttest_1samp_p", V.sql("score_matrix", SHIFT_SQL + ", tt AS (SELECT grp, t, count(*) AS n, (avg(score) - 0.5e0) / (stddev_samp(score) / sqrt(count(*))) AS stat FROM sm GROUP BY 1, 2)" + t_tail_sql("tp", "tt", "grp, t") + " SELECT grp, t, n, round(stat, 6) + 0 AS stat, round(p, 6) AS p FROM tp").replace("WITH ", "WITH RECURSIVE ", 1))
 def _ttest_p(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.ttest_1samp(shifted(spark, d), ["grp", "t"], "score", CHANCE, "greater"), "stat", "p")
 
@@ -54,7 +65,13 @@ def _wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.wilcoxon_1samp(shifted(spark, d), ["grp", "t"], "holed", CHANCE, "greater"), "p")
 
 
-@query("wilcoxon_1samp_exact")
+MOST = 50
+#: P(W+ = w) without ties for n differences, as a list by w; each further difference adds its rank or nothing.
+NULL_SQL = f", nul(m_, c_) AS (SELECT 0, [1e0] UNION ALL SELECT m_ + 1, list_transform(range(0, len(c_) + m_ + 1), lambda i: (coalesce(c_[i + 1], 0) + CASE WHEN i > m_ THEN coalesce(c_[i - m_], 0) ELSE 0 END) / 2e0) FROM nul WHERE m_ < {MOST})"
+EXACT_SQL = V.sql("score_matrix", SHIFT_SQL + ranks_sql("o", "sm", "grp, t", "(score - 0.5e0)") + NULL_SQL + f", x AS (SELECT o.*, c_, list_sum(c_[1:cast(w AS INT) + 1]) AS less, 1e0 - coalesce(list_sum(c_[1:cast(w AS INT)]), 0) AS greater FROM o LEFT JOIN nul ON m_ = n) SELECT grp, t, w AS stat, round(CASE WHEN n = n_all AND ties = 0 AND c_ IS NOT NULL THEN least(1e0, 2 * least(less, greater)) WHEN n = 0 THEN 1 ELSE {tail_sql('((w - m) / s)', 'two-sided')} END, 6) AS p FROM x").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("wilcoxon_1samp_exact", EXACT_SQL)
 def _wilcoxon_exact(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.wilcoxon_1samp(shifted(spark, d), ["grp", "t"], "score", CHANCE, "two-sided", "exact"), "p")
 
@@ -124,9 +141,9 @@ def _by(spark: SparkSession, d: str) -> DataFrame:
 JB_SQL = ", mo AS (SELECT {k}, count({v}) AS n, avg({v}) AS m FROM {s} GROUP BY {k}), c AS (SELECT {k}, avg(pow({v} - m, 2)) AS m2, avg(pow({v} - m, 3)) AS m3, avg(pow({v} - m, 4)) AS m4, any_value(n) AS n FROM {s} JOIN mo USING ({k}) GROUP BY {k}), jb AS (SELECT {k}, n, n / 6e0 * (pow(m3 / pow(m2, 1.5e0), 2) + pow(m4 / pow(m2, 2) - 3, 2) / 4) AS jb FROM c)"
 
 
-@query("adaptive_test", V.sql("score_matrix", SHIFT_SQL + JB_SQL.format(k="grp, t", v="score", s="sm") + wilcoxon_sql("o", "sm", "grp, t", "(score - 0.5e0)", "greater") + ", tt AS (SELECT grp, t, (avg(score) - 0.5e0) / (stddev_samp(score) / sqrt(count(*))) AS ts FROM sm GROUP BY 1, 2) SELECT grp, t, CASE WHEN n < 5 OR exp(-jb / 2) > 0.05 THEN 'ttest' ELSE 'wilcoxon' END AS test, round(CASE WHEN n < 5 OR exp(-jb / 2) > 0.05 THEN ts ELSE stat END, 6) + 0 AS stat FROM jb JOIN o USING (grp, t) JOIN tt USING (grp, t)"))
+@query("adaptive_test", V.sql("score_matrix", SHIFT_SQL + JB_SQL.format(k="grp, t", v="score", s="sm") + wilcoxon_sql("o", "sm", "grp, t", "(score - 0.5e0)", "greater") + ", tt AS (SELECT grp, t, count(*) AS n, (avg(score) - 0.5e0) / (stddev_samp(score) / sqrt(count(*))) AS stat FROM sm GROUP BY 1, 2)" + t_tail_sql("tp", "tt", "grp, t") + ", u AS (SELECT grp, t, n < 5 OR exp(-jb / 2) > 0.05 AS use_t FROM jb) SELECT grp, t, CASE WHEN use_t THEN 'ttest' ELSE 'wilcoxon' END AS test, round(CASE WHEN use_t THEN tp.stat ELSE o.stat END, 6) + 0 AS stat, round(CASE WHEN use_t THEN tp.p ELSE o.p END, 6) AS p FROM u JOIN o USING (grp, t) JOIN tp USING (grp, t)").replace("WITH ", "WITH RECURSIVE ", 1))
 def _adaptive(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.adaptive_test(shifted(spark, d), ["grp", "t"], "score", CHANCE, "greater").drop("p"), "stat")
+    return rounded(T.adaptive_test(shifted(spark, d), ["grp", "t"], "score", CHANCE, "greater"), "stat", "p")
 
 
 @query("pointwise_fdr", V.sql("score_matrix", POINT_SQL + fdr_sql("f", "o", "grp") + " SELECT grp, t, stat, round(p, 6) AS p, round(p_fdr, 6) AS p_fdr, coalesce(p_fdr < 0.05, false) AS sig FROM f"))
@@ -136,7 +153,7 @@ def _pointwise(spark: SparkSession, d: str) -> DataFrame:
 
 def perm_sql(source: str, keys: str, point: str, unit: str, d: str, n: int) -> str:
     """pt: the t map of each flip; perm 0 is what was observed."""
-    return f", pr AS (SELECT unnest(range(0, {n + 1})) AS perm), ps AS (SELECT {keys}, {point}, perm, sum(CASE WHEN perm = 0 THEN 1 ELSE {sign_sql(unit, 'perm')} END * {d}) AS s, sum({d} * {d}) AS q, count({d}) AS n FROM {source} CROSS JOIN pr GROUP BY ALL), pt AS (SELECT {keys}, {point}, perm, CASE WHEN n > 1 AND (q - s * s / n) / (n - 1) > 1e-18 THEN s / n / sqrt((q - s * s / n) / (n - 1) / n) END AS t_ FROM ps)"
+    return f", pr AS (SELECT unnest(range(0, {n + 1})) AS perm), ps AS (SELECT {keys}, {point}, perm, sum({sign_sql(unit, 'perm')} * {d}) AS s, sum({d} * {d}) AS q, count({d}) AS n FROM {source} CROSS JOIN pr GROUP BY ALL), pt AS (SELECT {keys}, {point}, perm, CASE WHEN n > 1 AND (q - s * s / n) / (n - 1) > 1e-18 THEN s / n / sqrt((q - s * s / n) / (n - 1) / n) END AS t_ FROM ps)"
 
 
 N_PERM = 200
@@ -263,14 +280,29 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.label_summary(V.prediction(spark, d).withColumn("g", F.col("trial") % 3), ["g"], "y"), "percent")
 
 
-GRID_SQL = """WITH RECURSIVE """ + V.VIEWS["trial_long"] + """, tm AS (SELECT subject, channel, t, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS st FROM trial_long GROUP BY ALL),
- nd AS (SELECT subject, sign(st) AS sd, cast(channel AS BIGINT) * 2147483648 + t AS id, st FROM tm WHERE abs(st) > 0.6),
- re AS (SELECT subject, sd, id, id AS root FROM nd UNION SELECT n.subject, n.sd, n.id, r.root FROM re r JOIN nd n ON n.subject = r.subject AND n.sd = r.sd AND (n.id - r.id) IN (1, -1, 2147483648, -2147483648)),
- lb AS (SELECT subject, sd, id, min(root) AS cluster FROM re GROUP BY ALL)
- SELECT subject, cluster, count(*) AS n, round(sum(st), 6) + 0 AS mass FROM lb JOIN nd USING (subject, sd, id) GROUP BY subject, sd, cluster"""
+MATRIX_PERM, MATRIX_LIMIT = 60, 1.0
+GRID_SQL = (
+    "WITH RECURSIVE " + V.VIEWS["trial_long"] + f""", cells AS (SELECT label % 2 AS side, 'S' || cast(trial % 10 AS VARCHAR) AS unit, channel, t, avg(x) AS d FROM trial_long GROUP BY ALL)
+ {perm_sql("cells", "side", "channel, t", "unit", "d", MATRIX_PERM)},
+ nd AS (SELECT side, perm, channel, t, t_, sign(t_) AS sd, row_number() OVER (PARTITION BY side, perm ORDER BY channel, t) - 1 AS id FROM pt WHERE abs(t_) > {MATRIX_LIMIT}e0),
+ re AS (SELECT side, perm, id, channel, t, sd, id AS root FROM nd UNION SELECT n.side, n.perm, n.id, n.channel, n.t, n.sd, r.root FROM re r JOIN nd n ON n.side = r.side AND n.perm = r.perm AND n.sd = r.sd AND abs(n.channel - r.channel) + abs(n.t - r.t) = 1),
+ lb AS (SELECT side, perm, id, min(root) AS cluster FROM re GROUP BY ALL),
+ cl AS (SELECT side, perm, cluster, count(*) AS n, sum(t_) AS mass FROM lb JOIN nd USING (side, perm, id) GROUP BY ALL),
+ mx AS (SELECT side, perm, max(round(abs(mass), 9)) AS m FROM cl WHERE perm > 0 GROUP BY ALL)
+ SELECT nd.side, nd.channel, nd.t, round(t_, 6) + 0 AS stat, cl.cluster, n, round(mass, 6) + 0 AS mass, round(((SELECT count(*) FROM mx WHERE mx.side = nd.side AND m >= round(abs(mass), 9)) + 1) / {MATRIX_PERM + 1}e0, 6) AS p FROM nd JOIN lb USING (side, perm, id) JOIN cl ON cl.side = nd.side AND cl.perm = nd.perm AND cl.cluster = lb.cluster WHERE nd.perm = 0"""
+)
 
 
 @query("cluster_matrix", GRID_SQL)
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    t = V.trial_long(spark, d).groupBy("subject", "channel", "t").agg((F.avg("x") / (F.stddev_samp("x") / F.sqrt(F.count("x")))).alias("st"))
-    return rounded(T.islands_2d(t, ["subject"], "channel", "t", "st", 0.6), "mass")
+    cells = V.trial_long(spark, d).groupBy((F.col("label") % 2).alias("side"), F.concat(F.lit("S"), (F.col("trial") % 10).cast("string")).alias("unit"), "channel", "t").agg(F.avg("x").alias("d"))
+    return rounded(T.cluster_matrix(cells, ["side"], ["channel", "t"], 0.0, MATRIX_PERM, MATRIX_LIMIT, unit="unit", value="d"), "stat", "mass", "p")
+
+
+@query("cluster_wilcoxon", V.sql("score_matrix", SHIFT_SQL + f""", ab AS (SELECT grp, 'S' || cast(subject AS VARCHAR) AS unit, t, score - 0.5e0 AS d, round(abs(score - 0.5e0), 12) AS a FROM sm WHERE score <> 0.5e0),
+ rk AS (SELECT grp, unit, t, sign(d) * (rank() OVER (PARTITION BY grp, t ORDER BY a) + (count(*) OVER (PARTITION BY grp, t, a) - 1) / 2e0) AS r FROM ab),
+ pr AS (SELECT unnest(range(0, {TFCE_PERM + 1})) AS perm),
+ pt AS (SELECT grp, t, perm, sum({sign_sql('unit', 'perm')} * r) / sqrt(sum(r * r)) AS t_ FROM rk CROSS JOIN pr GROUP BY ALL)""" + island_sql("il", "pt", "grp, perm", "t", "t_", 1.0) + f", mx AS (SELECT grp, perm, max(round(abs(mass), 9)) AS m FROM il WHERE perm > 0 GROUP BY 1, 2) SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY t_start) AS cluster, t_start, t_end, n, round(mass, 6) + 0 AS mass, round(((SELECT count(*) FROM mx WHERE mx.grp = il.grp AND m >= round(abs(mass), 9)) + 1) / {TFCE_PERM + 1}e0, 6) AS p FROM il WHERE perm = 0"))
+def _cluster_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    rows = shifted(spark, d).withColumn("unit", F.concat(F.lit("S"), F.col("subject").cast("string")))
+    return rounded(T.cluster_permutation(rows, ["grp"], "t", CHANCE, TFCE_PERM, 1.0, stat="wilcoxon", unit="unit"), "mass", "p")

@@ -41,7 +41,12 @@ def catalog_results(paths: DataFrame, subject_group: DataFrame) -> DataFrame:
 
 def subject_from_path(df: DataFrame, ids: DataFrame, path_col: str = "path") -> DataFrame:
     """Adds ``subject``: the longest known id in the path, else a ``Subj_`` pattern, else the parent folder."""
-    known = df.select(path_col).distinct().join(F.broadcast(ids), F.contains(F.col(path_col), F.col("id"))).groupBy(path_col).agg(F.max(F.struct(F.length("id").alias("n"), "id")).alias("_m"))
+    paths = df.select(path_col).distinct()
+    lengths = [r["n"] for r in ids.select(F.length("id").alias("n")).distinct().collect()]  # ids have few lengths
+    starts = F.sequence(F.lit(1), F.length(path_col))
+    every = lambda n: F.transform(starts, lambda k: F.substring(F.col(path_col), k, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*map(every, lengths)))) if lengths else F.array().cast("array<string>")
+    known = paths.select(path_col, F.explode(parts).alias("id")).join(ids.select("id").distinct(), "id").groupBy(path_col).agg(F.max(F.struct(F.length("id").alias("n"), "id")).alias("_m"))
     nothing = lambda x: F.when(x != "", x)
     pattern, parent = F.regexp_extract(path_col, r"Subj_([A-Za-z0-9]+)", 1), F.regexp_extract(path_col, r"([^/]+)/[^/]*$", 1)
     return df.join(known, path_col, "left").withColumn("subject", F.coalesce("_m.id", nothing(pattern), nothing(parent))).drop("_m")
@@ -78,7 +83,7 @@ def validate_axes(df: DataFrame, keys: Sequence[str], axis_col: str, reference:
 def update_bad_channels(patient: DataFrame, updates: DataFrame) -> DataFrame:
     """The sheet (subject, protocol, bad_chans) with the lists of ``updates`` in place of the old ones."""
     new = updates.select("subject", "protocol", F.col("bad_chans").alias("_new"))
-    return patient.join(F.broadcast(new), ["subject", "protocol"], "left").withColumn("bad_chans", F.coalesce("_new", "bad_chans")).drop("_new")
+    return patient.join(new, ["subject", "protocol"], "left").withColumn("bad_chans", F.coalesce("_new", "bad_chans")).drop("_new")
 
 
 def sink_group_json(df: DataFrame, path: str) -> None:

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evokeline.functions.distributions import normal_cdf, rank_sum_null, signed_rank_null, t_sf
-from evokeline.functions.hashing import mixed, sign
+from evokeline.functions.hashing import drawn, signs
 from evokeline.operators import aggregate, decode, events, signal, stats
 
 
@@ -120,10 +121,12 @@ def test_normal_cdf(spark):
 
 
 def test_signs_look_random(spark):
-    flips = spark.range(2000).withColumnRenamed("id", "p").crossJoin(spark.range(30)).groupBy("p").agg((F.sum(sign(F.col("id"), F.col("p"))) / math.sqrt(30)).alias("z"))
-    r = flips.agg(F.stddev_samp("z").alias("sd"), F.avg((F.abs("z") > 1.96).cast("double")).alias("out")).first()
-    assert 0.93 < r["sd"] < 1.07 and r["out"] < 0.07
-    assert spark.range(100).select(mixed(F.col("id"), F.lit(0)).alias("m")).distinct().count() > 95
+    flips = np.stack([signs(f"S{k:02}", 0, range(2001)) for k in range(30)])
+    assert (flips[:, 0] == 1).all() and set(flips.ravel()) == {1.0, -1.0}
+    z = flips[:, 1:].sum(0) / math.sqrt(30)
+    assert 0.93 < z.std() < 1.07 and (abs(z) > 1.96).mean() < 0.07
+    assert (signs(5, 0, range(99)) == signs("5", 0, range(99))).all() and (signs(5, 1, range(99)) != signs(5, 0, range(99))).any()
+    assert spark.range(100_000).select(drawn(0, F.col("id")).alias("m")).distinct().count() == 100_000
 
 
 def test_runs_and_masses(spark):
@@ -152,7 +155,92 @@ def test_empty_tables(spark):
 
 
 def test_matrix_clusters(spark):
+    """A shape that winds, and neighbours by a list; p against a plain count of flips."""
     snake = [(0, b) for b in range(9)] + [(1, 8), (2, 8)] + [(2, b) for b in range(8)] + [(3, 0), (4, 0)]
-    rows = [(a, b, 2.0) for a, b in snake] + [(0, 11, 3.0), (4, 5, -2.0), (4, 6, -2.0), (4, 1, -2.0), (3, 5, 0.1)]
-    got = sorted((r["n"], r["mass"]) for r in stats.islands_2d(spark.createDataFrame(rows, "a int, b int, tval double"), [], "a", "b", "tval", 1.0).collect())
-    assert got == [(1, -2.0), (1, 3.0), (2, -4.0), (21, 42.0)]
+    level = dict.fromkeys(snake, 2.0) | {(0, 11): 3.0, (4, 5): -2.0, (4, 6): -2.0, (3, 5): 0.1}
+    draw = random.Random(1)
+    rows = [(f"S{k:02}", a, b, v + draw.gauss(0, 1)) for (a, b), v in level.items() for k in range(8)]
+    df = spark.createDataFrame(rows, "subject string, a int, b int, score double")
+    got = stats.cluster_matrix(df, [], ["a", "b"], 0.0, 40, 1.5).collect()
+    cells = sorted(level)
+    d = np.array([[r[3] for r in rows if (r[1], r[2]) == c] for c in cells])
+
+    def clusters(flip):
+        x = d * np.array([signs(f"S{k:02}", 0, [flip])[0] for k in range(8)])
+        tval = x.mean(1) / (x.std(1, ddof=1) / math.sqrt(8))
+        todo, found = {c: v for c, v in zip(cells, tval) if abs(v) > 1.5}, []
+        while todo:
+            group, front = {}, [min(todo)]
+            while front:
+                c = front.pop()
+                if c in todo and (not group or todo[c] * next(iter(group.values())) > 0):
+                    group[c] = todo.pop(c)
+                    front += [(c[0] + 1, c[1]), (c[0] - 1, c[1]), (c[0], c[1] + 1), (c[0], c[1] - 1)]
+            found.append(group)
+        return found
+
+    null = [max((abs(sum(g.values())) for g in clusters(k)), default=0.0) for k in range(1, 41)]
+    want = {c: (len(g), sum(g.values()), (1 + sum(m >= abs(sum(g.values())) - 1e-9 for m in null)) / 41) for g in clusters(0) for c in g}
+    assert {(r["a"], r["b"]) for r in got} == set(want)
+    for r in got:
+        n, mass, p = want[r["a"], r["b"]]
+        assert r["n"] == n and abs(r["mass"] - mass) < 1e-6 and abs(r["p"] - p) < 1e-9
+    line = df.where("a = 0").withColumn("place", (F.col("b") * 7) % 12)
+    one = stats.cluster_matrix(line, [], ["place"], 0.0, 10, 1.5, adjacency=[(b * 7 % 12, (b + 1) * 7 % 12) for b in range(8)]).select("cluster").distinct().count()
+    assert one == len([g for g in clusters(0) if any(c[0] == 0 for c in g)])
+
+
+def test_text_ids(spark):
+    """Subjects and trials with text ids go through everything that draws at random."""
+    draw = random.Random(2)
+    rows = [(f"S{s:02}", t, 0.5 + draw.gauss(0.2, 1)) for s in range(8) for t in range(6)]
+    df = spark.createDataFrame(rows, "subject string, t int, score double")
+    for out in (stats.cluster_permutation(df, [], "t", 0.5, 20, 0.5), stats.tfce(df, [], "t", mu=0.5, n_perm=20), stats.permutation_ttest(df, [], ["t"], 20, value="score", mu=0.5)):
+        assert all(0 < r["p"] <= 1 for r in out.collect())
+    assert {s: stats.cluster_permutation(df, [], "t", 0.5, 20, 0.5, stat=s).count() > 0 for s in stats.STATISTICS} == dict.fromkeys(stats.STATISTICS, True)
+    trials = spark.createDataFrame([("A", f"tr-{k}", k % 2) for k in range(20)], "subject string, trial string, y int")
+    assert {r["count"] for r in decode.stratified_folds(trials, ["subject"], 4, 2).groupBy("repeat", "y", "fold").count().collect()} == {2, 3}
+
+
+def test_long_kernels(spark):
+    """Chunks with borders give what one convolution of the whole recording gives, samples missing at the ends and inside."""
+    draw = random.Random(4)
+    x = {k: draw.gauss(0, 1) for k in range(-50, 30_000) if k % 9000}
+    df = spark.createDataFrame([(1, k, v) for k, v in x.items()], "subject int, sample long, x double")
+    kernel = [draw.gauss(0, 0.05) for _ in range(301)]
+    got = {r["sample"]: r["x"] for r in signal.fir_filter(df, ["subject"], kernel).collect()}
+    assert set(got) == set(x)
+    pad = np.zeros(31_000)
+    there = np.zeros(31_000)
+    for k, v in x.items():
+        pad[k + 500], there[k + 500] = v, 1
+    first = np.convolve(pad, kernel[::-1], "same") * there
+    want = np.convolve(first, kernel, "same")
+    assert max(abs(got[k] - want[k + 500]) for k in x) < 1e-9
+
+
+def test_notch_takes_out_the_mains():
+    kernel = np.array(signal.notch_kernel(501, [50.0], 4.0, 500.0))
+    gain = lambda f: abs(sum(h * np.exp(2j * np.pi * f * k / 500) for k, h in enumerate(kernel)))
+    assert gain(50) < 0.02 and gain(20) > 0.98 and gain(100) > 0.98
+
+
+def test_corpus_import_errors_surface(tmp_path):
+    """Only a missing corpus package is passed over; an error inside it isn't."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for broken in (False, True):
+        copy = tmp_path / str(broken)
+        shutil.copytree(f"{root}/evokeline", copy / "evokeline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(f"{root}/__spark_entry__.py", copy)
+        if broken:
+            os.makedirs(copy / "evokeline" / "llm")
+            (copy / "evokeline" / "llm" / "__init__.py").write_text("")
+            (copy / "evokeline" / "llm" / "queries.py").write_text("import no_such_module_at_all\n")
+            (copy / "corpus_pipeline.py").write_text("from evokeline.llm import queries\n")
+        done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert (done.returncode == 0) == (not broken)
