@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evokeline.functions.session import forget, scratch
 from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicity
-from evokeline.llm.common import checkpoint, documents
+from evokeline.llm.common import documents
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group whose five-word shingles resemble by 0.8 or more."""
+    """The first document of each group of near copies: operator 3's links over five words, and all others of 0.8 or more."""
     return near_copies.first_of_each(docs)
 
 
@@ -29,8 +30,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the training sequences."""
-    return packing.pack(packing.pieces(docs))
+    """Pieces of all documents, with their ids in two bytes each and their place in the training sequences."""
+    return packing.pack(packing.pieces(docs, with_ids=2))
 
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_boilerplate), ("simhash_near_dedup", without_near_copies), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
@@ -40,8 +41,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage applied to what the one before it kept."""
-    docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else checkpoint(docs), sf_dir)
-    return docs
+    """The rows of the last stage, each stage applied to what the one before it kept, as Parquet in the shared folder.
+
+    A stage's table is deleted once the next one's is written; the last one read stays, as the result may depend on it.
+    """
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
