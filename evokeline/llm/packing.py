@@ -23,13 +23,14 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents, small_batches, text_of
+from .common import checkpoint, documents, sliced, text_of
 from .tokens import packed_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,27 +40,36 @@ CLOSING_ID = 1
 SALTS = 64
 
 
-def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; with_ids adds the ids as little-endian 32-bit integers."""
+def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: int = 0) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; with_ids (2 or 4) adds the ids as little-endian integers of so many bytes."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     closing = CLOSING_ID.to_bytes(4, "little")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * bool(with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in sliced(batch):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), packed_ids(part.column(1).to_pylist(), path), strict=True):
                     ids += closing
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[i : i + 4 * capacity]
-                        rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own), own))
+                        rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own), narrow(own, with_ids)))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[: len(names)]], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(with_ids)
+    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)
+
+
+def narrow(ids: bytes, width: int) -> bytes:
+    """32-bit integers as integers of ``width`` bytes."""
+    if width != 2:
+        return ids
+    whole = np.frombuffer(ids, "<u4")
+    if whole.max(initial=0) >= 1 << 16:
+        raise ValueError("the vocabulary's ids need four bytes")
+    return whole.astype("<u2").tobytes()
 
 
 class Gaps:

@@ -11,7 +11,8 @@ the ids, lengths and surface of the words it saw lately; words that it lacks go
 property are encoded text by text.
 
 Null and empty texts have the begin and end ids only and decode to the empty text. A character outside the vocabulary
-becomes one piece for each of its bytes, of which the first spans the character. Repeated rows give repeated results,
+becomes one piece for each of its bytes, of which the first spans the character; in models without pieces for bytes it is
+the unknown piece, which spans all such characters in a row. Repeated rows give repeated results,
 empty tables empty ones; other columns are ignored.
 """
 
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, text_of
+from .common import documents, sliced, text_of
 from .tokens import RecentWords
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-WORDS = 300_000
+#: Bytes of words that a worker keeps.
+WORDS = 64 << 20
 
 
 class CharacterMap:
@@ -83,11 +85,12 @@ class Pieces:
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.encode() for p in proto.pieces]
         crossing = re.compile(f"[^{SPACE}]{SPACE}")
         by_word = self.prefix and self.escape and not self.squeeze and not any(crossing.search(p.piece) for p in proto.pieces)
-        self.by_word = by_word and not self.map.units
+        self.by_word = by_word and not self.map.units and any(p.type == 6 for p in proto.pieces)
+        self.unknown = self.library.unk_id()
         self.mark = self.library.piece_to_id(SPACE)
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.word_mark = mark
-        self.words = RecentWords(self.word, WORDS)
+        self.words = RecentWords(self.word, WORDS, lambda x: 200 + sum(map(len, x)))
 
     def normalised(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text and, for each of its bytes and for its end, the byte of ``text`` it comes from."""
@@ -122,8 +125,12 @@ class Pieces:
         """Ids, lengths in normalised bytes and surface of a word behind a space mark."""
         return self.packed([self.mark] if not word else self.library.encode(word))
 
-    def packed(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        parts = [self.bytes_of[k] for k in ids]
+    def packed(self, ids: list[int], text: str = "") -> tuple[bytes, bytes, bytes]:
+        """As ``word``; an unknown piece stands for what ``text`` has in its place, be it one character or more."""
+        if self.unknown in ids:
+            parts = [p.piece.encode() for p in self.library.encode(text, return_type="proto").pieces]
+        else:
+            parts = [self.bytes_of[k] for k in ids]
         return array("I", ids).tobytes(), array("I", map(len, parts)).tobytes(), b"".join(parts).replace(self.word_mark, b" ")
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray, bytes]:
@@ -133,7 +140,7 @@ class Pieces:
             return begin + end, np.zeros((0, 2), np.int64), b""
         source = self.normalised(text)[1]
         if not self.by_word:
-            own = [self.packed(self.library.encode(text))]
+            own = [self.packed(self.library.encode(text), text)]
         elif SPACE in text or "  " in text or text[0] == " ":
             own = [self.words[x[1:]] for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
         else:
@@ -172,12 +179,11 @@ def _mapped(df: DataFrame, path: str | None, schema: str, kinds: list, row) -> D
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                b = whole.slice(at, 256)
+            for b in sliced(whole):
                 rows = [(doc, *row(*own.encode(text.as_py()))) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encoded, schema)
+    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encoded, schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_ids_equal_the_library(text):
 
 
 def check_pack(df):
-    rows = packing.pack(packing.pieces(df, with_ids=True)).collect()
+    rows = packing.pack(packing.pieces(df, with_ids=4)).collect()
     by_doc, bins = {}, {}
     for r in rows:
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
@@ -95,3 +95,34 @@ def test_plan(counts):
             assert offset == at
             at += length
         assert at <= 50
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    """Unbroken texts of a script without spaces leave nothing in the caches; many words leave at most their bounds."""
+    from evokeline.llm import pieces, tokens
+
+    draw = __import__("random").Random(1)
+    unbroken = ["".join(map(chr, (draw.randrange(0x4E00, 0x9FA5) for _ in range(20_000)))) for _ in range(20)]
+    words = [" ".join("".join(draw.choices("abcdeghé", k=9)) for _ in range(5000)) for _ in range(40)]
+    own = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
+    own.words.most = 1 << 20
+    caches = tokens.encoder(PATH)
+    for x in caches:
+        x.clear()
+        x.held = 0
+    monkeypatch.setattr(caches[0], "most", 1 << 20)
+    size = lambda d: sum(__import__("sys").getsizeof(k) + __import__("sys").getsizeof(v) + 100 for k, v in d.items())
+    for t in unbroken:
+        packed_ids([t], PATH)
+        own.encode(t)
+    assert size(caches[0]) + size(caches[1]) + size(own.words) < 1 << 16
+    for t in words:
+        packed_ids([t], PATH)
+        own.encode(t)
+        assert size(caches[0]) < 4 << 20 and len(own.words) * 400 < 4 << 20
+
+
+def test_session_stays_as_it_is(spark, odd):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packing.pieces(odd).count()
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
