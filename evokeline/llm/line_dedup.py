@@ -8,9 +8,13 @@ from a second pass over just these lines.
 A line of at least ``min_sites`` sites is boilerplate. Its first occurrence, by (doc_id, line), stays, so no content
 leaves the corpus; all others go. Lines are compared without white space at their ends; blank lines are never removed.
 
+The texts that lose lines get the lines' numbers by a join on (doc_id, hash of the text): these numbers are broadcast while
+they are few, so that no text is shuffled; beyond, both sides are, and the runtime splits a key that many equal rows share.
+
 Null texts are empty and stay null; texts without boilerplate stay as they are, byte for byte. A null site counts as no
 site. Equal ids: rows are told apart by (doc_id, hash of the text), and equal rows share the first occurrence. An empty
-table gives an empty table. Columns other than doc_id, text, n_chars and source are kept.
+table gives an empty table. Columns other than text and n_chars are kept; ``n_removed`` gets underscores while a column
+has that name.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, text_of
+from .common import bounded, checkpoint, documents, own_names, text_of
 
 MIN_SITES = 10
 MARGIN = 0.15
@@ -47,14 +51,16 @@ def without_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, margin: float
     """``df`` with the lines that go cut out of ``text``, n_chars (if there) to match, and n_removed at the end."""
     found = boilerplate(df, min_sites, margin)
     hits = _lines(df).join(found, "line").where("not (doc_id <=> first.doc_id and content = first.content and at = first.at)")
-    gone = hits.groupBy("doc_id", "content").agg(F.collect_set("at").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    own = F.xxhash64(text_of())
-    joined = df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_content")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_text", text)
-    columns = [F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
-    return out.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    own, content, gone, text, removed = own_names(df, "own", "content", "gone", "kept", "n_removed")
+    losses = checkpoint(hits.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias(gone)).withColumnsRenamed({"doc_id": own, "content": content}))
+    lines = losses.agg(F.sum(F.size(gone))).first()[0] or 0
+    small = bounded(losses, 48 + 8 * lines // max(1, losses.count()))
+    joined = df.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text_of()) == F.col(content)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    length = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")) if "n_chars" in df.columns else None
+    columns = [F.col(text).alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
+    return out.select(*columns, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
