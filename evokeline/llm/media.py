@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, text_of
+from .common import documents, sliced, text_of
 
 WIDTH = 64
 HEIGHT = 64
@@ -213,33 +213,45 @@ def frames_of(data: bytes) -> tuple[list[bytes], int]:
 
 
 def scan_of(frame: bytes) -> tuple[int, tuple[bytes, bytes], bytes]:
-    """Height, Huffman table and coded lines of a lossless JPEG frame."""
-    at, height, tables = 2, 0, (b"", b"")
+    """Height, Huffman table and coded lines of a lossless JPEG frame; frames of another kind than ``film`` takes are refused."""
+    at, height, restart, tables = 2, 0, 0, (b"", b"")
     while True:
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xC3:
-            height, width = struct.unpack_from(">HH", body, 1)
-            if width != WIDTH:
-                raise ValueError(f"frames of {WIDTH} samples a line are read")
+            bits, height, width, parts = struct.unpack_from(">BHHB", body)
+            if (bits, width, parts) != (8, WIDTH, 1):
+                raise ValueError(f"frames of {WIDTH} samples a line, of 8 bits and one component, are read")
+        elif 0xC0 <= marker <= 0xCF and marker != 0xC4:
+            raise ValueError("only lossless frames (SOF3) are read")
         elif marker == 0xC4:
             tables = (body[1:17], body[17:])
+            if any(tables[0][4:]):
+                raise ValueError("codes of up to four bits are read")
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
+            if restart != WIDTH or body[3] != 1:
+                raise ValueError("lines that are restart intervals of the first predictor are read")
             return height, tables, frame[at:-2]
 
 
 def read(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-    """Of each AVI file the stored bytes, and its frames (frame x line x sample)."""
+    """Of each AVI file the stored bytes, and its frames (frame x line x sample). Every frame has its own Huffman table."""
     found = [frames_of(x) for x in files]
     parts = [scan_of(f) for frames, _ in found for f in frames]
-    samples = unscanned([p[2] for p in parts], parts[0][1], sum(p[0] for p in parts)) if parts else np.zeros((0, WIDTH), np.uint8)
-    out, at, k = [], 0, 0
+    lines: list[np.ndarray] = [np.zeros((0, WIDTH), np.uint8)] * len(parts)
+    for tables in dict.fromkeys(p[1] for p in parts):
+        own = [k for k, p in enumerate(parts) if p[1] == tables]
+        samples = unscanned([parts[k][2] for k in own], tables, sum(parts[k][0] for k in own))
+        for k, x in zip(own, np.split(samples, np.cumsum([parts[k][0] for k in own])[:-1]), strict=True):
+            lines[k] = x
+    out, at = [], 0
     for frames, n in found:
-        height = parts[k][0] if frames else 0
-        own = samples[at : at + height * len(frames)]
-        out.append((own.tobytes()[:n], own.reshape(len(frames), height, WIDTH)))
-        at, k = at + height * len(frames), k + len(frames)
+        own = np.stack(lines[at : at + len(frames)]) if frames else np.zeros((0, 0, WIDTH), np.uint8)
+        out.append((own.tobytes()[:n], own))
+        at += len(frames)
     return out
 
 
@@ -282,12 +294,12 @@ def _mapped(df: DataFrame, schema: str, kinds: list, rows) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch)):
             for ids, texts in _blocks(b):
                 out = [(doc, *row) for doc, each in zip(ids, rows(texts), strict=True) for row in each]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(made, schema)
+    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(made, schema)
 
 
 def media(df: DataFrame) -> DataFrame:
