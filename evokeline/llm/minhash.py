@@ -10,11 +10,12 @@ resemblance as (m - C) / (1 - C), cut at 0 and 1.
 
 The edited text of a document replaces its last half with the start of the next document's text, where documents follow
 each other by descending doc_id and the first follows the last. Only neighbours meet: rows are dealt into blocks of
-consecutive ids, a copy of each block's first row ends the block before, and a window over the block leads to the next
-row. Texts are shuffled once.
+neighbours, a copy of each block's first row ends the block before, and a window over the block leads to the next row. The
+blocks' bounds come from a range shuffle of the keys (doc_id, hash of the text) alone, so an id that many rows share is split;
+a row finds its block by bisection. Texts are shuffled once.
 
 Null texts are empty; a text with fewer than five words is one shingle, a text without words the empty one. Rows with
-equal ids follow each other by the hash of their text. A single row is its own next document. An empty table gives an
+equal ids follow each other by the hash of their text; rows that are equal altogether are neighbours in one block. A single row is its own next document. An empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,23 +99,34 @@ def hexadecimal(packed: str) -> Column:
     return F.array_join(F.transform(packed, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def neighbour_key(text: str = "text") -> Column:
+    """What rows are in order of; ids that are null come first, so that they are last in descending order."""
+    return F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("order"))
+
+
+def bisected(bounds: list[Row], key: Column) -> Column:
+    """How many of the ascending ``bounds`` aren't above ``key``."""
+    table = F.array(*[F.struct(F.lit(b["has"]).alias("has"), F.lit(b["id"]).cast("long").alias("id"), F.lit(b["order"]).cast("long").alias("order")) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(table, at + n - 1) <= key, at + n).otherwise(at)) if bounds else F.lit(0)
+
+
 def with_next(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, text) dealt into blocks of neighbours, with ``ghost`` rows that end each block.
 
-    A row for each block goes through the driver: at most BLOCKS times the shuffle partitions.
+    Two rows for each block go through the driver: at most BLOCKS times the shuffle partitions.
     """
-    n = partitions(rows) * BLOCKS
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    bounds = sorted({*bounds})
-    block = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<long>"), lambda x: x < F.coalesce("doc_id", F.lit(-(1 << 63))))) if bounds else F.lit(0)
-    dealt = rows.withColumn("block", block.cast("int"))
-    keys = dealt.select("block", F.col("doc_id"), F.xxhash64("text").alias("order"))
-    tops = sorted(((r["block"], r["top"]) for r in keys.groupBy("block").agg(F.max(F.struct("doc_id", "order")).alias("top")).collect()), key=lambda x: x[0])
+    keys = rows.select(neighbour_key().alias("key"))
+    ranges = keys.repartitionByRange(partitions(rows) * BLOCKS, "key").groupBy(F.spark_partition_id().alias("part"))
+    bounds = sorted(r["low"] for r in ranges.agg(F.min("key").alias("low")).collect())[1:]
+    dealt = rows.withColumn("block", bisected(bounds, neighbour_key()))
+    tops = sorted(((r["block"], r["top"]) for r in keys.select("key", bisected(bounds, F.col("key")).alias("block")).groupBy("block").agg(F.max("key").alias("top")).collect()), key=lambda x: x[0])
     if not tops:
         return dealt.withColumn("ghost", F.lit(False))
-    follows = {block: tops[k - 1][1] for k, (block, _) in enumerate(tops)}  # the next lower block; after the lowest the highest
-    table = rows.sparkSession.createDataFrame([(b, t["doc_id"], t["order"]) for b, t in follows.items()], "block int, id long, order long")
-    joined = rows.withColumn("_order", F.xxhash64("text")).join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_order") == F.col("order")))
+    follows = [(block, *tops[k - 1][1]) for k, (block, _) in enumerate(tops)]  # the next lower block; after the lowest the highest
+    table = rows.sparkSession.createDataFrame(follows, "block int, has boolean, id long, order long")
+    keyed = rows.withColumn("key", neighbour_key())
+    joined = keyed.join(F.broadcast(table), (F.col("key.has") == F.col("has")) & (F.col("key.id") == F.col("id")) & (F.col("key.order") == F.col("order")))
     ghosts = joined.dropDuplicates(["block"]).select(*rows.columns, "block")
     return dealt.withColumn("ghost", F.lit(False)).union(ghosts.withColumn("ghost", F.lit(True)))
 
