@@ -37,7 +37,6 @@ from random import Random
 from statistics import median
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,10 +240,10 @@ def redact(df: DataFrame, model: Markov, mark: str = "[secret]") -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``mark``; n_chars, if there, follows. Texts without one aren't sent back."""
     (changed,) = own_names(df, "changed")
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        found = [spans(x, model) if x is not None else [] for x in texts]
-        return pd.Series([hidden(x, own, mark) if own else None for x, own in zip(texts, found, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        found = ((x, spans(x, model)) for x in (t.as_py() or "" for t in texts))
+        return pa.array([hidden(x, own, mark) if own else None for x, own in found], pa.string())
 
     out = df.withColumn(changed, cleaned("text"))
     columns = {"text": F.coalesce(changed, "text")}

@@ -1,11 +1,15 @@
+import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evokeline.llm import html_text, media, pieces, secret_scan, toxicity
 
@@ -26,6 +30,13 @@ def test_pieces_equal_the_library(text):
         assert spans[0][0] == 0 and spans[-1][1] == len(data) and (spans[1:, 0] == spans[:-1, 1]).all()
 
 
+def test_spans_equal_the_library(docs):
+    """The byte offsets of the library's own pieces."""
+    own = pieces.model(PATH)
+    for text in [r["text"] for r in docs.limit(60).collect()] + ["Ünïcödé 日本語 😀 ﬁ É", "a  b ▁ c", " lead"]:
+        assert own.encode(text)[1].tolist() == [[p.begin, p.end] for p in LIBRARY.encode(text, return_type="proto").pieces]
+
+
 def test_spans_lead_to_the_text():
     text = "The caffè  opens at 9"
     ids, spans, _ = pieces.model(PATH).encode(text)
@@ -57,7 +68,14 @@ def test_longest_prefix():
     assert source.tolist() == [0, 0, 0, 0, 1, 1, 2, 2, 2, 3, 5, 6]
 
 
-def test_piece_tables(odd, none):
+def test_piece_tables(docs, odd, none):
+    for df in (docs, odd):
+        want = []
+        for r in df.collect():
+            ids = LIBRARY.encode(r["text"] or "", add_bos=True, add_eos=True)
+            want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()))
+        got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in pieces.digests(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert pieces.digests(odd).count() == odd.count() and pieces.encode(none).count() == 0
     assert {r["doc_id"]: r["n_tokens"] for r in pieces.digests(odd).collect()}[1] == 2
 
@@ -76,6 +94,37 @@ def test_media_round_trip(odd, none):
     assert media.media(odd).where("media is null").count() == 0
 
 
+def test_other_files(monkeypatch):
+    """Frames with tables of their own are read side by side; frames of other kinds are refused."""
+    import pytest
+
+    payloads = [bytes(range(64)) * 3, b"abc" * 64, b"x" * 640]
+    (first, second), other = media.stored(payloads[:2]), list(media.code_lengths())
+    media.jpeg_head.cache_clear()
+    monkeypatch.setattr(media, "code_lengths", lambda: [3, 3, 4, 4, 3, 3, 3, 3, 4])
+    (third,) = media.stored(payloads[2:])
+    monkeypatch.undo()
+    media.jpeg_head.cache_clear()
+    assert other == media.code_lengths() and [x for x, _ in media.read([first, third, second])] == [payloads[0], payloads[2], payloads[1]]
+    for a, b in ((b"\xff\xc3", b"\xff\xc0"), (b"\xff\xdd\x00\x04\x00\x40", b"\xff\xdd\x00\x04\x00\x20")):
+        with pytest.raises(ValueError, match="read"):
+            media.read([first.replace(a, b)])
+
+
+def test_features_by_hand(docs, odd):
+    for df in (docs, odd):
+        got = {(r["doc_id"], r["payload_sha256"]): r for r in media.features(df).collect()}
+        for r in df.collect():
+            data = (r["text"] or "").encode()
+            padded = data + bytes(-len(data) % 64 or (0 if data else 64))
+            row = got[r["doc_id"], hashlib.sha256(padded).hexdigest()]
+            assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"]) == (len(data), len(padded), zlib.crc32(padded[-64:]))
+            (film,) = media.stored([padded])
+            assert (row["media_bytes"], row["media_sha256"]) == (len(film), hashlib.sha256(film).hexdigest())
+            lines, (n, high) = len(padded) // 64, media.shape(len(padded) // 64)
+            assert row["feature"].startswith(f"{n}x{high}:0.00-") and n * high >= lines and row["feature"].endswith(f"-{n / media.RATE:.2f}")
+
+
 def test_shots():
     dark, light = np.full((6, 8, 64), 20, np.uint8), np.full((5, 8, 64), 200, np.uint8)
     assert media.shots(np.concatenate([dark, light])) == [(0, 6), (6, 11)]
@@ -107,25 +156,129 @@ def test_pages_of_the_table(spark):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
-def test_tree_matching():
-    a = ["d", 1, 0, 0, [["x", 1, 3, 5, []], ["y", 1, 2, 7, []]]]
-    b = ["d", 1, 0, 0, [["x", 1, 3, 5, []], ["z", 1, 1, 1, []], ["y", 1, 4, 8, []]]]
-    assert html_text.matching(a, b) == (3, [(0, 0), (1, 2)])
-    w = html_text.merged(a, b)
-    assert [c[0] for c in w[4]] == ["x", "z", "y"] and w[4][0][3] == 5 and w[4][2][3] is None and w[1] == 2
+def tree(page):
+    return html_text.Tree(html_text.parse(page))
+
+
+def matched(a, b):
+    """Simple tree matching, by its definition."""
+
+    def score(x, y):
+        if a.keys[x] != b.keys[y]:
+            return 0
+        c, d = a.children[x], b.children[y]
+        best = [[0] * (len(d) + 1) for _ in range(len(c) + 1)]
+        for i in range(len(c)):
+            for k in range(len(d)):
+                best[i + 1][k + 1] = max(best[i][k + 1], best[i + 1][k], best[i][k] + score(c[i], d[k]))
+        return 1 + best[-1][-1]
+
+    return score(0, 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<ul>", "</ul>", "<p>", "x", "<div class=a>", "<section>", "</section>", "<li>"]), max_size=40), st.lists(st.sampled_from(["<div>", "</div>", "<ul>", "</ul>", "<p>", "x", "<div class=a>", "<section>", "</section>", "<li>"]), max_size=40))
+def test_tree_matching(x, y):
+    a, b = tree("".join(x)), tree("".join(y))
+    m = html_text.Matching(a, b)
+    pairs = m.pairs()
+    assert m.score(a.shape[0], b.shape[0]) == len(pairs) == matched(a, b)
+    partner = dict(pairs)
+    assert len(set(partner.values())) == len(pairs) and all(a.keys[u] == b.keys[v] for u, v in pairs)
+    assert all(u == 0 or partner[a.parent[u]] == b.parent[v] for u, v in pairs)
+    assert [v for _, v in sorted(pairs)] == sorted(v for _, v in pairs)
+
+
+def test_chain_scores_its_nodes():
+    a = tree("<div><section><ul><table>x</table></ul></section></div>")
+    m = html_text.Matching(a, a)
+    assert m.score(a.shape[0], a.shape[0]) == 5 == len(m.pairs())
+
+
+def neutral(k, long, body=""):
+    """A page of a host whose names say nothing, with its main text."""
+    draw = random.Random(k)
+    words = lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+    n = 60 if long else 3
+    parts = [words(4), *(words(n) for _ in range(draw.randrange(1, 5))), words(n), words(n)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in parts[1:-2])
+    page = '<html><body><div class="top"><a href=/>Home</a><a>Blog</a><a>Contact us</a></div><div class="left"><ul><li><a>One thing</a><li><a>Other thing</a></ul></div>'
+    page += f'<div class="content"><h1>{parts[0]}</h1>{paragraphs}<div class="box"><p>We ship world wide.</p><p>Line two.</p><p>Line three</p></div><p class="social science">{parts[-2]}</p><div class="review-legal"><p>{parts[-1]}</p></div></div>'
+    return page + '<div class="bottom">All rights reserved to nobody in particular, and to nobody else</div></body></html>', "\n".join(parts)
+
+
+def test_pages_without_names_or_article(spark):
+    pages = [neutral(k, k < 8) for k in range(16)]
+    rows = [(k, f"http://{'long' if k < 8 else 'short'}.example/{k}", page) for k, (page, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 5):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df.repartition(n)).collect()}
+        assert [got[k] for k in range(16)] == [text for _, text in pages]
+
+
+def test_copies_are_no_template(spark):
+    """Copies of one article don't make it template, nor does one constant link make all links so."""
+    article = lambda k: f"<h1>Title {k}</h1><div class=lead><p>Lead {k} with <a>a link {k}</a></p></div><p class=byline><a>Staff</a></p><section class=s>Body text number {k} goes on</section>"
+    page = lambda k, n: f"<body><div class=x>Menu of the site</div><div class=y>{article(k)}</div><div class=z>Bottom {n}</div></body>"
+    rows = [(n, "http://a.example/", page(k, n)) for n, k in enumerate([1, 1, 1, 2, 3, 4, 5])]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, k in enumerate([1, 1, 1, 2, 3, 4, 5]):
+        assert f"Lead {k} with a link {k}" in got[n] and f"Body text number {k} goes on" in got[n] and "Menu" not in got[n]
+
+
+def test_deep_pages():
+    for depth in (2, 300, 5000):
+        page = "<div>x" * depth + "<nav>menu menu</nav>deep" + "</div>" * depth
+        assert html_text.main_text(page, []).endswith("xdeep") and "menu" not in html_text.main_text(page, [])
+
+
+def test_hot_hosts_without_broadcast(spark, monkeypatch):
+    rows = [(k, "http://hot.example/" if k % 3 else None, neutral(k, False)[0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = sorted(map(str, html_text.extract(df).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST", -1)
+    monkeypatch.setattr(html_text, "SALTS", 4)
+    assert a == sorted(map(str, html_text.extract(df).collect())) and len(a) == 30
+
+
+def secrets_one_by_one(text):
+    """The contract's base spans, by scanning with the patterns as they are written there."""
+    found = []
+    for kind, pattern, least in (
+        (0, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        (1, r"AKIA([A-Z0-9]+)", 12),
+        (2, r"([0-9a-f]+)", 32),
+    ):
+        flags = re.IGNORECASE | re.ASCII if kind == 0 else re.ASCII
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, flags) if len(m[2 if kind == 0 else 1]) >= least]
+    return sorted(found)
+
+
+def check_secrets(df, model):
+    rows = sorted(secret_scan.scan(df, model).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["spans"]))
+    texts = sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in df.collect())
+    assert len(rows) == len(texts)
+    want = []
+    for _, doc, text in texts:
+        base = secrets_one_by_one(text)
+        line = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        want.append((doc, *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(line.encode()).hexdigest(), line))
+    got = [(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], ",".join(x for x in r["spans"].split(",") if not x.startswith("markov"))) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_secrets(spark, docs, odd, none):
+    model = secret_scan.train(docs)
+    check_secrets(docs, model)
+    check_secrets(odd, model)
     found = {r["doc_id"]: r for r in secret_scan.scan(odd, secret_scan.train(odd)).collect()}
     assert found[8]["spans"] == "assign:2:28,access:30:50,hex:51:99" and found[1]["spans"] == ""
-    assert (found[8]["n_assign"], found[8]["n_access"], found[8]["n_hex"]) == (1, 1, 1)
-    model = secret_scan.Markov(["".join(random.Random(k).choices(secret_scan.ALPHABET, k=30)) for k in range(200)], ["getUserNameFromRequest", "the_quick_brown_fox_jumps", "internationalisation"] * 20)
-    token = "".join(random.Random(999).choices(secret_scan.ALPHABET[:62], k=40))
-    assert [x[1] for x in secret_scan.spans(f"see {token} and setUserNameFromRequest", model)] == [3]
-    clean = secret_scan.redact(odd, secret_scan.train(odd)).where("doc_id = 8").first()
+    clean = secret_scan.redact(odd, secret_scan.train(odd))
+    assert clean.columns == odd.columns and clean.where("changed <> 'clash'").count() == 0
+    clean = clean.where("doc_id = 8").first()
     assert clean["text"] == 'x [secret]" [secret] [secret]' and clean["n_chars"] == len(clean["text"])
     assert secret_scan.scan(none, secret_scan.train(none)).count() == 0
-    assert secret_scan.base_spans("secret: token: abcdefghij") == [] and secret_scan.base_spans("toKen=abcdefghij") == []
+    assert secret_scan.base_spans("secret: token: abcdefghij") == [] and secret_scan.base_spans("to\u212aen=abcdefghij") == []
 
 
 def test_toxicity(spark, odd, none):
@@ -144,10 +297,18 @@ def test_toxicity(spark, odd, none):
     held = [r for r in out if r["held"]]
     right = [(r["toxic_score"] >= 0.3) == (r["doc_id"] % 6 == 0) for r in held]
     assert 150 < len(held) < 300 and sum(right) / len(right) > 0.95
+    untrained = toxicity.fit([r[1] for r in rows if r[0] % 4], np.array([r[0] % 6 == 0 for r in rows if r[0] % 4], float), [r[2] for r in rows if r[0] % 4], epochs=0, steps=0)
+    loss = lambda m: np.mean([np.log(max(1e-9, p if r[0] % 6 == 0 else 1 - p)) for r in rows if r[0] % 4 == 0 for p in [float(m.probabilities(toxicity.pooled(m, pa.array([r[1]])))[0])]])
+    trained = toxicity.fit([r[1] for r in rows if r[0] % 4], np.array([r[0] % 6 == 0 for r in rows if r[0] % 4], float), [r[2] for r in rows if r[0] % 4])
+    assert loss(trained) >= loss(untrained) - 0.02
     kept = {r["doc_id"] for r in toxicity.clean(df, model).collect()}
     assert sum(k % 6 == 0 for k in kept) < 15 and sum(k % 6 != 0 for k in kept) > 720
     scored = toxicity.score(odd, model)
-    assert scored.where("toxic_score between 0 and 1").count() == odd.count() and toxicity.score(none, model).count() == 0
+    assert scored.where("toxic_score_ between 0 and 1 and toxic_score = 'clash'").count() == odd.count() and toxicity.score(none, model).count() == 0
+    assert toxicity.clean(odd, model).columns == odd.columns
+    twice = df.union(df.select("doc_id", F.concat("text", F.lit(" more")).alias("text"), "lang"))
+    first, again = toxicity.train(twice, labels), toxicity.train(twice.orderBy(F.rand(1)), labels)
+    assert (first.out == again.out).all() and (first.embeddings == again.embeddings).all()
     flat = toxicity.train(df, labels.where("toxic = 0"))
     assert toxicity.score(df, flat).where("toxic_score > 0.01").count() == 0
 
