@@ -77,7 +77,11 @@ def scored(folded: DataFrame, weights: DataFrame, keys: Sequence[str], feature:
 
 
 def linear_scorer(folded: DataFrame, keys: Sequence[str], kind: str = "dlda") -> DataFrame:
-    """(keys, fold, t, trial, y, score) of a linear model for each fold and time; ``logreg`` and ``linear_svc`` are fitted in numpy."""
+    """(keys, fold, t, trial, y, score) of a linear model for each fold and time; ``logreg`` and ``linear_svc`` are fitted in numpy.
+
+    Only these two hold the trials of one key (recording, comparison, repeat) at one time in one task: a vector of channels
+    for each trial, so a recording of a thousand trials is a megabyte. ``dlda`` needs sums alone and has no such bound.
+    """
     if kind == "dlda":
         return scored(folded, fit(folded, keys, ["channel", "t"]), keys, ["channel", "t"], ["t"])
     wide = folded.groupBy(*keys, "t", "trial", "y", "fold").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("v"))
@@ -95,7 +99,7 @@ def linear_scorer(folded: DataFrame, keys: Sequence[str], kind: str = "dlda") ->
         return pdf[names]
 
     schema = ", ".join(f"{c} {types.get(c, 'double')}" for c in names)
-    return wide.groupBy(*keys, "t").applyInPandas(one, schema)  # the trials of one subject, comparison, repeat and time
+    return wide.groupBy(*keys, "t").applyInPandas(one, schema)  # one recording at one time: as many vectors as it has trials
 
 
 def decision(x: np.ndarray, y: np.ndarray, test: np.ndarray, kind: str, c: float = 1.0, steps: int = 200) -> np.ndarray:
@@ -141,15 +145,18 @@ def sliding_auc(trial: DataFrame, fold: DataFrame, keys: Sequence[str], kind: st
     return auc(linear_scorer(folded_rows(trial, fold, keys), [*keys, "repeat"], kind), [*keys, "repeat", "fold", "t"])
 
 
-def _dense(rows: list[dict], places: dict, axis: str, values: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The axis of some (channel, axis, values) entries, and axis x channel matrices: which are there, and each value."""
-    at, line = np.unique([r[axis] for r in rows], return_inverse=True)
-    column = [places[r["channel"]] for r in rows]
-    known, out = np.zeros((len(at), len(places))), [np.zeros((len(at), len(places))) for _ in values]
-    known[line, column] = 1
-    for matrix, v in zip(out, values, strict=True):
-        matrix[line, column] = [r[v] for r in rows]
-    return at, known, out
+def _dense(entries: pa.StructArray, channels: np.ndarray, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The times of some entries (channel, t, values), and times x channels: which are there, and each value; other channels are left out."""
+    value = lambda c: entries.field(c).to_numpy(zero_copy_only=False)
+    channel = value("channel")
+    column = np.minimum(np.searchsorted(channels, channel), len(channels) - 1)
+    own = (channels[column] == channel) & np.all([~np.isnan(value(c).astype(float)) for c in names], axis=0)
+    times, line = np.unique(value("t")[own], return_inverse=True)
+    known, out = np.zeros((len(times), len(channels))), [np.zeros((len(times), len(channels))) for _ in names]
+    known[line, column[own]] = 1
+    for matrix, c in zip(out, names, strict=True):
+        matrix[line, column[own]] = value(c)[own]
+    return times, known, out
 
 
 def crossed(folded: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -167,19 +174,19 @@ def crossed(folded: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataF
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.schema.get_field_index
+            time = batch.schema.field("_x").type.value_type.field("t").type
             for k in range(len(batch)):
-                b = batch.slice(k, 1)
-                samples, model = (b.column(b.schema.get_field_index(c))[0].as_py() for c in ("_x", "_w"))
-                places = {c: i for i, c in enumerate(sorted({r["channel"] for r in model}))}
-                train, there, (w, mid) = _dense(model, places, "t", ["w", "mid"])
-                test, known, (x,) = _dense([r for r in samples if r["channel"] in places and r["x"] is not None], places, "t", ["x"])
-                scores, met = w @ x.T - (w * mid) @ known.T, there @ known.T
-                lines = [(t, test[m > 0], s[m > 0]) for t, m, s in zip(train.tolist(), met, scores, strict=True) if (m > 0).any()]
+                samples, model = (batch.column(place(c))[k].values for c in ("_x", "_w"))
+                channels = np.unique(model.field("channel").to_numpy(zero_copy_only=False))
+                train, there, (w, mid) = _dense(model, channels, ["w", "mid"])
+                test, known, (x,) = _dense(samples, channels, ["x"])
+                scores, met = w @ x.T - (w * mid) @ known.T, there @ known.T > 0
+                lines = [(t, test[m], s[m]) for t, m, s in zip(train, met, scores, strict=True) if m.any()]
                 if lines:
-                    again = pa.array([0] * len(lines))
-                    columns = [b.column(b.schema.get_field_index(c)).take(again) for c in names]
-                    kinds = [b.schema.field("_x").type.value_type.field("t").type, pa.list_(b.schema.field("_x").type.value_type.field("t").type), pa.list_(pa.float64())]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, k) for v, k in zip(zip(*lines, strict=True), kinds, strict=True))], [*names, "t_train", "t_test", "score"])
+                    columns = [batch.column(place(c)).take(pa.array([k] * len(lines))) for c in names]
+                    kinds = [time, pa.list_(time), pa.list_(pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(list(v), kind) for v, kind in zip(zip(*lines, strict=True), kinds, strict=True))], [*names, "t_train", "t_test", "score"])
 
     scored = both.mapInArrow(products, schema)
     return scored.select(*names, "t_train", F.explode(F.arrays_zip("t_test", "score")).alias("s")).select(*names, "t_train", "s.t_test", "s.score")

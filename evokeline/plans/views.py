@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Trials of a recording; more vectors are more subjects.
+TRIALS = 100
 CODES = {"purchase": 1, "click": 2, "view": 3, "signup": 4, "error": 5}
 
 
@@ -15,7 +17,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def trial_long(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), "label", F.posexplode("embedding").alias("pos", "v"))
-    return rows.select((F.col("trial") % 5).alias("subject"), "trial", F.expr("cast(pos div 8 as int)").alias("channel"), (F.col("pos") % 8).cast("int").alias("t"), F.col("v").cast("double").alias("x"), "label")
+    return rows.select(F.expr(f"trial div {TRIALS}").alias("subject"), "trial", F.expr("cast(pos div 8 as int)").alias("channel"), (F.col("pos") % 8).cast("int").alias("t"), F.col("v").cast("double").alias("x"), "label")
 
 
 def code_column() -> Column:
@@ -61,7 +63,7 @@ def _case() -> str:
 
 
 VIEWS = {
-    "trial_long": "trial_long AS (SELECT vec_id % 5 AS subject, vec_id AS trial, cast((i - 1) // 8 AS INT) AS channel, cast((i - 1) % 8 AS INT) AS t, cast(embedding[i] AS DOUBLE) AS x, label FROM (SELECT vec_id, embedding, label, unnest(range(1, 65)) AS i FROM embeddings))",
+    "trial_long": "trial_long AS (SELECT vec_id // 100 AS subject, vec_id AS trial, cast((i - 1) // 8 AS INT) AS channel, cast((i - 1) % 8 AS INT) AS t, cast(embedding[i] AS DOUBLE) AS x, label FROM (SELECT vec_id, embedding, label, unnest(range(1, 65)) AS i FROM embeddings))",
     "event_seq": f"event_seq AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts, {_case()} AS code, value FROM events)",
     "event_names": "event_names AS (SELECT user_id AS subject, event_id, event_type || '/' || cast(event_id % 3 AS VARCHAR) AS name FROM events)",
     "score_matrix": "score_matrix AS (SELECT r_name AS grp, subject, t, round(score, 9) AS score FROM (SELECT l_suppkey AS subject, cast(month(l_shipdate) AS INT) AS t, avg(l_discount) * 10 AS score FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = subject JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
