@@ -210,16 +210,17 @@ def mid_ranks(d: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Statistics by name: what a value becomes before flips, and the statistic from the values and their flipped sums.
+#: Statistics: what a value becomes before flips, and the statistic from the values and their flipped sums (points x units, points x flips).
+Statistic = str | tuple[Callable, Callable]
 STATISTICS: dict[str, tuple[Callable, Callable]] = {"t": (lambda d: d, t_value), "mean": (lambda d: d, mean_value), "wilcoxon": (mid_ranks, rank_z)}
 
 
-def flipped(df: DataFrame, keys: Sequence[str], point: Sequence[str], unit: str, value: str, mu: float, n_perm: int, seed: int, stat: str = "t") -> DataFrame:
+def flipped(df: DataFrame, keys: Sequence[str], point: Sequence[str], unit: str, value: str, mu: float, n_perm: int, seed: int, stat: Statistic = "t") -> DataFrame:
     """(keys, point, block, maps): the statistic of each point under the flips of each block; flip 0 is what was observed.
 
     Signs depend on the unit's text alone, so ids may be numbers or text. A point's row holds its units, not the flips.
     """
-    before, statistic = STATISTICS[stat]
+    before, statistic = STATISTICS[stat] if isinstance(stat, str) else stat
     d = df.select(*keys, *point, F.col(unit).cast("string").alias("_unit"), (F.col(value) - F.lit(float(mu))).cast("double").alias("_d"))
     vectors = d.groupBy(*keys, *point).agg(F.collect_list(F.struct("_unit", F.coalesce("_d", F.lit(float("nan"))).alias("_d"))).alias("_v"))
     blocks = range(0, n_perm + 1, BLOCK)
@@ -288,7 +289,7 @@ def _observed(maps: DataFrame, keys: Sequence[str], point: Sequence[str]) -> Dat
     return maps.where("block = 0").select(*keys, *point, F.when(~F.isnan(stat), stat).alias("tval"))
 
 
-def permutation_ttest(df: DataFrame, keys: Sequence[str], point: Sequence[str], n_perm: int = 1000, seed: int = 0, unit: str = "subject", value: str = "value", mu: float = 0.0, stat: str = "t") -> DataFrame:
+def permutation_ttest(df: DataFrame, keys: Sequence[str], point: Sequence[str], n_perm: int = 1000, seed: int = 0, unit: str = "subject", value: str = "value", mu: float = 0.0, stat: Statistic = "t") -> DataFrame:
     """(keys, point, t, p): against the largest absolute statistic over all points of each flip; the observed one counts."""
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, point, unit, value, mu, n_perm, seed, stat))
@@ -357,7 +358,7 @@ def masses(places: np.ndarray, values: np.ndarray, threshold: float, alternative
     return out
 
 
-def cluster_permutation(df: DataFrame, keys: Sequence[str], point: str, mu: float, n_perm: int = 1024, threshold: float = 1.7, alternative: str = "two-sided", stat: str = "t", seed: int = 0, unit: str = "subject", value: str = "score") -> DataFrame:
+def cluster_permutation(df: DataFrame, keys: Sequence[str], point: str, mu: float, n_perm: int = 1024, threshold: float = 1.7, alternative: str = "two-sided", stat: Statistic = "t", seed: int = 0, unit: str = "subject", value: str = "score") -> DataFrame:
     """(keys, cluster, t_start, t_end, n, mass, p): each run's mass against the largest mass of each flip.
 
     ``point`` is a gapless integer axis. Flips without any run count as mass 0; the observed map counts too.
@@ -369,7 +370,7 @@ def cluster_permutation(df: DataFrame, keys: Sequence[str], point: str, mu: floa
     return _against(runs, null, own, "mass", n_perm).select(*keys, "cluster", "t_start", "t_end", "n", "mass", "p")
 
 
-def cluster_matrix(df: DataFrame, keys: Sequence[str], axes: Sequence[str], mu: float, n_perm: int = 1024, threshold: float = 1.7, alternative: str = "two-sided", stat: str = "t", seed: int = 0, unit: str = "subject", value: str = "score", adjacency: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+def cluster_matrix(df: DataFrame, keys: Sequence[str], axes: Sequence[str], mu: float, n_perm: int = 1024, threshold: float = 1.7, alternative: str = "two-sided", stat: Statistic = "t", seed: int = 0, unit: str = "subject", value: str = "score", adjacency: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """(keys, axes, stat, cluster, n, mass, p) of each cell beyond the threshold: its cluster, named by the first cell's rank in the map.
 
     ``axes`` are one or two axes of whole numbers, in which neighbours are a step apart, or one axis whose neighbours
@@ -406,7 +407,7 @@ def enhanced(places: np.ndarray, values: np.ndarray, start: float, step: float,
     return out
 
 
-def tfce(df: DataFrame, keys: Sequence[str], point: str, start: float = 0.1, step: float = 0.1, mu: float = 0.0, n_perm: int = 200, seed: int = 0, unit: str = "subject", value: str = "score", stat: str = "t", e: float = 0.5, h: float = 2.0) -> DataFrame:
+def tfce(df: DataFrame, keys: Sequence[str], point: str, start: float = 0.1, step: float = 0.1, mu: float = 0.0, n_perm: int = 200, seed: int = 0, unit: str = "subject", value: str = "score", stat: Statistic = "t", e: float = 0.5, h: float = 2.0) -> DataFrame:
     """(keys, point, tfce, p): the enhanced map against the largest enhanced value of each flip; points at 0 are left out."""
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, [point], unit, value, mu, n_perm, seed, stat))
