@@ -313,6 +313,20 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(df, flat).where("toxic_score > 0.01").count() == 0
 
 
+def test_held_out_accuracy(spark):
+    """Labelled rows that training doesn't see, of a given table: scores tell their labels apart, and better than the start does."""
+    sf = "/root/testdata/sf0.1"
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(df, labels)
+    rows = toxicity.score(df.join(labels, "doc_id").where(toxicity.held_out()), model).select("toxic", "toxic_score").collect()
+    toxic = [r["toxic_score"] for r in rows if r["toxic"]]
+    clean = [r["toxic_score"] for r in rows if not r["toxic"]]
+    hit, wrong = sum(s >= toxicity.CUT for s in toxic), sum(s >= toxicity.CUT for s in clean)
+    assert len(toxic) > 100 and hit / len(toxic) >= 0.9 and hit / (hit + wrong) >= 0.93
+    auc = np.mean([[(a > b) + (a == b) / 2 for b in clean] for a in toxic])
+    assert auc > 0.96
+
+
 def test_held_out_rule(spark):
     import zlib
 
