@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,21 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Actions inside hand Python at most about ``most`` bytes at once; the session's own bound is back afterwards.
+
+    For jobs of many steps in one executor: a batch is held several times over, by the JVM and by its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows and bytes of an Arrow batch that a function works on at once. Spark bounds the bytes of whole batches itself
 #: (spark.sql.execution.arrow.maxBytesPerBatch); what Python makes of them is larger.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 4 << 20

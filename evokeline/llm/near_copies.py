@@ -1,9 +1,15 @@
-"""Near copies by exact resemblance: groups of texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
+"""Near copies by operator 3 and exact resemblance: groups of texts whose five-word shingles have a Jaccard index of 0.8 or more.
 
-No link is missed (prefix filter): with the shingles of all texts in one common order, two sets that resemble by 0.8
-share one of their first n - ceil(0.8 n) + 1 members. Those are the join keys; what meets is verified on the whole sets.
-Any order is exact; this one puts shingles that a sample of texts holds often last, so that passages which many texts
-share are no keys of texts that hold more than them.
+The Golay keys of operator 3 (``simhash.links``, here over five words) find the near copies whose fingerprints differ in
+at most two bits, and the whole sets decide. Texts at 0.8 differ in about ten bits of 64 though, more than Golay keys reach with
+selective keys, so a second search finds the links between the groups that are left. It misses none (prefix filter): with
+the shingles of all texts in one common order, two sets that resemble by 0.8 share one of their first n - ceil(0.8 n) + 1
+members. Those are the join keys. Any order is exact; this one puts shingles that a sample of texts holds often last, so that
+passages which many texts share are no keys of texts that hold more than them.
+
+A pair is first compared by sketches, one or two bits for each shingle: the parity of how many fall into a cell. Cells that differ
+hold a shingle that only one of both has, so pairs with more of them than a resemblance of 0.8 allows are done, and only the
+others need the whole sets. Nothing is lost by it.
 
 Only distinct sets are nodes: a group of copies of any size is one. Every key's smallest node is first compared with all
 others of the key; then those of the key's largest group are done, and only nodes outside it meet the key's nodes of
@@ -24,15 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, small_batches, text_of
-from .simhash import components
+from . import simhash
+from .common import bounded, checkpoint, own_names, sliced, text_of
 
 SHINGLE = 5
 SEED = 42
 #: Rows about that the order of shingles is learnt from, in how many of them a shingle is a common one, and how many are told apart.
 SAMPLE, OFTEN, COMMON = 4000, 4, 100_000
-#: Rows that are broadcast at most; above, the join is a shuffle.
-BROADCAST = 500_000
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -49,6 +53,13 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Of each cell of the low bits of a hash the parity of how many fall into it, as longs; two to four cells a shingle."""
+    cells = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
@@ -64,14 +75,14 @@ def first_keys(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np
 
 
 def _texts(df: DataFrame) -> DataFrame:
-    return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     """node, hashes of each row of ``texts``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch)):
             sets = [shingles(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
@@ -89,17 +100,17 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(texts: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, n (shingles), keys of each row."""
+    """doc_id, text_hash, node, n (shingles), bits (the SimHash), sketch, keys of each row."""
     common, counts = common_shingles(texts)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch)):
             sets = [shingles(x.as_py()) for x in b.column(2)]
-            keys = [first_keys(x, common, counts).view(np.int64) for x in sets]
-            columns = [b.column(0), b.column(1), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "keys"])
+            lists = [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (sketch, lambda x: first_keys(x, common, counts).view(np.int64))]
+            longs = [pa.array([f(x) for x in sets], pa.int64()) for f in (node_of, len, lambda x: int(simhash.majority(x).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, *lists], ["doc_id", "text_hash", "node", "n", "bits", "sketch", "keys"])
 
-    return texts.select("doc_id", "text_hash", "text").mapInArrow(marked, "doc_id long, text_hash long, node long, n int, keys array<long>")
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(marked, "doc_id long, text_hash long, node long, n long, bits long, sketch array<long>, keys array<long>")
 
 
 def _may_link(x: str, y: str) -> Column:
@@ -109,39 +120,58 @@ def _may_link(x: str, y: str) -> Column:
     return 9 * ahead >= 4 * (size(x) + size(y))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, which is checkpointed, with a hint to broadcast it unless it has more than BROADCAST rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _differing(x: str, y: str) -> Column:
+    """How many cells of two sketches differ; the longer one is folded to the length of the other."""
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) / 2), F.slice(c, F.size(c) / 2 + 1, F.size(c) / 2), lambda u, v: u.bitwiseXOR(v))
+    a, b = F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x)), F.when(F.size(y) > F.size(x), half(y)).otherwise(F.col(y))
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, c: n + c)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets resemble by 0.8 or more."""
-    pairs = checkpoint(pairs.distinct())
+    side = lambda node, n, name: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("sketch").alias(name))
+    sketched = pairs.distinct().join(side("b", "n_b", "y"), "b").join(side("a", "n_a", "x"), "a")
+    close = (F.size("x") <= 2 * F.size("y")) & (F.size("y") <= 2 * F.size("x"))  # all that resemble by 0.8 are
+    pairs = checkpoint(sketched.where(close).where(9 * _differing("x", "y") <= F.col("n_a") + F.col("n_b")).select("a", "b"))
     needed = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    one = checkpoint(marked.select("node", "text_hash").join(_small(needed), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
-    sets = _sets(texts.join(_small(one), "text_hash", "left_semi")).dropDuplicates(["node"])
+    one = checkpoint(nodes.select("node", "text_hash").join(bounded(needed, 24), "node", "left_semi").select("text_hash"))
+    sets = _sets(texts.join(bounded(one, 24), "text_hash", "left_semi")).dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return checkpoint(pairs.join(right, "b").join(left, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with equal fingerprints, as stars, and with fingerprints that operator 3 links."""
+    firsts = nodes.groupBy("bits").agg(F.min("node").alias("first"))
+    same = nodes.select("bits", "node").join(firsts, "bits").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = simhash.links(firsts.select("bits"))
+    ends = found.join(firsts.withColumnsRenamed({"bits": "a", "first": "u"}), "a").join(firsts.withColumnsRenamed({"bits": "b", "first": "v"}), "b")
+    return same.union(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+
+
 def roots(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, root) for every node that links to another one."""
+    nodes = marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
+    nodes = checkpoint(nodes)
+    links = _verified(_by_fingerprint(nodes), texts, nodes)
+    found = simhash.components(links)
     listed = marked.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "h"))
-    nodes = listed.select("h", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    placed = listed.select("h", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place")).join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
     of_key = Window.partitionBy("h")
-    met = nodes.withColumn("top", F.min(F.struct("node", "place")).over(of_key)).withColumn("last", F.max("node").over(of_key))
-    keys = checkpoint(met.where("top.node < last").select("h", "node", "place", F.col("top.node").alias("top"), F.col("top.place").alias("top_place")))
-    stars = _verified(keys.where((F.col("top") < F.col("node")) & _may_link("top_place", "place")).select(F.col("top").alias("a"), F.col("node").alias("b")), texts, marked)
-    found = components(stars)
-    placed = keys.select("h", "node", "place").join(_small(found), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
+    met = placed.withColumn("top", F.min(F.struct("root", "node", "place")).over(of_key)).withColumn("last", F.max("root").over(of_key))
+    keys = checkpoint(met.where("top.root < last").select("h", "node", "place", "root", "top"))
+    stars = keys.where((F.col("root") != F.col("top.root"))).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
+    links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
+    found = simhash.components(links)
+    placed = keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
     split = checkpoint(placed.withColumn("least", F.min("root").over(of_key)).withColumn("most", F.max("root").over(of_key)).where("least < most").drop("least", "most"))
     largest = split.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
     split = split.join(largest, "h")
     few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
     across = few.join(split, "h").where("own <> root and (root = main or a < node)").where(_may_link("a_place", "place"))
-    more = _verified(across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts, marked)
-    return found if more.isEmpty() else components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    more = _verified(across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts, nodes)
+    return found if more.isEmpty() else simhash.components(links.union(more))
 
 
 def grouped(df: DataFrame) -> DataFrame:
@@ -156,11 +186,12 @@ def first_of_each(df: DataFrame) -> DataFrame:
     rows = checkpoint(grouped(df).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("same")))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    told = rows.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "same", is_first.alias("kept"))
-    lost, twice = checkpoint(told.where("not kept").select("_id", "_hash")), checkpoint(told.where("kept and same > 1").select("_id", "_hash"))
-    on = (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == F.col("_hash")) & df["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-    rest = df.join(_small(lost), on, "left_anti")
+    own, own_hash = own_names(df, "own", "own_hash")
+    told = rows.join(first, "root").select(F.col("doc_id").alias(own), F.col("text_hash").alias(own_hash), "same", is_first.alias("kept"))
+    lost, twice = checkpoint(told.where("not kept").select(own, own_hash)), checkpoint(told.where("kept and same > 1").select(own, own_hash))
+    on = (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == F.col(own_hash)) & df["doc_id"].cast("long").eqNullSafe(F.col(own))
+    rest = df.join(bounded(lost, 24), on, "left_anti")
     if twice.isEmpty():
         return rest
-    repeated = rest.join(_small(twice), on).dropDuplicates(["_id", "_hash"]).select(*[df[c] for c in df.columns])
-    return rest.join(_small(twice), on, "left_anti").union(repeated)
+    repeated = rest.join(bounded(twice, 24), on).dropDuplicates([own, own_hash]).select(*[df[c] for c in df.columns])
+    return rest.join(bounded(twice, 24), on, "left_anti").union(repeated)

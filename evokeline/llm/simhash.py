@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, small_batches, text_of
+from .common import checkpoint, documents, sliced, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -54,19 +54,30 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         here = words[at : at + BLOCK + shingle - 1]
         parts = zip(*(here[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
         hashes = np.array([digest(b" ".join(x), SEED) for x in parts], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        counts += ones(hashes)
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some big-endian hashes have each bit set, from the highest on."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The fingerprint of hashes that are at hand."""
+    counts = sum((ones(hashes[at : at + BLOCK].astype(">u8")) for at in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64))
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)[0]
+
+
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, bits (the fingerprint as a signed long) of each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch)):
             bits = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
-    return small_batches(df).select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(hashed, "doc_id long, bits long")
+    return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(hashed, "doc_id long, bits long")
 
 
 @lru_cache(maxsize=1)
@@ -172,11 +183,5 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     return groups(fingerprints(df, shingle), radius).select("doc_id", hexadecimal("bits").alias("fingerprint"), "component_id")
 
 
-def first_of_each(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` whose id names their group; of rows with that id, and of rows without any, all stay."""
-    kept = near_duplicates(df, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return df.join(kept, df["doc_id"].cast("long") == kept["kept_id"], "left").where("kept_id is not null or doc_id is null").select(*[df[c] for c in df.columns])
-
-
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

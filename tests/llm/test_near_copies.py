@@ -79,3 +79,27 @@ def test_one_row_of_each_group(spark, odd, none):
 def test_first_keys_order():
     hashes = near_copies.shingles("one two three four five six seven eight nine ten")
     assert len(hashes) == 6 and len(near_copies.first_keys(hashes, hashes[:0], hashes[:0])) == 2
+
+
+def test_fingerprints_alone_lose_links(spark):
+    """What the second search is for: operator 3's keys find part of the links of 0.8 or more."""
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = near_copies._marked(near_copies._texts(df))
+    found = near_copies._by_fingerprint(marked.dropDuplicates(["node"])).count()
+    linked = sum(5 * len(a & b) >= 4 * len(a | b) for a, b in combinations([shingle_set(t) for t in texts], 2))
+    assert 0 < found < linked
+
+
+def test_sketches_lose_no_link():
+    draw = random.Random(3)
+    for size in (1, 3, 40, 300, 3000):
+        for _ in range(20):
+            a = {draw.getrandbits(64) for _ in range(size)}
+            b = set(list(a)[draw.randrange(size // 5 + 1) :]) | {draw.getrandbits(64) for _ in range(draw.randrange(size // 4 + 1))}
+            x, y = (near_copies.sketch(near_copies.np.array(sorted(s), "u8")) for s in (a, b))
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            assert sum(int(v).bit_count() for v in (x ^ y).view("u8")) <= len(a ^ b)
