@@ -1,17 +1,33 @@
-"""A corpus pipeline: toxic documents go, lines that spread over sites go, near copies go, secrets are hidden, the rest is packed."""
+"""A corpus pipeline: toxic documents go, lines that spread over sites go, near copies go, secrets are hidden, the rest is packed.
+
+The stages that call Python do so inside, in small batches, as five stages of one job share the executors' memory; those of
+which Python gives the result write it to the shared folder.
+"""
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from evokeline.functions.session import forget, scratch
 from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicity
-from evokeline.llm.common import documents
+from evokeline.llm.common import documents, small_batches
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a table in the shared folder."""
+    path = scratch(spark, name)
+    with small_batches(spark):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of their language."""
-    return toxicity.clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return settled(spark, "toxicity", lambda: toxicity.clean(docs, model))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,21 +37,26 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: operator 3's links over five words, and all others of 0.8 or more."""
-    return near_copies.first_of_each(docs)
+    with small_batches(spark):
+        return near_copies.first_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    return secret_scan.redact(docs, secret_scan.train(docs))
+    return settled(spark, "secrets", lambda: secret_scan.redact(docs, secret_scan.train(docs)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their ids in two bytes each and their place in the training sequences."""
-    return packing.pack(packing.pieces(docs, with_ids=2))
+    with small_batches(spark):
+        return packing.pack(packing.pieces(docs, with_ids=2))
 
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_boilerplate), ("simhash_near_dedup", without_near_copies), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
 
+#: Stages that give a table of their own.
+SETTLED = (without_toxic, without_secrets)
+
 #: Learned models and tokenizers aren't expressible in SQL.
 ORACLE_SQL = None
 
@@ -43,14 +64,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage applied to what the one before it kept, as Parquet in the shared folder.
 
-    A stage's table is deleted once the next one's is written; the last one read stays, as the result may depend on it.
+    A stage's table is deleted once the next one's is written; the last one stays, as the result may depend on it.
     """
-    docs, before = documents(spark, sf_dir), None
-    for name, stage in STAGES[:-1]:
-        path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            forget(spark, before)
-        before = path
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, kept = docs, stage(spark, docs, sf_dir)
+        docs = kept if stage in SETTLED else settled(spark, name, lambda kept=kept: kept)
+        if k:
+            forget(spark, posixpath.dirname(before.inputFiles()[0]))
     return STAGES[-1][1](spark, docs, sf_dir)
