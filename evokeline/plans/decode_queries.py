@@ -136,6 +136,29 @@ def _logreg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.sliding_auc(rows, fold, ["subject"], "logreg"), "auc")
 
 
+def logistic_sql() -> str:
+    """sc: the scores of logistic regression after its steps; zr has the scaled rows, each once for each fold."""
+    by = "subject, repeat, fold, t"
+    out = """, sca AS (SELECT r.subject, r.repeat, g.fold, r.t, r.channel, avg(x) AS m, CASE WHEN var_pop(x) > 1e-18 THEN sqrt(var_pop(x)) ELSE 1 END AS s, count(*) / (2e0 * count(*) FILTER (WHERE y = 0)) AS w0, count(*) / (2e0 * count(*) FILTER (WHERE y = 1)) AS w1 FROM fr r JOIN (SELECT DISTINCT subject, repeat, fold FROM folds) g ON g.subject = r.subject AND g.repeat = r.repeat AND g.fold <> r.fold GROUP BY ALL),
+ zc AS (SELECT r.subject, r.repeat, s.fold, r.t, trial, y, r.channel, s.fold <> r.fold AS trains, (x - m) / s AS z, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM fr r JOIN sca s ON s.subject = r.subject AND s.repeat = r.repeat AND s.t = r.t AND s.channel = r.channel),
+ zr AS (SELECT * FROM zc UNION ALL SELECT DISTINCT subject, repeat, fold, t, trial, y, -1, trains, 1e0, w FROM zc),
+ b0 AS (SELECT DISTINCT subject, repeat, fold, t, channel, 0e0 AS b FROM zr)"""
+    for k in range(C.STEPS):
+        out += f""", s{k} AS (SELECT {by}, trial, sum(b * z) AS score FROM zr JOIN b{k} USING ({by}, channel) WHERE trains GROUP BY ALL),
+ g{k} AS (SELECT {by}, channel, sum(w * (1 / (1 + exp(-score)) - y) * z) AS g, sum(w / (1 + exp(-score)) * (1 - 1 / (1 + exp(-score))) * z * z) AS h FROM zr JOIN s{k} USING ({by}, trial) WHERE trains GROUP BY ALL),
+ b{k + 1} AS MATERIALIZED (SELECT {by}, channel, b - {C.DAMPING}e0 * (g + CASE WHEN channel = -1 THEN 0 ELSE b / {C.PENALTY}e0 END) / (h + CASE WHEN channel = -1 THEN 0 ELSE 1 / {C.PENALTY}e0 END) AS b FROM b{k} JOIN g{k} USING ({by}, channel))"""
+    return out + f", sc AS (SELECT {by}, trial, y, sum(b * z) AS score FROM zr JOIN b{C.STEPS} USING ({by}, channel) WHERE NOT trains GROUP BY ALL)"
+
+
+LOGISTIC_SQL = MAIN_SQL + folds_sql("subject", K, 1) + ", fr AS (SELECT r.*, f.repeat, f.fold FROM tr r JOIN folds f USING (subject, trial))" + logistic_sql()
+
+
+@query("linear_scorer_logistic", V.sql("trial_long", LOGISTIC_SQL + " SELECT subject, cast(repeat AS INT) AS repeat, fold, t, trial, y, round(score, 6) + 0 AS score FROM sc"))
+def _logistic(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.linear_scorer(C.folded_rows(rows, fold, ["subject"]), ["subject", "repeat"], "logistic").select("subject", "repeat", "fold", "t", "trial", "y", "score"), "score")
+
+
 @query("linear_scorer_svc")
 def _svc(spark: SparkSession, d: str) -> DataFrame:
     rows, fold = rows_folds(spark, d, 1)

@@ -76,7 +76,7 @@ def test_planted_effect(spark):
     rows = [(0, k, c, t, draw.gauss(0, 1) + 4 * (t == 6) * (k % 2), k % 2) for k in range(40) for c in range(2) for t in range(10)]
     df = spark.createDataFrame(rows, "subject int, trial int, channel int, t int, x double, y int")
     fold = decode.stratified_folds(df, ["subject"], 5, 2)
-    for kind in ("dlda", "logreg", "linear_svc"):
+    for kind in ("dlda", "logistic", "logreg", "linear_svc"):
         mean = decode.fold_mean_sd(decode.sliding_auc(df, fold, ["subject"], kind), ["t"]).orderBy(F.desc("mean_auc")).first()
         assert mean["t"] == 6 and mean["mean_auc"] > 0.95
     tgm = decode.generalisation_matrix(df, fold, ["subject"]).groupBy("t_train", "t_test").agg(F.avg("auc").alias("a")).orderBy(F.desc("a")).first()
