@@ -6,7 +6,7 @@ Samples are rows (keys, channel, sample or t, x). Windows and groups run within
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,29 +70,51 @@ def fir_filter(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], zero
     """``x`` convolved with a centred kernel within each channel, forwards and (zero_phase) backwards; zeros where no sample is.
 
     Samples lie in chunks by their number, and those near a chunk's border also in the next one, so a recording of any
-    length is many groups; a chunk is convolved in numpy, which holds for kernels of thousands of taps. Columns other than
-    the keys, the order and ``x`` go.
+    length is many groups. Rows come sorted by group; the groups of a batch stand in one array, with zeros between them, and
+    are convolved at once, whatever their number and the kernel's length. Columns other than the keys, the order and ``x`` go.
     """
     half, size = len(kernel) // 2, max(8192, 16 * len(kernel))
     reach = 2 * half if zero_phase else half
     at = F.col(order).cast("long")
     own = df.select(*keys, F.col(order), F.col("x").cast("double").alias("x"), F.explode(F.sequence(F.floor((at - reach) / size), F.floor((at + reach) / size))).alias("_chunk"))
-    taps, types = np.asarray(kernel, float), dict(own.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = pdf[order].to_numpy(np.int64)
-        low = place.min() - half
-        there, x = np.zeros(place.max() - low + half + 1), np.zeros(place.max() - low + half + 1)
-        there[place - low], x[place - low] = 1, pdf["x"].fillna(0.0)
+    group, taps, types = [*keys, "_chunk"], np.asarray(kernel, float), dict(own.dtypes)
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        before = pdf[group].shift()
+        new = ((pdf[group] != before) & ~(pdf[group].isna() & before.isna())).any(axis=1).to_numpy()
+        new[:1] = True
+        return np.flatnonzero(new)
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, place = starts(pdf), pdf[order].to_numpy(np.int64)
+        low, high = place[first], place[np.append(first[1:], len(pdf)) - 1]
+        width = high - low + 1 + 2 * half
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pdf))))
+        cell = (np.cumsum(width) - width + half - low)[number] + place
+        there, x = np.zeros(width.sum()), np.zeros(width.sum())
+        there[cell], x[cell] = 1, pdf["x"].fillna(0.0)
         x = convolved(x, taps) * there
         x = convolved(x, taps[::-1]) if zero_phase else x
-        core = place // size == pdf["_chunk"].iloc[0]
+        core = place // size == pdf["_chunk"].to_numpy(np.int64)
         out = pdf.loc[core, [*keys, order]]
-        out["x"] = x[place[core] - low]
+        out["x"] = x[cell[core]]
         return out
 
+    def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            pdf = pdf.reset_index(drop=True)
+            if len(pdf):
+                last = starts(pdf)[-1]  # it may go on in the next batch
+                rest = pdf[last:]
+                if last:
+                    yield passed(pdf[:last].reset_index(drop=True))
+        if rest is not None:
+            yield passed(rest.reset_index(drop=True))
+
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, order)) + ", x double"
-    return own.groupBy(*keys, "_chunk").applyInPandas(one, schema)
+    return own.repartition(*group).sortWithinPartitions(*group, order).mapInPandas(sorted_groups, schema)
 
 
 def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
