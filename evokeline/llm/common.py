@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -52,7 +53,7 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
     """Actions inside hand Python at most about ``most`` bytes at once; the session's own bound is back afterwards.
 
     For jobs of many steps in one executor: a batch is held several times over, by the JVM and by its worker.
@@ -68,7 +69,7 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
 
 #: Rows and bytes of an Arrow batch that a function works on at once. Spark bounds the bytes of whole batches itself
 #: (spark.sql.execution.arrow.maxBytesPerBatch); what Python makes of them is larger.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 4 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 2 << 20
 
 
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -81,3 +82,20 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             continue
         yield part
         at, rows = at + len(part), min(ROWS_AT_ONCE, 2 * rows)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of a task's batches. At the end the worker, which other tasks share, gives back the memory it no longer needs."""
+    try:
+        for batch in batches:
+            yield from sliced(batch)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Unused memory of Arrow and, where the C library can, of Python and numpy to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, text_of
+from .common import documents, parts, text_of
 
 WIDTH = 64
 HEIGHT = 64
@@ -294,7 +294,7 @@ def _mapped(df: DataFrame, schema: str, kinds: list, rows) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in sliced(batch)):
+        for b in parts(batches):
             for ids, texts in _blocks(b):
                 out = [(doc, *row) for doc, each in zip(ids, rows(texts), strict=True) for row in each]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents, sliced, text_of
-from .tokens import packed_ids
+from .common import checkpoint, documents, parts, text_of
+from .tokens import forget_words, packed_ids
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -47,16 +47,16 @@ def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * bool(with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), packed_ids(part.column(1).to_pylist(), path), strict=True):
-                    ids += closing
-                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[i : i + 4 * capacity]
-                        rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own), narrow(own, with_ids)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[: len(names)]], names)
+        for part in parts(batches):
+            rows = []
+            for doc, ids in zip(part.column(0).to_pylist(), packed_ids(part.column(1).to_pylist(), path), strict=True):
+                ids += closing
+                for k, i in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[i : i + 4 * capacity]
+                    rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own), narrow(own, with_ids)))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[: len(names)]], names)
+        forget_words()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(with_ids)
     return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)

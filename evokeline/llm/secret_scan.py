@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, own_names, sliced, text_of
+from .common import documents, give_back, own_names, parts, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 PATTERNS = {
@@ -176,15 +176,14 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Markov:
     keep = re.compile(f"[^{re.escape(ALPHABET)}]")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in sliced(batch):
-                found = {}
-                for text in b.column(0):
-                    text = text.as_py()
-                    inside = [x[3] for x in base_spans(text)]
-                    found |= dict.fromkeys((True, x) for v in inside if len(x := keep.sub("", v)) <= LONGEST)
-                    found |= dict.fromkeys((False, x) for x in ORDINARY.findall(text) if len(x) <= LONGEST and not any(x in v or v in x for v in inside))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.string())], ["random", "token"])
+        for b in parts(batches):
+            found = {}
+            for text in b.column(0):
+                text = text.as_py()
+                inside = [x[3] for x in base_spans(text)]
+                found |= dict.fromkeys((True, x) for v in inside if len(x := keep.sub("", v)) <= LONGEST)
+                found |= dict.fromkeys((False, x) for x in ORDINARY.findall(text) if len(x) <= LONGEST and not any(x in v or v in x for v in inside))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.string())], ["random", "token"])
 
     tokens = df.where(order == 0).select(text_of().alias("text")).mapInArrow(cut, "random boolean, token string").distinct()
     chosen = [tokens.where(c).orderBy(F.xxhash64("token"), "token").limit(TOKENS) for c in ("random", "not random")]
@@ -211,7 +210,7 @@ def scan(df: DataFrame, model: Markov) -> DataFrame:
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in sliced(batch)):
+        for b in parts(batches):
             columns: list[list] = [[] for _ in names[1:]]
             for text in b.column(1):
                 found = spans(text.as_py(), model)
@@ -243,7 +242,9 @@ def redact(df: DataFrame, model: Markov, mark: str = "[secret]") -> DataFrame:
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
         found = ((x, spans(x, model)) for x in (t.as_py() or "" for t in texts))
-        return pa.array([hidden(x, own, mark) if own else None for x, own in found], pa.string())
+        out = pa.array([hidden(x, own, mark) if own else None for x, own in found], pa.string())
+        give_back()
+        return out
 
     out = df.withColumn(changed, cleaned("text"))
     columns = {"text": F.coalesce(changed, "text")}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, sliced, text_of
+from .common import checkpoint, documents, parts, text_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, bits (the fingerprint as a signed long) of each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in sliced(batch)):
+        for b in parts(batches):
             bits = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 

@@ -2,7 +2,7 @@
 
 The pre-tokenizer of the vocabulary never joins what white space divides, so the ids of a text are the ids of its
 space-separated parts one after another. Arrow splits the texts at hand and numbers their different parts; each of these is
-looked up once. Each Python worker keeps the ids of the words it saw lately as packed bytes.
+looked up once. A task keeps the ids of the words it saw lately as packed bytes.
 """
 
 from __future__ import annotations
@@ -35,21 +35,24 @@ class RecentWords(dict):
         self.make, self.most, self.weight, self.held = make, most, weight, 0
 
     def __missing__(self, key):
-        value = self.make(key)
+        return self.put(key, self.make(key))
+
+    def put(self, key, value):
         if len(key) <= self.LONGEST:
             self[key] = value
             self.held += self.ENTRY + (len(key) if key.isascii() else 4 * len(key)) + self.weight(value)
         return value
 
-    def trim(self) -> None:
-        if self.held > self.most:
+    def trim(self, most: int | None = None) -> None:
+        """Start again beyond ``most`` bytes, or the own bound."""
+        if self.held > (self.most if most is None else most):
             self.clear()
             self.held = 0
 
 
 #: A run of Latin letters with ASCII marks after it: each is one unit of the pre-tokenizer.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
-#: Bytes of words and of other parts and marks that a worker keeps.
+#: Bytes of words and of other parts and marks that a task keeps.
 WORDS, OTHERS = 64 << 20, 8 << 20
 
 
@@ -106,3 +109,8 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
     words.trim()
     others.trim()
     return [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def forget_words() -> None:
+    """Let go of vocabulary and caches at a task's end: its worker may serve other jobs for long."""
+    encoder.cache_clear()
