@@ -29,15 +29,16 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, text_of
+from .common import documents, parts, text_of
 from .tokens import RecentWords
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes of words that a worker keeps.
+#: Bytes of words that a task keeps.
 WORDS = 64 << 20
 
 
@@ -156,6 +157,40 @@ class Pieces:
         return begin + ids + end, np.stack([spans[:-1], spans[1:]], 1), surface
 
 
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, bytes]]:
+        """``encode`` of each text. Arrow splits those without runs of spaces into words and numbers the different ones."""
+        values = texts.to_pylist()
+        simple = [self.by_word and bool(t) and t[0] != " " and "  " not in t and SPACE not in t for t in values]
+        split = pc.split_pattern(texts.filter(pa.array(simple, pa.bool_())).cast(pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        new = [w for w in words if w and w not in self.words]
+        made = {w: self.words.put(w, self.packed(x)) for w, x in zip(new, self.library.encode(new, num_threads=1), strict=True)}
+        own = [made.get(w) or self.words[w] for w in words]
+        same = np.array([x[2] == b" " + w.encode() for x, w in zip(own, words, strict=True)], bool)
+        place = coded.indices.to_numpy().astype(np.int64)
+        ids, lengths = (np.frombuffer(b"".join(x[k] for x in own), np.uint32) for k in (0, 1))
+        n = np.fromiter((len(x[0]) // 4 for x in own), np.int64, len(own))
+        starts, count = np.cumsum(n) - n, n[place]
+        ends = np.cumsum(count)
+        pick = np.repeat(starts[place] - ends + count, count) + np.arange(count.sum())
+        ids, lengths, word_ends = ids[pick], lengths[pick].astype(np.int64), split.offsets.to_numpy()
+        bounds, at = np.concatenate([[0], ends])[word_ends], 0
+        begin, end = struct.pack("<I", self.begin), struct.pack("<I", self.end)
+        for text, alone in zip(values, simple, strict=True):
+            if not alone:
+                yield self.encode(text)
+                continue
+            a, b = bounds[at : at + 2]
+            data, source = text.encode(), self.normalised(text)[1]
+            spans = source[np.minimum(np.concatenate([[0], np.cumsum(lengths[a:b])]), len(source) - 1)]
+            if not same[place[word_ends[at] : word_ends[at + 1]]].all():
+                data = b"".join(own[k][2] for k in place[word_ends[at] : word_ends[at + 1]])[1:]
+            at += 1
+            yield begin + ids[a:b].tobytes() + end, np.stack([spans[:-1], spans[1:]], 1), data
+        self.words.trim()
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> Pieces:
     return Pieces(path)
@@ -178,10 +213,10 @@ def _mapped(df: DataFrame, path: str | None, schema: str, kinds: list, row) -> D
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for whole in batches:
-            for b in sliced(whole):
-                rows = [(doc, *row(*own.encode(text.as_py()))) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for b in parts(batches):
+            rows = [(doc, *row(*found)) for doc, found in zip(b.column(0).to_pylist(), own.encode_all(b.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        own.words.trim(-1)
 
     return df.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(encoded, schema)
 

@@ -30,6 +30,15 @@ def test_pieces_equal_the_library(text):
         assert spans[0][0] == 0 and spans[-1][1] == len(data) and (spans[1:, 0] == spans[:-1, 1]).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" ▁\nabé日<s>")), max_size=30), max_size=8))
+def test_many_texts_as_one_by_one(texts):
+    own = pieces.model(PATH)
+    for got, text in zip(own.encode_all(pa.array(texts, pa.string())), texts, strict=True):
+        want = own.encode(text)
+        assert got[0] == want[0] and got[1].tolist() == want[1].tolist() and got[2] == want[2]
+
+
 def test_spans_equal_the_library(docs):
     """The byte offsets of the library's own pieces."""
     own = pieces.model(PATH)
