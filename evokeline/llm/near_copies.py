@@ -14,7 +14,8 @@ others need the whole sets. Nothing is lost by it.
 Only distinct sets are nodes: a group of copies of any size is one. Every key's smallest node is first compared with all
 others of the key; then those of the key's largest group are done, and only nodes outside it meet the key's nodes of
 other groups. A large group of near copies thus costs its size and not its square, and still no pair that could join two
-groups goes unseen.
+groups goes unseen. Shingles that the sample finds in many texts are hot keys: their nodes are dealt to ``SALTS`` parts, each
+with a smallest node of its own, and these meet the key's smallest one.
 
 Words are as in operator 3. Texts with fewer than five words are one shingle; null, empty and blank texts are one group.
 """
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simhash
-from .common import bounded, checkpoint, own_names, sliced, text_of
+from .common import bounded, checkpoint, own_names, parts, text_of
 
 SHINGLE = 5
 SEED = 42
 #: Rows about that the order of shingles is learnt from, in how many of them a shingle is a common one, and how many are told apart.
 SAMPLE, OFTEN, COMMON = 4000, 4, 100_000
+#: How many sampled texts hold a hot key, and the parts of its nodes.
+HOT, SALTS = 40, 32
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -82,7 +85,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """node, hashes of each row of ``texts``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in sliced(batch)):
+        for b in parts(batches):
             sets = [shingles(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
@@ -99,12 +102,11 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[by], counts[by]
 
 
-def _marked(texts: DataFrame) -> DataFrame:
+def _marked(texts: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
     """doc_id, text_hash, node, n (shingles), bits (the SimHash), sketch, keys of each row."""
-    common, counts = common_shingles(texts)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in sliced(batch)):
+        for b in parts(batches):
             sets = [shingles(x.as_py()) for x in b.column(2)]
             lists = [pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (sketch, lambda x: first_keys(x, common, counts).view(np.int64))]
             longs = [pa.array([f(x) for x in sets], pa.int64()) for f in (node_of, len, lambda x: int(simhash.majority(x).view(np.int64)))]
@@ -150,24 +152,27 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.union(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
 
 
-def roots(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, root) for every node that links to another one."""
+def roots(texts: DataFrame, marked: DataFrame, hot: DataFrame) -> DataFrame:
+    """(node, root) for every node that links to another one; ``hot`` has the keys ``h`` of many texts."""
     nodes = marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
     nodes = checkpoint(nodes)
     links = _verified(_by_fingerprint(nodes), texts, nodes)
     found = simhash.components(links)
     listed = marked.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "h"))
     placed = listed.select("h", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place")).join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
-    of_key = Window.partitionBy("h")
-    met = placed.withColumn("top", F.min(F.struct("root", "node", "place")).over(of_key)).withColumn("last", F.max("root").over(of_key))
-    keys = checkpoint(met.where("top.root < last").select("h", "node", "place", "root", "top"))
-    stars = keys.where((F.col("root") != F.col("top.root"))).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
+    salted = placed.join(F.broadcast(hot.withColumn("salts", F.lit(SALTS))), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "salts")).cast("int"))  # COMMON keys at most
+    part = Window.partitionBy("h", "salt")
+    met = salted.withColumn("top", F.min(F.struct("root", "node", "place")).over(part)).withColumn("last", F.max("root").over(part))
+    keys = checkpoint(met.where("top.root < last or salts is not null").select("h", "node", "place", "root", "top", F.col("salts").isNotNull().alias("hot")))
+    tops = keys.where("hot").select("h", "top").distinct()  # SALTS for each hot key
+    least = tops.groupBy("h").agg(F.min("top").alias("least"))
+    stars = keys.select("root", "node", "place", "top").union(tops.join(least, "h").select("top.root", "top.node", "top.place", "least"))
+    stars = stars.where(F.col("root") != F.col("top.root")).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
     links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
     found = simhash.components(links)
-    placed = keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
-    split = checkpoint(placed.withColumn("least", F.min("root").over(of_key)).withColumn("most", F.max("root").over(of_key)).where("least < most").drop("least", "most"))
-    largest = split.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
-    split = split.join(largest, "h")
+    placed = checkpoint(keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root")))
+    sizes = checkpoint(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("h", "main"))
+    split = placed.join(sizes, "h")
     few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
     across = few.join(split, "h").where("own <> root and (root = main or a < node)").where(_may_link("a_place", "place"))
     more = _verified(across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts, nodes)
@@ -177,8 +182,10 @@ def roots(texts: DataFrame, marked: DataFrame) -> DataFrame:
 def grouped(df: DataFrame) -> DataFrame:
     """doc_id, text_hash, root (a name of the row's group) of each row of ``df``."""
     texts = _texts(df)
-    marked = checkpoint(_marked(texts))
-    return marked.select("doc_id", "text_hash", "node").join(roots(texts, marked), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    common, counts = common_shingles(texts)
+    hot = df.sparkSession.createDataFrame([(int(h),) for h in common[counts >= HOT].view(np.int64)], "h long")
+    marked = checkpoint(_marked(texts, common, counts))
+    return marked.select("doc_id", "text_hash", "node").join(roots(texts, marked, hot), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def first_of_each(df: DataFrame) -> DataFrame:

@@ -61,6 +61,15 @@ def test_stage_equals_brute_force(spark):
     assert kept_ids(corpus_pipeline.without_near_copies(spark, df, "")) == want
 
 
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """The same groups with every shared shingle a hot key in a few parts."""
+    monkeypatch.setattr(near_copies, "HOT", 4)
+    monkeypatch.setattr(near_copies, "SALTS", 3)
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert kept_ids(corpus_pipeline.without_near_copies(spark, df, "")) == one_by_one(list(enumerate(texts)))
+
+
 def test_stage_on_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0 or doc_id < 300")
     assert kept_ids(corpus_pipeline.without_near_copies(spark, df, "")) == one_by_one([(r["doc_id"], r["text"]) for r in df.collect()])
@@ -85,7 +94,8 @@ def test_fingerprints_alone_lose_links(spark):
     """What the second search is for: operator 3's keys find part of the links of 0.8 or more."""
     texts = edited()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marked = near_copies._marked(near_copies._texts(df))
+    own = near_copies._texts(df)
+    marked = near_copies._marked(own, *near_copies.common_shingles(own))
     found = near_copies._by_fingerprint(marked.dropDuplicates(["node"])).count()
     linked = sum(5 * len(a & b) >= 4 * len(a | b) for a, b in combinations([shingle_set(t) for t in texts], 2))
     assert 0 < found < linked
