@@ -225,6 +225,20 @@ def test_notch_takes_out_the_mains():
     assert gain(50) < 0.02 and gain(20) > 0.98 and gain(100) > 0.98
 
 
+def test_a_session_without_a_shared_folder():
+    """On one machine a session gets a folder of its own; on a cluster it is told to name one."""
+    from types import SimpleNamespace
+
+    from evokeline.functions import session
+
+    without = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(master=master))
+    folder = session.shared(without("local[4]"))
+    assert folder == session.shared(without("local[*]")) and session.scratch(without("local"), "x").startswith(f"{folder}/x-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared(without(master))
+
+
 def test_corpus_import_errors_surface(tmp_path):
     """Only a missing corpus package is passed over; an error inside it isn't."""
     import os
