@@ -12,8 +12,8 @@ hold a shingle that only one of both has, so pairs with more of them than a rese
 others need the whole sets. Nothing is lost by it.
 
 Only distinct sets are nodes: a group of copies of any size is one. Every key's smallest node is first compared with all
-others of the key; then those of the key's largest group are done, and only nodes outside it meet the key's nodes of
-other groups. A large group of near copies thus costs its size and not its square, and still no pair that could join two
+others of the key; nodes outside the key's largest group then meet one of its members, another one in each key they share;
+those of the largest group are done by then, and only what is still outside it meets the key's nodes of other groups. A large group of near copies thus costs its size and not its square, and still no pair that could join two
 groups goes unseen. Shingles that the sample finds in many texts are hot keys: their nodes are dealt to ``SALTS`` parts, each
 with a smallest node of its own, and these meet the key's smallest one.
 
@@ -122,6 +122,16 @@ def _may_link(x: str, y: str) -> Column:
     return 9 * ahead >= 4 * (size(x) + size(y))
 
 
+def _enough_keys() -> Column:
+    """Whether two sets with so many ``shared`` keys can resemble by 0.8.
+
+    Of the two last keys one isn't after the other; that set's keys are in the other set only as keys. So both have at most
+    their shared keys in common and the members of that set behind its keys.
+    """
+    behind = lambda n: F.floor((4 * F.col(n) + 4) / 5) - 1
+    return 9 * (F.col("shared") + F.greatest(behind("n_a"), behind("n_b"))) >= 4 * (F.col("n_a") + F.col("n_b"))
+
+
 def _differing(x: str, y: str) -> Column:
     """How many cells of two sketches differ; the longer one is folded to the length of the other."""
     half = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) / 2), F.slice(c, F.size(c) / 2 + 1, F.size(c) / 2), lambda u, v: u.bitwiseXOR(v))
@@ -170,12 +180,20 @@ def roots(texts: DataFrame, marked: DataFrame, hot: DataFrame) -> DataFrame:
     stars = stars.where(F.col("root") != F.col("top.root")).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
     links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
     found = simhash.components(links)
-    placed = checkpoint(keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root")))
-    sizes = checkpoint(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("h", "main"))
-    split = placed.join(sizes, "h")
-    few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
-    across = few.join(split, "h").where("own <> root and (root = main or a < node)").where(_may_link("a_place", "place"))
-    more = _verified(across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts, nodes)
+    for drawn in (False, True):
+        placed = checkpoint(keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root")))
+        sizes = checkpoint(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("h", "main"))
+        split = placed.join(sizes, "h")
+        few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
+        if drawn:
+            break
+        member = split.where("root = main").groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "node").alias("order"), "node", "place")).alias("one"))
+        tries = few.join(member, "h").select("a", "a_place", F.col("one.node").alias("b"), F.col("one.place").alias("b_place")).where(_may_link("a_place", "b_place"))
+        links = checkpoint(links.union(_verified(tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
+        found = simhash.components(links)
+    meet = few.join(split, "h").where("own <> root and (root = main or a < node)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.shiftright("a_place", 32).alias("n_a"), F.shiftright("place", 32).alias("n_b"))
+    across = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(_enough_keys())
+    more = _verified(across.select("a", "b"), texts, nodes)
     return found if more.isEmpty() else simhash.components(links.union(more))
 
 
