@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, media, minhash, packing, pieces, secret_scan, sharding, simhash, toxicity
+from . import fill_middle, html_text, lexical_search, line_dedup, media, minhash, packing, pieces, quality_rules, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_media_columns": media.op10_media_columns,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
