@@ -5,12 +5,13 @@ a score. Rows lie in the order of a coarse signature of their vectors, and every
 task indexes at once. In a segment each term's posting list is clustered by similarity: its members join the pivot, one of their
 own, that their vector (projected to ``DIMENSIONS`` random directions) has the largest cosine with. Runs of ``BLOCK`` members in
 that order are the blocks. A block stores the coordinatewise maximum of its members' vectors, rounded up to two bytes
-a coordinate; its product with an item's terms bounds the score of every member.
+a coordinate, over its list's term and those that weigh no more: its product with an item's terms bounds the score of every
+member that holds no heavier term of the item. The others are in the list of that term as well.
 
 Items visit the blocks of their own terms. The task keeps each item's best rows so far; a block is skipped if, and only
 if, its bound is below the lowest of ``most`` kept scores. Equal bounds are visited, as an equal score of a smaller id ranks
-first. Whoever could rank is in a block of one of the item's terms, and all blocks that hold it have at least its score
-as their bound, so no row is lost. Members of visited blocks are scored exactly, in 64-bit integers. The best rows of the tasks
+first. Whoever ranks is in a block of the list of its heaviest term of the item, and the bound of that block isn't below its
+score, so no row is lost. Members of visited blocks are scored exactly, in 64-bit integers. The best rows of the tasks
 meet in one ranking. No block or list is cut, and no document or term is left out.
 
 Items are searched in groups that have at most ``TERMS`` different terms (or one item), each against all rows, so what a
@@ -109,14 +110,17 @@ class Segment:
 
     def __init__(self, doc_id: np.ndarray, no_id: np.ndarray, n: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray, documents: int, length: int, block: int = BLOCK):
         self.doc_id, self.no_id = doc_id, no_id
-        self.terms, column = np.unique(term, return_inverse=True)
+        self.terms = np.unique(term)
+        heavy = np.argsort(-weight[self.terms], kind="stable")
+        self.column_of = np.full(len(weight), -1)
+        self.column_of[self.terms[heavy]] = np.arange(len(heavy))  # heavy terms first
+        self.terms, column = self.terms[heavy], self.column_of[term]
         m = 100 - SLOPE + (SLOPE * n * documents) // length
         adds = weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m[row]))
         self.adds = np.zeros((len(n), len(self.terms)), np.int64)
         self.adds[row, column] = adds
         self.step = max(1, -(-int(adds.max(initial=0)) // STEPS))
-        self.rounded = -(-self.adds // self.step)  # up
-        self.rounded = self.rounded.astype(np.uint16)
+        self.rounded = (-(-self.adds // self.step)).astype(np.uint16)  # up
         self.cluster(row, column, block)
 
     def cluster(self, row: np.ndarray, column: np.ndarray, block: int) -> None:
@@ -140,12 +144,12 @@ class Segment:
         self.firsts = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
         self.of = np.concatenate(of) if of else np.zeros(0, np.int64)
         self.ends = np.append(self.firsts[1:], len(order)) if len(self.firsts) else self.firsts
-        self.maxima = np.empty((len(self.firsts), len(self.terms)), np.uint16)
-        for k, (a, b) in enumerate(zip(self.firsts.tolist(), self.ends.tolist(), strict=True)):
-            np.max(self.rounded[order[a:b]], axis=0, out=self.maxima[k])
+        self.maxima = np.zeros((len(self.firsts), len(self.terms)), np.uint16)
+        for k, (c, a, b) in enumerate(zip(self.of.tolist(), self.firsts.tolist(), self.ends.tolist(), strict=True)):
+            np.max(self.rounded[order[a:b], c:], axis=0, out=self.maxima[k, c:])
 
     def bounds(self, wanted: np.ndarray) -> np.ndarray:
-        """Blocks x items: no member of the block scores more for the item; ``wanted`` is items x columns, 1 for an item's terms."""
+        """Blocks x items: no member without a heavier term of the item scores more; ``wanted`` is items x columns, 1 for an item's terms."""
         return (self.maxima.astype(np.float64) @ wanted.T.astype(np.float64)).astype(np.int64) * self.step
 
     def inside(self, blocks: np.ndarray) -> np.ndarray:
@@ -175,13 +179,10 @@ class Best:
 
 def visit(segment: Segment, wanted: Sequence[np.ndarray], best: Sequence[Best], most: int) -> int:
     """Rank a segment's rows for each item (the places of its terms); gives how many blocks were skipped."""
-    column = np.searchsorted(segment.terms, np.arange(max((int(w.max()) for w in wanted if len(w)), default=0) + 2))
     matrix = np.zeros((len(wanted), len(segment.terms)), np.uint8)
     for k, w in enumerate(wanted):
-        own = column[w]
-        known = own < len(segment.terms)
-        own = own[known][segment.terms[own[known]] == w[known]]
-        matrix[k, own] = 1
+        own = segment.column_of[w]
+        matrix[k, own[own >= 0]] = 1
     bounds = np.where(matrix.T[segment.of] == 1, segment.bounds(matrix), 0)
     skipped = 0
     for k, own in enumerate(best):
