@@ -41,3 +41,14 @@ def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``scratch`` named."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the session's shared folder, for loops.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan. Where each round joins the tables of the last one, guesses
+    multiply until they take longer than the work; a table that is read has its true size.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

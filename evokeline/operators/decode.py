@@ -11,7 +11,6 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import drawn
 from ..functions.session import cut
+from . import models
 
 
 def build_comparison(trial: DataFrame, condition: DataFrame, comparison: DataFrame) -> DataFrame:
@@ -60,49 +60,69 @@ def _sums() -> list[Column]:
     return [f(F.when(c, v)).alias(f"{n}{k}") for c, k in own for f, v, n in ((F.count, F.col("x"), "n"), (F.sum, F.col("x"), "s"), (F.sum, F.col("x") * F.col("x"), "q"))]
 
 
-def fit(folded: DataFrame, keys: Sequence[str], feature: Sequence[str], shrink: Column | float = 0.0) -> DataFrame:
-    """(keys, fold, feature, w, mid): diagonal discriminant weights of the rows outside each fold; ``keys`` hold the repeat."""
+def class_moments(folded: DataFrame, keys: Sequence[str], feature: Sequence[str]) -> DataFrame:
+    """(keys, fold, feature, m0, m1, within): the classes' means and pooled variance in the rows outside each fold."""
     own = folded.groupBy(*keys, "fold", *feature).agg(*_sums())
     w = Window.partitionBy(*keys, *feature)
     rest = {c: F.sum(c).over(w) - F.coalesce(c, F.lit(0)) for c in ("n0", "s0", "q0", "n1", "s1", "q1")}
     t = own.select(*keys, "fold", *feature, *[v.alias(c) for c, v in rest.items()]).where("n0 > 0 and n1 > 0")
     t = t.withColumn("m0", F.col("s0") / F.col("n0")).withColumn("m1", F.col("s1") / F.col("n1"))
-    spread = (F.col("q0") - F.col("s0") * F.col("m0") + F.col("q1") - F.col("s1") * F.col("m1")) / (F.col("n0") + F.col("n1")) + (shrink if isinstance(shrink, Column) else F.lit(float(shrink)))
-    weight = F.when(spread > 1e-18, (F.col("m1") - F.col("m0")) / spread).otherwise(F.lit(0.0))
-    return t.select(*keys, "fold", *feature, weight.alias("w"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"), "m0", "m1")
+    within = (F.col("q0") - F.col("s0") * F.col("m0") + F.col("q1") - F.col("s1") * F.col("m1")) / (F.col("n0") + F.col("n1"))
+    return t.select(*keys, "fold", *feature, "m0", "m1", within.alias("within"))
+
+
+def _slope(spread: Column) -> Column:
+    return F.when(spread > 1e-18, (F.col("m1") - F.col("m0")) / spread).otherwise(F.lit(0.0))
+
+
+def fit(folded: DataFrame, keys: Sequence[str], feature: Sequence[str], shrink: Column | float = 0.0) -> DataFrame:
+    """(keys, fold, feature, w, mid): diagonal discriminant weights of the rows outside each fold; ``keys`` hold the repeat."""
+    weight = _slope(F.col("within") + (shrink if isinstance(shrink, Column) else F.lit(float(shrink))))
+    return class_moments(folded, keys, feature).select(*keys, "fold", *feature, weight.alias("w"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"), "m0", "m1")
 
 
 def scored(folded: DataFrame, weights: DataFrame, keys: Sequence[str], feature: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(keys, fold, by, trial, y, score): each held-out trial's decision value; above 0 is class 1."""
-    return folded.join(weights, [*keys, "fold", *feature]).groupBy(*keys, "fold", *by, "trial", "y").agg(F.sum(F.col("w") * (F.col("x") - F.col("mid"))).alias("score"))
+    """(keys, fold, by, trial, y, score): each held-out trial's decision value; above 0 is class 1. ``plus``, if there, is a feature's share of the constant."""
+    plus = F.col("plus") if "plus" in weights.columns else F.lit(0.0)
+    return folded.join(weights, [*keys, "fold", *feature]).groupBy(*keys, "fold", *by, "trial", "y").agg(F.sum(F.col("w") * (F.col("x") - F.col("mid")) + plus).alias("score"))
 
 
-def linear_scorer(folded: DataFrame, keys: Sequence[str], kind: str = "dlda") -> DataFrame:
-    """(keys, fold, t, trial, y, score) of a linear model for each fold and time.
+def scored_settings(folded: DataFrame, weights: DataFrame, keys: Sequence[str], feature: Sequence[str], n: int) -> DataFrame:
+    """(keys, fold, trial, y, setting, score): as ``scored``, for ``n`` settings whose weights (and constants) are arrays ``w`` (``plus``).
 
-    ``logistic`` takes a fixed number of steps over all rows. ``logreg`` and ``linear_svc`` are fitted in numpy to the end; only these two hold the trials of one key (recording, comparison, repeat) at one time in one task: a vector of channels
-    for each trial, so a recording of a thousand trials is a megabyte. ``dlda`` needs sums alone and has no such bound.
+    A trial's rows meet the weights once; settings are columns until its sums are there.
+    """
+    plus = (lambda s: F.get("plus", F.lit(s))) if "plus" in weights.columns else lambda s: F.lit(0.0)
+    sums = [F.sum(F.get("w", F.lit(s)) * (F.col("x") - F.col("mid")) + plus(s)).alias(f"s{s}") for s in range(n)]
+    each = folded.join(weights, [*keys, "fold", *feature]).groupBy(*keys, "fold", "trial", "y").agg(*sums)
+    return each.select(*keys, "fold", "trial", "y", F.posexplode(F.array(*[F.col(f"s{s}") for s in range(n)])).alias("setting", "score"))
+
+
+def best_setting(scores: DataFrame, keys: Sequence[str], settings: Sequence[tuple], names: str) -> DataFrame:
+    """(keys, settings' ``names``, auc): the setting with the best mean area over repeats and folds, the first on ties."""
+    mean = auc(scores, [*keys, "repeat", "fold", "setting"]).groupBy(*keys, "setting").agg(F.avg("auc").alias("auc"))
+    best = mean.groupBy(*keys).agg(F.max(F.struct(F.round("auc", 9).alias("auc"), (-F.col("setting")).alias("s"))).alias("m"))
+    told = scores.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(settings)], f"setting int, {names}")
+    return best.select(*keys, (-F.col("m.s")).alias("setting"), "m.auc").join(F.broadcast(told), "setting").select(*keys, *told.columns[1:], "auc")
+
+
+def linear_scorer(folded: DataFrame, keys: Sequence[str], kind: str = "dlda", **options) -> DataFrame:
+    """(keys, fold, t, trial, y, score) of a model for each fold and time.
+
+    ``dlda`` needs the sums of each channel, ``logistic`` takes a fixed number of steps over all rows. ``lda`` (full
+    covariance), ``linear_svc``, ``logreg`` (to the end) and ``forest`` are those of ``models``, with their ``options``.
     """
     if kind == "dlda":
         return scored(folded, fit(folded, keys, ["channel", "t"]), keys, ["channel", "t"], ["t"])
     if kind == "logistic":
         return logistic(folded, keys)
-    wide = folded.groupBy(*keys, "t", "trial", "y", "fold").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("v"))
-    wide = wide.withColumn("v", F.transform("v", lambda s: s["x"]))
-    names, types = [*keys, "fold", "t", "trial", "y", "score"], dict(wide.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold = np.stack(pdf["v"]), pdf["y"].to_numpy(float), pdf["fold"].to_numpy()
-        out = np.full(len(pdf), np.nan)
-        for f in np.unique(fold):
-            train = fold != f
-            if len(set(y[train])) == 2:
-                out[~train] = decision(x[train], y[train], x[~train], kind)
-        pdf["score"] = out
-        return pdf[names]
-
-    schema = ", ".join(f"{c} {types.get(c, 'double')}" for c in names)
-    return wide.groupBy(*keys, "t").applyInPandas(one, schema)  # one recording at one time: as many vectors as it has trials
+    if kind == "forest":
+        return models.fit_forest(folded, [*keys, "t"], **options)
+    if kind == "lda":
+        weights = models.fit_lda(folded, [*keys, "t"], **options)
+    else:
+        weights = models.fit_linear(folded, [*keys, "t"], loss={"linear_svc": "squared_hinge", "logreg": "logistic"}[kind], **options)
+    return scored(folded, weights, keys, ["channel", "t"], ["t"])
 
 
 #: Steps of ``logistic``, how far each goes along a coefficient's own Newton step, and the strength of the penalty.
@@ -148,28 +168,6 @@ def _with(rows: DataFrame, beta: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(b, same).drop(*[f"_{c}" for c in (*by, "channel")])
 
 
-def decision(x: np.ndarray, y: np.ndarray, test: np.ndarray, kind: str, c: float = 1.0, steps: int = 200) -> np.ndarray:
-    """Balanced logistic regression by Newton steps, or a linear squared-hinge classifier by the same on its active set."""
-    mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    a = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    sign, beta, ridge = 2 * y - 1, np.zeros(a.shape[1]), np.eye(a.shape[1]) / c
-    ridge[-1, -1] = 1e-8
-    for _ in range(steps):
-        if kind == "logreg":
-            p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-            gradient, curve = a.T @ (weight * (p - y)) + ridge @ beta, weight * p * (1 - p)
-        else:
-            margin = 1 - sign * (a @ beta)
-            active = weight * (margin > 0)
-            gradient, curve = -2 * a.T @ (active * sign * margin) + ridge @ beta, 2 * active
-        move = np.linalg.solve((a * curve[:, None]).T @ a + ridge, gradient)
-        beta -= move
-        if np.abs(move).max() < 1e-10:
-            break
-    return np.column_stack([(test - mean) / sd, np.ones(len(test))]) @ beta
-
-
 def auc(df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
     """Area under the curve with ties as halves; null with one class. Class weights cancel out.
 
@@ -244,12 +242,11 @@ def generalisation_matrix(trial: DataFrame, fold: DataFrame, keys: Sequence[str]
     return auc(crossed(rows, fit(rows, own, ["channel", "t"]), own), [*own, "fold", "t_train", "t_test"])
 
 
-def pipeline_weights(folded: DataFrame, keys: Sequence[str], feature: Sequence[str], percentile: float = 15.0, shrink: Column | float = 0.0) -> DataFrame:
-    """(keys, fold, feature, w, mid, f): a scaler, the features with the highest F, and a balanced model, all of a fold's training rows.
+def pipeline_features(folded: DataFrame, keys: Sequence[str], feature: Sequence[str]) -> DataFrame:
+    """(keys, fold, feature, sd, m0, m1, within, mid, f, place, n): of each feature in a fold's training rows the scale, the classes' means
+    and even variance, the one-way F, its place by F and the number of features.
 
-    The scaler's mean and deviation, the one-way F and the class means and variances all come from the training sums (all
-    folds' less the fold's own), so nothing of the held-out rows enters. Classes weigh the same in the spread. ``w`` and
-    ``mid`` are for the unscaled values: scores are those of the scaled ones. At least one feature stays.
+    All come from the training sums (all folds' less the fold's own), so nothing of the held-out rows enters.
     """
     own = folded.groupBy(*keys, "fold", *feature).agg(*_sums())
     w = Window.partitionBy(*keys, *feature)
@@ -260,13 +257,26 @@ def pipeline_weights(folded: DataFrame, keys: Sequence[str], feature: Sequence[s
     t = t.withColumn("sd", F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(1.0)))
     t = t.withColumn("m0", F.col("s0") / F.col("n0")).withColumn("m1", F.col("s1") / F.col("n1"))
     t = t.withColumn("v0", F.greatest(F.lit(0.0), F.col("q0") / F.col("n0") - F.col("m0") * F.col("m0"))).withColumn("v1", F.greatest(F.lit(0.0), F.col("q1") / F.col("n1") - F.col("m1") * F.col("m1")))
-    within = F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")
+    inside = F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")
     between = F.col("n0") * F.pow(F.col("m0") - mean, 2) + F.col("n1") * F.pow(F.col("m1") - mean, 2)
-    t = t.withColumn("f", F.when((n > 2) & (within > 1e-18), between / (within / (n - 2))))
-    best = select_percentile(t, [*keys, "fold"], feature, percentile)
-    spread = (F.col("v0") + F.col("v1")) / 2 / (F.col("sd") * F.col("sd")) + (shrink if isinstance(shrink, Column) else F.lit(float(shrink)))
-    weight = F.when(spread > 1e-18, (F.col("m1") - F.col("m0")) / F.col("sd") / spread).otherwise(F.lit(0.0))
-    return best.select(*keys, "fold", *feature, (weight / F.col("sd")).alias("w"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"), "f")
+    t = t.withColumn("f", F.when((n > 2) & (inside > 1e-18), between / (inside / (n - 2))))
+    by = Window.partitionBy(*keys, "fold")
+    return t.select(*keys, "fold", *feature, "sd", "m0", "m1", ((F.col("v0") + F.col("v1")) / 2).alias("within"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"), "f", F.row_number().over(by.orderBy(F.col("f").desc_nulls_last(), *feature)).alias("place"), F.count(F.lit(1)).over(by).alias("n"))
+
+
+def _pipeline_weight(shrink: Column | float) -> Column:
+    """A feature's weight for unscaled values, which gives the scores of scaled ones."""
+    spread = F.col("within") / (F.col("sd") * F.col("sd")) + (shrink if isinstance(shrink, Column) else F.lit(float(shrink)))
+    return F.when(spread > 1e-18, (F.col("m1") - F.col("m0")) / F.col("sd") / spread).otherwise(F.lit(0.0)) / F.col("sd")
+
+
+def pipeline_weights(folded: DataFrame, keys: Sequence[str], feature: Sequence[str], percentile: float = 15.0, shrink: Column | float = 0.0) -> DataFrame:
+    """(keys, fold, feature, w, mid, f): a scaler, the features with the highest F, and a balanced model, all of a fold's training rows.
+
+    Classes weigh the same in the spread. At least one feature stays.
+    """
+    best = pipeline_features(folded, keys, feature).where(F.col("place") <= F.ceil(F.col("n") * F.lit(percentile / 100.0)))
+    return best.select(*keys, "fold", *feature, _pipeline_weight(shrink).alias("w"), "mid", "f")
 
 
 def global_decode_pipeline(trial: DataFrame, fold: DataFrame, keys: Sequence[str], percentile: float = 15.0, shrink: float = 0.0) -> DataFrame:
@@ -276,13 +286,29 @@ def global_decode_pipeline(trial: DataFrame, fold: DataFrame, keys: Sequence[str
 
 
 def grid_search_pipeline(trial: DataFrame, fold: DataFrame, grid: Sequence[tuple[float, float]], keys: Sequence[str]) -> DataFrame:
-    """(keys, percentile, shrink, auc): of some settings (percentile, shrink) the one with the best mean area over the folds, the first on ties."""
-    means = []
-    for k, (percentile, shrink) in enumerate(grid):
-        area = auc(global_decode_pipeline(trial, fold, keys, percentile, shrink), [*keys, "repeat", "fold"])
-        means.append(area.groupBy(*keys).agg(F.avg("auc").alias("auc")).select(*keys, F.lit(-k).alias("order"), F.lit(float(percentile)).alias("percentile"), F.lit(float(shrink)).alias("shrink"), "auc"))
-    best = reduce(DataFrame.unionByName, means).groupBy(*keys).agg(F.max(F.struct(F.round("auc", 9).alias("auc"), "order", "percentile", "shrink")).alias("m"))
-    return best.select(*keys, "m.percentile", "m.shrink", "m.auc")
+    """(keys, percentile, shrink, auc): of some settings (percentile, shrink) the one with the best mean area over the folds, the first on ties.
+
+    One plan: the training sums and the features' places serve all settings, a feature's weights are an array.
+    """
+    rows, own = folded_rows(trial, fold, keys), [*keys, "repeat"]
+    features = pipeline_features(rows, own, ["channel", "t"])
+    weight = [F.when(F.col("place") <= F.ceil(F.col("n") * F.lit(p / 100.0)), _pipeline_weight(shrink)).otherwise(F.lit(0.0)) for p, shrink in grid]
+    weights = features.select(*own, "fold", "channel", "t", F.array(*weight).alias("w"), "mid")
+    scores = scored_settings(rows, weights, own, ["channel", "t"], len(grid))
+    return best_setting(scores, keys, [(float(p), float(s)) for p, s in grid], "percentile double, shrink double")
+
+
+def grid_search_linear(trial: DataFrame, fold: DataFrame, settings: Sequence[tuple[float, str]], keys: Sequence[str], loss: str = "logistic", **options) -> DataFrame:
+    """(keys, cost, penalty, auc): of some settings (cost, l1 or l2) of ``models.fit_linear`` at each time the one with the best mean area over folds and times.
+
+    Each step of the fits reads the trials once for all settings.
+    """
+    rows, own = folded_rows(trial, fold, keys), [*keys, "repeat", "t"]
+    each = models.fit_linear(rows, own, settings, loss=loss, **options)
+    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("setting", c))), lambda s: s[c]).alias(c)
+    weights = each.groupBy(*own, "fold", "channel").agg(part("w"), part("plus"), F.first("mid").alias("mid"))
+    scores = scored_settings(rows, weights, own, ["channel"], len(settings)).withColumn("fold", F.struct("fold", "t"))
+    return best_setting(scores, keys, [(float(c), p) for c, p in settings], "cost double, penalty string")
 
 
 def global_decode(trial: DataFrame, fold: DataFrame, keys: Sequence[str], shrink: float = 0.0) -> DataFrame:
@@ -392,13 +418,12 @@ def anchor_average(score: DataFrame, family: DataFrame, keys: Sequence[str] = ("
 
 
 def grid_search(trial: DataFrame, fold: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, shrink, auc): the shrinkage with the best mean area over the folds; the smaller one on ties."""
-    rows = folded_rows(trial, fold, keys).crossJoin(F.broadcast(grid))  # a few settings
-    own = [*keys, "repeat", "shrink"]
-    scores = scored(rows, fit(rows, own, ["channel", "t"], F.col("shrink")), own, ["channel", "t"])
-    mean = auc(scores, [*own, "fold"]).groupBy(*keys, "shrink").agg(F.avg("auc").alias("auc"))
-    best = mean.groupBy(*keys).agg(F.max(F.struct(F.round("auc", 9).alias("auc"), (-F.col("shrink")).alias("s"))).alias("m"))
-    return best.select(*keys, (-F.col("m.s")).alias("shrink"), F.col("m.auc").alias("auc"))
+    """(keys, shrink, auc): the shrinkage with the best mean area over the folds; the smaller one on ties. ``grid`` has a few settings."""
+    shrinks = sorted(r["shrink"] for r in grid.select("shrink").distinct().collect())  # a few numbers
+    rows, own = folded_rows(trial, fold, keys), [*keys, "repeat"]
+    weight = F.array(*[_slope(F.col("within") + F.lit(float(s))) for s in shrinks])
+    weights = class_moments(rows, own, ["channel", "t"]).select(*own, "fold", "channel", "t", weight.alias("w"), ((F.col("m0") + F.col("m1")) / 2).alias("mid"))
+    return best_setting(scored_settings(rows, weights, own, ["channel", "t"], len(shrinks)), keys, [(float(s),) for s in shrinks], "shrink double")
 
 
 def config_sweep(trial: DataFrame, config: DataFrame, keys: Sequence[str], repeats: int = 1) -> DataFrame:

@@ -130,12 +130,60 @@ def _scorer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.linear_scorer(C.folded_rows(rows, fold, ["subject"]), ["subject", "repeat"]).select("subject", "repeat", "fold", "t", "trial", "y", "score"), "score")
 
 
+def gauss_jordan_sql(name: str, by: str, size: int) -> str:
+    """{name}{size}: the solutions, at j = size, of systems of {size} equations in rows (by, i, j, v) of {name}0."""
+    out = ""
+    for k in range(size):
+        at = lambda x, i, j: f"JOIN {name}{k} {x} ON " + " AND ".join(f"{x}.{c.strip()} = r.{c.strip()}" for c in by.split(",")) + f" AND {x}.i = {i} AND {x}.j = {j}"  # noqa: B023, E731
+        own = ", ".join(f"r.{c.strip()}" for c in by.split(","))
+        out += f", {name}{k + 1} AS MATERIALIZED (SELECT {own}, r.i, r.j, CASE WHEN r.i = {k} THEN r.v / p.v ELSE r.v - c.v * q.v / p.v END AS v FROM {name}{k} r {at('p', k, k)} {at('c', 'r.i', k)} {at('q', k, 'r.j')})"
+    return out
+
+
+LDA_SHRINK, CHANNELS = 0.1, 8
+
+
+def lda_sql() -> str:
+    """sl: each held-out trial's score by the full-covariance discriminant."""
+    by = "subject, repeat, fold, t"
+    own = "r.subject, r.repeat, g.fold, r.t"
+    on = "g.subject = r.subject AND g.repeat = r.repeat AND g.fold <> r.fold"
+    return f""", gf AS (SELECT DISTINCT subject, repeat, fold FROM folds),
+ cm AS (SELECT {own}, r.channel, avg(x) AS m, avg(x) FILTER (WHERE y = 0) AS m0, avg(x) FILTER (WHERE y = 1) AS m1, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM fr r JOIN gf g ON {on} GROUP BY ALL),
+ dv AS (SELECT {own}, r.trial, r.channel, r.x - CASE WHEN y = 1 THEN c.m1 ELSE c.m0 END AS d FROM fr r JOIN gf g ON {on} JOIN cm c ON c.subject = r.subject AND c.repeat = r.repeat AND c.fold = g.fold AND c.t = r.t AND c.channel = r.channel),
+ sg AS (SELECT a.subject, a.repeat, a.fold, a.t, a.channel AS i, b.channel AS j, sum(a.d * b.d) / count(*) AS s FROM dv a JOIN dv b USING ({by}, trial) GROUP BY ALL),
+ lv AS (SELECT {by}, avg(s) AS l FROM sg WHERE i = j GROUP BY ALL),
+ e0 AS MATERIALIZED (SELECT {by}, i, j, {1 - LDA_SHRINK}e0 * s + CASE WHEN i = j THEN {LDA_SHRINK}e0 * l ELSE 0 END AS v FROM sg JOIN lv USING ({by}) UNION ALL SELECT {by}, channel, {CHANNELS}, m1 - m0 FROM cm){gauss_jordan_sql("e", by, CHANNELS)},
+ sl AS (SELECT {by}, trial, y, sum(v * (x - (m0 + m1) / 2)) AS score FROM fr JOIN e{CHANNELS} USING ({by}) JOIN cm USING ({by}, channel) WHERE j = {CHANNELS} AND i = channel GROUP BY ALL)"""
+
+
+LDA_SQL = MAIN_SQL + folds_sql("subject", K, 1) + ", fr AS (SELECT r.*, f.repeat, f.fold FROM tr r JOIN folds f USING (subject, trial))" + lda_sql()
+
+
+@query("linear_scorer_lda", V.sql("trial_long", LDA_SQL + " SELECT subject, cast(repeat AS INT) AS repeat, fold, t, trial, y, round(score, 6) + 0 AS score FROM sl"))
+def _lda(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.linear_scorer(C.folded_rows(rows, fold, ["subject"]), ["subject", "repeat"], "lda", shrink=LDA_SHRINK).select("subject", "repeat", "fold", "t", "trial", "y", "score"), "score")
+
+
 @query("linear_scorer_logreg")
 def _logreg(spark: SparkSession, d: str) -> DataFrame:
     rows, fold = rows_folds(spark, d, 1)
     return rounded(C.sliding_auc(rows, fold, ["subject"], "logreg"), "auc")
 
 
+@query("linear_scorer_forest")
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.sliding_auc(rows, fold, ["subject"], "forest"), "auc")
+
+
+@query("grid_search_linear")
+def _linear_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows, fold = rows_folds(spark, d, 1)
+    return rounded(C.grid_search_linear(rows, fold, [(c, p) for p in ("l2", "l1") for c in (0.01, 0.1, 1.0, 10.0, 100.0)], ["subject"]), "auc")
+
+
 def logistic_sql() -> str:
     """sc: the scores of logistic regression after its steps; zr has the scaled rows, each once for each fold."""
     by = "subject, repeat, fold, t"
