@@ -2,9 +2,10 @@
 
 A test is a grouped aggregate over ``keys`` (subject, group, time, ...). Ranks are windows within a key.
 
-Sign flips of units (subjects) are matrix products: a point's values stand in one row as an array, and a block of flips is
-the product with the units' signs. No observation is repeated for a flip. What a flip leads to (the largest statistic, the
-largest cluster) is worked out for each block of flips with all points of a key at hand, in numpy.
+Sign flips of units (subjects) are matrix products: a point's values stand in rows of at most ``UNITS`` units as arrays, and
+a block of flips is the product with the units' signs; the products of a point's rows are added up. No observation is repeated
+for a flip. What a flip leads to (the largest statistic, the largest cluster) is worked out for each block of flips with all
+points of a key at hand, in numpy: clusters are joined by arrays of neighbours, not cell by cell.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def mann_whitney_pairs(df: DataFrame, grp: str, value: str, keys: Sequence[str]
     names = df.select(*keys, grp).distinct()
     pairs = names.withColumnRenamed(grp, "g1").join(names.withColumnRenamed(grp, "g2"), list(keys)) if keys else names.withColumnRenamed(grp, "g1").crossJoin(names.withColumnRenamed(grp, "g2"))
     pairs = pairs.where("g1 < g2")  # groups, not rows
-    both = df.join(F.broadcast(pairs), list(keys)) if keys else df.crossJoin(F.broadcast(pairs))
-    both = both.where((F.col(grp) == F.col("g1")) | (F.col(grp) == F.col("g2"))).where(F.col(value).isNotNull()).withColumn("_one", F.col(grp) == F.col("g1"))
+    sided = pairs.withColumn(grp, F.explode(F.array("g1", "g2")))
+    both = df.join(sided, [*keys, grp]).where(F.col(value).isNotNull()).withColumn("_one", F.col(grp) == F.col("g1"))
     own = [*keys, "g1", "g2"]
     same = F.count(F.lit(1)).over(Window.partitionBy(*own, value))
     ranked = both.withColumn("_t", same).withColumn("_r", F.rank().over(Window.partitionBy(*own).orderBy(value)) + (F.col("_t") - 1) / 2.0)
@@ -179,90 +180,112 @@ def pointwise_fdr(df: DataFrame, keys: Sequence[str], point: Sequence[str], valu
 BLOCK = 16
 
 
-def t_value(d: np.ndarray, signed: np.ndarray) -> np.ndarray:
-    """One-sample t of the flipped values; ``signed`` has the sums. Missing for fewer than two values and for constant ones."""
-    n = np.count_nonzero(~np.isnan(d), axis=1)[:, None]
-    square = np.nansum(d * d, axis=1)[:, None]
-    with np.errstate(all="ignore"):
-        variance = (square - signed * signed / n) / (n - 1)
-        return np.where((n > 1) & (variance > 1e-18), signed / n / np.sqrt(variance / n), np.nan)
+def t_value(n: Column, square: Column, signed: Column) -> Column:
+    """One-sample t of flipped values from their number, the sum of squares and the flipped sum; not a number for fewer than two and for constant ones."""
+    variance = (square - signed * signed / n) / (n - 1)
+    return F.when((n > 1) & (variance > 1e-18), signed / n / F.sqrt(variance / n)).otherwise(F.lit(float("nan")))
 
 
-def mean_value(d: np.ndarray, signed: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        return signed / np.count_nonzero(~np.isnan(d), axis=1)[:, None]
+def mean_value(n: Column, square: Column, signed: Column) -> Column:
+    return F.when(n > 0, signed / n).otherwise(F.lit(float("nan")))
 
 
-def rank_z(d: np.ndarray, signed: np.ndarray) -> np.ndarray:
+def rank_z(n: Column, square: Column, signed: Column) -> Column:
     """The normalised signed rank of flipped signed ranks: flips leave the ranks as they are."""
-    square = np.nansum(d * d, axis=1)[:, None]
-    with np.errstate(all="ignore"):
-        return np.where(square > 0, signed / np.sqrt(square), np.nan)
-
-
-def mid_ranks(d: np.ndarray) -> np.ndarray:
-    """Signed mid-ranks of each row's values; zeros and missing ones are missing."""
-    out = np.full(d.shape, np.nan)
-    for row, own in zip(out, d, strict=True):
-        used = np.flatnonzero(~np.isnan(own) & (own != 0))
-        size, place, n = np.unique(np.round(np.abs(own[used]), 12), return_inverse=True, return_counts=True)
-        row[used] = np.sign(own[used]) * (np.cumsum(n) - (n - 1) / 2)[place]
-    return out
+    return F.when(square > 0, signed / F.sqrt(square)).otherwise(F.lit(float("nan")))
+
+
+def mid_ranks(d: DataFrame, own: Sequence[str], value: str) -> DataFrame:
+    """``value`` as signed mid-ranks among those of the same point; zeros and missing ones are missing."""
+    kept = d.withColumn("_a", F.when(F.col(value) != 0, F.round(F.abs(value), 12)))
+    same = Window.partitionBy(*own, "_a")
+    rank = F.rank().over(Window.partitionBy(*own).orderBy(F.col("_a").asc_nulls_last())) + (F.count(F.lit(1)).over(same) - 1) / 2.0
+    return kept.withColumn(value, F.when(F.col("_a").isNotNull(), F.signum(value) * rank)).drop("_a")
 
 
-#: Statistics: what a value becomes before flips, and the statistic from the values and their flipped sums (points x units, points x flips).
+#: Statistics: what becomes of the values before flips, and the statistic as a column from (number, sum of squares, flipped sum).
 Statistic = str | tuple[Callable, Callable]
-STATISTICS: dict[str, tuple[Callable, Callable]] = {"t": (lambda d: d, t_value), "mean": (lambda d: d, mean_value), "wilcoxon": (mid_ranks, rank_z)}
+STATISTICS: dict[str, tuple[Callable, Callable]] = {"t": (lambda d, own, value: d, t_value), "mean": (lambda d, own, value: d, mean_value), "wilcoxon": (mid_ranks, rank_z)}
+#: Units of a row, and bytes of signs that a task keeps.
+UNITS, KEPT = 2048, 32 << 20
+
+
+class Signs:
+    """The signs of units in all flips, as bits; those of the last list of units also as numbers."""
 
+    def __init__(self, seed: int, n: int):
+        self.seed, self.n, self.words, self.last = seed, n, {}, (None, None)
 
-def flipped(df: DataFrame, keys: Sequence[str], point: Sequence[str], unit: str, value: str, mu: float, n_perm: int, seed: int, stat: Statistic = "t") -> DataFrame:
+    def of(self, names: list[str]) -> np.ndarray:
+        """Units x flips, 1 or -1; flip 0 is what was observed."""
+        if self.last[0] != names:
+            if len(self.words) * self.n // 8 > KEPT:
+                self.words.clear()
+            for u in names:
+                if u not in self.words:
+                    self.words[u] = np.packbits(signs(u, self.seed, range(self.n)) < 0)
+            bits = np.unpackbits(np.stack([self.words[u] for u in names]), axis=1, count=self.n)
+            self.last = names, 1.0 - 2.0 * bits
+        return self.last[1]
+
+
+def flipped(df: DataFrame, keys: Sequence[str], point: Sequence[str], unit: str, value: str, mu: float, n_perm: int, seed: int, stat: Statistic = "t", units: int = UNITS) -> DataFrame:
     """(keys, point, block, maps): the statistic of each point under the flips of each block; flip 0 is what was observed.
 
-    Signs depend on the unit's text alone, so ids may be numbers or text. A point's row holds its units, not the flips.
+    Signs depend on the unit's text alone, so ids may be numbers or text. A row holds at most about ``units`` units of a
+    point; where a point has more, the sums of its rows meet before the statistic.
     """
     before, statistic = STATISTICS[stat] if isinstance(stat, str) else stat
-    d = df.select(*keys, *point, F.col(unit).cast("string").alias("_unit"), (F.col(value) - F.lit(float(mu))).cast("double").alias("_d"))
-    vectors = d.groupBy(*keys, *point).agg(F.collect_list(F.struct("_unit", F.coalesce("_d", F.lit(float("nan"))).alias("_d"))).alias("_v"))
+    own = [*keys, *point]
+    d = df.select(*own, F.col(unit).cast("string").alias("_unit"), F.nanvl((F.col(value) - F.lit(float(mu))).cast("double"), F.lit(None)).alias("_d"))
+    d = before(d, own, "_d")
+    counts = d.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / units).alias("_rows"))
+    many = (counts.agg(F.max("_rows")).first()[0] or 0) > 1
+    if many:
+        d = d.join(counts, own).withColumn("_part", F.pmod(F.xxhash64("_unit"), "_rows"))
+    vectors = d.groupBy(*own, *(["_part"] if many else [])).agg(F.array_sort(F.collect_list(F.struct("_unit", "_d"))).alias("_v"))
     blocks = range(0, n_perm + 1, BLOCK)
     types = dict(vectors.dtypes)
-    own = [*keys, *point]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", block int, maps array<double>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", block int, n long, square double, signed array<double>"
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known = Signs(seed, n_perm + 1)
         for b in batches:
             flat = b.column(b.schema.get_field_index("_v"))
             ends, inner = flat.offsets.to_numpy(), flat.values
-            names, values = inner.field(0).to_pylist(), inner.field(1).to_numpy(zero_copy_only=False)
-            rows: list[list[np.ndarray]] = [[] for _ in blocks]
+            names, values = inner.field(0), inner.field(1).to_numpy(zero_copy_only=False)
+            sums, n, square = [], [], []
             for at, end in zip(ends[:-1], ends[1:], strict=True):
-                for u in names[at:end]:
-                    if u not in known:
-                        known[u] = signs(u, seed, range(n_perm + 1))
-                d = before(values[None, at:end])
-                signed = np.nan_to_num(d) @ np.stack([known[u] for u in names[at:end]])
-                whole = statistic(d, signed)[0]
-                for own_rows, first in zip(rows, blocks, strict=True):
-                    own_rows.append(whole[first : first + BLOCK])
-            for k, own_rows in enumerate(rows):
-                columns = [b.column(b.schema.get_field_index(c)) for c in own]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([k] * len(b), pa.int32()), pa.array(own_rows, pa.list_(pa.float64()))], [*own, "block", "maps"])
-
-    return vectors.mapInArrow(mapped, schema)
-
-
-def _largest(maps: DataFrame, keys: Sequence[str], point: Sequence[str], largest: Callable) -> DataFrame:
+                x = values[at:end]
+                n.append(int(np.count_nonzero(~np.isnan(x))))
+                square.append(float(np.nansum(x * x)))
+                sums.append(np.nan_to_num(x) @ known.of(names.slice(at, end - at).to_pylist()))
+            columns = [b.column(b.schema.get_field_index(c)) for c in own]
+            for k, first in enumerate(blocks):
+                parts = [pa.array([k] * len(b), pa.int32()), pa.array(n, pa.int64()), pa.array(square, pa.float64()), pa.array([x[first : first + BLOCK] for x in sums], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *parts], [*own, "block", "n", "square", "signed"])
+
+    sums = vectors.mapInArrow(mapped, schema)
+    if many:
+        total = [F.sum(F.get("signed", F.lit(k))).alias(f"_s{k}") for k in range(BLOCK)]
+        whole = sums.groupBy(*own, "block").agg(F.sum("n").alias("n"), F.sum("square").alias("square"), *total)
+        sums = whole.withColumn("signed", F.filter(F.array(*[f"_s{k}" for k in range(BLOCK)]), lambda x: x.isNotNull()))
+    return sums.select(*own, "block", F.transform("signed", lambda x: statistic(F.col("n"), F.col("square"), x)).alias("maps"))
+
+
+def _largest(maps: DataFrame, keys: Sequence[str], point: Sequence[str], prepare: Callable) -> DataFrame:
     """(keys, null): for each key the sorted largest values of its flips, that of the observed one left out.
 
-    ``largest`` gives it from the points' places (rows) and one value for each; a task has one block of flips of one key.
+    ``prepare`` gets the points' places (rows) and gives what finds the largest from one value for each; a task has one block of
+    flips of one key.
     """
     types, place = dict(maps.dtypes), list(point)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(place)
         places, values = pdf[place].to_numpy(), np.stack(pdf["maps"])
-        first = int(pdf["block"].iloc[0]) * BLOCK
-        found = [(first + k, largest(places, values[:, k])) for k in range(values.shape[1]) if first + k]
+        first, largest = int(pdf["block"].iloc[0]) * BLOCK, prepare(places)
+        found = [(first + k, largest(values[:, k])) for k in range(values.shape[1]) if first + k]
         out = pd.DataFrame({"m": [round(m, 9) for _, m in found if m is not None]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
@@ -293,7 +316,7 @@ def permutation_ttest(df: DataFrame, keys: Sequence[str], point: Sequence[str],
     """(keys, point, t, p): against the largest absolute statistic over all points of each flip; the observed one counts."""
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, point, unit, value, mu, n_perm, seed, stat))
-    null = _largest(maps, own, point, lambda places, v: float(np.nanmax(np.abs(v))) if not np.isnan(v).all() else None)
+    null = _largest(maps, own, point, lambda places: lambda v: float(np.nanmax(np.abs(v))) if not np.isnan(v).all() else None)
     seen = _against(_observed(maps, own, point), null, own, "tval", n_perm)
     return seen.select(*keys, *point, F.col("tval").alias("t"), F.when(F.col("tval").isNotNull(), F.col("p")).alias("p"))
 
@@ -319,29 +342,48 @@ def tfce_map(t: DataFrame, keys: Sequence[str], point: str, start: float = 0.1,
     return marked.withColumn("_s", share).groupBy(*keys, point).agg(F.sum("_s").alias("tfce"))
 
 
-def joined(places: np.ndarray, side: np.ndarray, adjacency: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
-    """A name for each cell's cluster, that of its first cell: cells on one side (1 or -1; 0 is none) that touch.
-
-    Cells touch if they are a step apart on one axis of whole numbers, or by ``adjacency``, pairs of places of one axis.
-    """
-    at = {tuple(p): k for k, p in enumerate(places.tolist()) if side[k]}
-    root = np.arange(len(places))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+def neighbours(places: np.ndarray, adjacency: Sequence[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of cells that touch: a step apart on one axis of whole numbers, or by ``adjacency``, pairs of places of one axis."""
     if adjacency is not None:
-        pairs = (((a,), (b,)) for a, b in adjacency)
-    else:
-        pairs = ((p, (*p[:axis], p[axis] + 1, *p[axis + 1 :])) for p in at for axis in range(places.shape[1]))
-    for p, q in pairs:
-        if p in at and q in at and side[at[p]] == side[at[q]]:
-            a, b = find(at[p]), find(at[q])
-            root[max(a, b)] = min(a, b)
-    return np.array([find(k) for k in range(len(places))])
+        order = np.argsort(places[:, 0], kind="stable")
+        place = places[order, 0]
+        pairs = np.array(list(adjacency)).reshape(-1, 2)
+        at = np.minimum(np.searchsorted(place, pairs), len(place) - 1)
+        known = (place[at] == pairs).all(1)
+        return order[at[known, 0]], order[at[known, 1]]
+    ranks, stride, strides = np.zeros(len(places), np.int64), 1, []
+    for axis in range(places.shape[1]):
+        values, own = np.unique(places[:, axis], return_inverse=True)
+        apart = np.cumsum(np.minimum(np.diff(values, prepend=values[:1]), 2))  # a gap is a step of two
+        ranks += apart[own].astype(np.int64) * stride
+        strides.append(stride)
+        stride *= int(apart[-1]) + 2
+    order = np.argsort(ranks)
+    ranked = ranks[order]
+    pairs = []
+    for step in strides:
+        at = np.minimum(np.searchsorted(ranked, ranks + step), len(ranked) - 1)
+        met = ranked[at] == ranks + step
+        pairs.append((np.flatnonzero(met), order[at[met]]))
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """A name for the cluster of each of ``n`` cells, its first cell: neighbours (a, b) on one side (1 or -1; 0 is none) belong together.
+
+    All pairs that are still apart at once hang the later root on the earlier one, then every cell goes to its root.
+    """
+    root = np.arange(n)
+    own = (side[a] == side[b]) & (side[a] != 0)
+    a, b = a[own], b[own]
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
 
 
 def _sides(values: np.ndarray, threshold: float, alternative: str) -> np.ndarray:
@@ -349,13 +391,22 @@ def _sides(values: np.ndarray, threshold: float, alternative: str) -> np.ndarray
     return np.where((v > threshold) & (alternative != "less"), 1, np.where((v < -threshold) & (alternative != "greater"), -1, 0))
 
 
-def masses(places: np.ndarray, values: np.ndarray, threshold: float, alternative: str, adjacency: Sequence[tuple[int, int]] | None = None) -> dict[int, float]:
-    """The mass of each cluster of one map, by its first cell."""
-    side, out = _sides(values, threshold, alternative), {}
-    beyond = np.flatnonzero(side)
-    for name, v in zip(joined(places[beyond], side[beyond], adjacency).tolist(), values[beyond].tolist(), strict=True):
-        out[name] = out.get(name, 0.0) + v
-    return out
+def largest_mass(threshold: float, alternative: str, adjacency: Sequence[tuple[int, int]] | None = None) -> Callable:
+    """For ``_largest``: the largest absolute mass of a map's clusters, none without any."""
+
+    def prepare(places: np.ndarray) -> Callable:
+        a, b = neighbours(places, adjacency)
+
+        def largest(values: np.ndarray) -> float | None:
+            side = _sides(values, threshold, alternative)
+            beyond = np.flatnonzero(side)
+            if not len(beyond):
+                return None
+            return float(np.abs(np.bincount(joined(len(values), a, b, side)[beyond], values[beyond])).max())
+
+        return largest
+
+    return prepare
 
 
 def cluster_permutation(df: DataFrame, keys: Sequence[str], point: str, mu: float, n_perm: int = 1024, threshold: float = 1.7, alternative: str = "two-sided", stat: Statistic = "t", seed: int = 0, unit: str = "subject", value: str = "score") -> DataFrame:
@@ -365,7 +416,7 @@ def cluster_permutation(df: DataFrame, keys: Sequence[str], point: str, mu: floa
     """
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, [point], unit, value, mu, n_perm, seed, stat))
-    null = _largest(maps, own, [point], lambda places, v: max(map(abs, masses(places, v, threshold, alternative).values()), default=None))
+    null = _largest(maps, own, [point], largest_mass(threshold, alternative))
     runs = islands(_observed(maps, own, [point]), own, point, "tval", threshold, alternative)
     return _against(runs, null, own, "mass", n_perm).select(*keys, "cluster", "t_start", "t_end", "n", "mass", "p")
 
@@ -378,14 +429,14 @@ def cluster_matrix(df: DataFrame, keys: Sequence[str], axes: Sequence[str], mu:
     """
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, axes, unit, value, mu, n_perm, seed, stat))
-    null = _largest(maps, own, axes, lambda places, v: max(map(abs, masses(places, v, threshold, alternative, adjacency).values()), default=None))
+    null = _largest(maps, own, axes, largest_mass(threshold, alternative, adjacency))
     seen, place, types = _observed(maps, own, axes), list(axes), dict(maps.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(place).reset_index(drop=True)
         side = _sides(pdf["tval"].to_numpy(float), threshold, alternative)
         pdf = pdf[side != 0].reset_index(drop=True)
-        pdf["cluster"] = joined(pdf[place].to_numpy(), side[side != 0], adjacency).astype("int64")
+        pdf["cluster"] = joined(len(pdf), *neighbours(pdf[place].to_numpy(), adjacency), side[side != 0]).astype("int64") if len(pdf) else 0
         pdf["n"] = pdf.groupby("cluster")["cluster"].transform("size").astype("int64")
         pdf["mass"] = pdf.groupby("cluster")["tval"].transform("sum").astype(float)
         return pdf[[*own, *place, "tval", "cluster", "n", "mass"]]
@@ -411,7 +462,7 @@ def tfce(df: DataFrame, keys: Sequence[str], point: str, start: float = 0.1, ste
     """(keys, point, tfce, p): the enhanced map against the largest enhanced value of each flip; points at 0 are left out."""
     df, own = _keyed(df, keys)
     maps = cut(flipped(df, own, [point], unit, value, mu, n_perm, seed, stat))
-    null = _largest(maps, own, [point], lambda places, v: float(enhanced(places, v, start, step, e, h).max(initial=0)) or None)
+    null = _largest(maps, own, [point], lambda places: lambda v: float(enhanced(places, v, start, step, e, h).max(initial=0)) or None)
     seen = tfce_map(_observed(maps, own, [point]), own, point, start, step, e, h)
     return _against(seen, null, own, "tfce", n_perm).select(*keys, point, "tfce", "p")
 
@@ -428,9 +479,10 @@ def significance_stars(df: DataFrame, p: str) -> DataFrame:
 
 def cluster_p_map(points: DataFrame, cluster: DataFrame, default: float = 1.0, keys: Sequence[str] = (), point: str = "t") -> DataFrame:
     """(keys, point, p): the smallest p of the clusters that hold the point."""
-    c = cluster.select(*[F.col(k).alias(f"_{k}") for k in keys], "t_start", "t_end", F.col("p").alias("_p"))
-    hit = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys], F.col(point).between(F.col("t_start"), F.col("t_end")))
-    return points.join(c, hit, "left").groupBy(*keys, point).agg(F.coalesce(F.min("_p"), F.lit(default)).alias("p"))
+    points, own = _keyed(points, keys)
+    c = _keyed(cluster, keys)[0].select(*[F.col(k).alias(f"_{k}") for k in own], "t_start", "t_end", F.col("p").alias("_p"))
+    hit = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in own], F.col(point).between(F.col("t_start"), F.col("t_end")))
+    return points.join(c, hit, "left").groupBy(*own, point).agg(F.coalesce(F.min("_p"), F.lit(default)).alias("p")).select(*keys, point, "p")
 
 
 def combined_mask(points: DataFrame, cluster: DataFrame, alpha: float = 0.05, keys: Sequence[str] = (), point: str = "t") -> DataFrame:
@@ -460,7 +512,7 @@ def peak_pair(curve: DataFrame, keys: Sequence[str], min_gap_ms: float = 80.0, v
 
 def window_vs_chance(score: DataFrame, windows: DataFrame, subject_group: DataFrame | None, mu: float = 0.5) -> DataFrame:
     """(grp, window, stat, p): each group's window means against chance, two-sided."""
-    rows = score.join(F.broadcast(subject_group), "subject") if subject_group is not None else score
+    rows = score.join(subject_group, "subject") if subject_group is not None else score
     means = rows.join(F.broadcast(windows), F.col("t").between(F.col("t0"), F.col("t1"))).groupBy("grp", "subject", "window").agg(F.avg("score").alias("score"))
     return wilcoxon_1samp(means, ["grp", "window"], "score", mu, "two-sided")
 

@@ -190,6 +190,56 @@ def test_matrix_clusters(spark):
     assert one == len([g for g in clusters(0) if any(c[0] == 0 for c in g)])
 
 
+def test_neighbours_and_clusters_by_arrays():
+    """Random maps with holes against a plain flood fill."""
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        places = np.array([(a, b) for a in range(-3, 9) for b in range(7) if draw.random() < 0.8])
+        places = places[draw.permutation(len(places))]
+        side = draw.integers(-1, 2, len(places))
+        at, want = {tuple(p): k for k, p in enumerate(places.tolist())}, list(range(len(places)))
+        for k in range(len(places)):
+            if side[k] and want[k] == k:
+                front = [k]
+                while front:
+                    i = front.pop()
+                    want[i] = k
+                    a, b = places[i].tolist()
+                    front += [j for c in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)) if (j := at.get(c)) is not None and side[j] == side[k] and want[j] == j and j > k]
+        assert stats.joined(len(places), *stats.neighbours(places), side).tolist() == want
+
+
+def test_a_large_matrix_of_flips():
+    """A map of 801 x 801 cells takes well under a second a flip."""
+    import time
+
+    draw = np.random.default_rng(5)
+    places = np.stack(np.meshgrid(np.arange(801), np.arange(801), indexing="ij"), -1).reshape(-1, 2)
+    smooth = draw.normal(size=(801, 801)).cumsum(0).cumsum(1)
+    smooth = smooth / smooth.std()
+    largest = stats.largest_mass(0.8, "two-sided")(places)
+    began = time.process_time()
+    for k in range(3):
+        assert largest(np.roll(smooth, 100 * k, 0).ravel() + draw.normal(size=len(places)) * 0.3) > 0
+    assert (time.process_time() - began) / 3 < 3
+
+
+def test_units_of_a_point_in_several_rows(spark):
+    draw = random.Random(3)
+    rows = [(f"S{s:03}", t, 0.5 + draw.gauss(0.1, 1) if draw.random() < 0.9 else None) for s in range(60) for t in range(4)]
+    df = spark.createDataFrame(rows, "subject string, t int, score double")
+    for stat in stats.STATISTICS:
+        one, more = ({(r["t"], r["block"]): r["maps"] for r in stats.flipped(df, [], ["t"], "subject", "score", 0.5, 40, 0, stat, units=n).collect()} for n in (2048, 7))
+        assert one.keys() == more.keys() and all(np.allclose(one[k], more[k]) for k in one)
+        d = np.array([[v for _, t, v in rows if t == k] for k in range(4)], float) - 0.5
+        flips = np.stack([signs(f"S{s:03}", 0, range(41)) for s in range(60)])
+        if stat == "t":
+            x = d[:, :, None] * flips[None]
+            n = np.count_nonzero(~np.isnan(d), axis=1)[:, None]
+            want = np.nanmean(x, axis=1) / (np.nanstd(x, axis=1, ddof=1) / np.sqrt(n))
+            assert np.allclose([sum((one[t, b] for b in range(3)), []) for t in range(4)], want)
+
+
 def test_text_ids(spark):
     """Subjects and trials with text ids go through everything that draws at random."""
     draw = random.Random(2)
