@@ -50,8 +50,9 @@ class RecentWords(dict):
             self.held = 0
 
 
-#: A run of Latin letters with ASCII marks after it: each is one unit of the pre-tokenizer.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: A run of Latin letters with ASCII marks after it: each is one unit of the pre-tokenizer. The dotted capital I (U+0130) is
+#: none of them: in lower case it ends in a combining mark, which is one unit with marks that follow.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 #: Bytes of words and of other parts and marks that a task keeps.
 WORDS, OTHERS = 64 << 20, 8 << 20
 
@@ -78,8 +79,6 @@ def encoder(path: str) -> tuple[RecentWords, RecentWords]:
         """The normalizer, the byte alphabet and the merges, without the machinery around them."""
         if not letters.isascii():
             letters = unicodedata.normalize("NFC", letters).lower()
-            if "̇" in letters:  # a dotted capital I ends a unit
-                return whole(letters)
             letters = letters.encode().decode("latin-1").translate(letter)
         return array("I", [x.id for x in unit(letters)]).tobytes()
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -126,3 +127,16 @@ def test_session_stays_as_it_is(spark, odd):
     before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     packing.pieces(odd).count()
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_ids_of_dotted_capitals_and_marks():
+    """Letters whose small form ends in a combining mark, before punctuation and alone."""
+    draw = random.Random(12)
+    texts = ["BELEDİYESİ.", "BELEDİYESİ, ve", "İ!", "İ/", "Bİ", "İİ;", "i̇.", "I\u0307."]
+    signs = [*"aZiIİıéÉßŞğ.,;!/'-_() 0", "\u0307", "\u0301", "\u0327", "日", "😀", "\n", "\t"]
+    texts += ["".join(draw.choices(signs, k=draw.randrange(1, 14))) for _ in range(20_000)]
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        got = packed_ids(part, PATH)
+        for text, ids, want in zip(part, got, TOKENIZER.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
