@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,46 @@ def normal_cdf(z: Column) -> Column:
     return F.lit(0.5) * (F.lit(1.0) + F.when(z < 0, -erf).otherwise(erf))
 
 
+# The normal quantile of Wichura (AS 241), rational in the middle and in the tails.
+PROBIT_MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+PROBIT_TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+
+
+def polynomial(c: Sequence[float], x: Column) -> Column:
+    """c0 + c1 x + c2 x^2 + ..."""
+    out = F.lit(float(c[-1]))
+    for a in reversed(c[:-1]):
+        out = out * x + F.lit(float(a))
+    return out
+
+
+def polynomial_sql(c: Sequence[float], x: str) -> str:
+    out = f"{float(c[-1])!r}::DOUBLE"
+    for a in reversed(c[:-1]):
+        out = f"({out} * {x} + {float(a)!r}::DOUBLE)"
+    return out
+
+
+def probit(p: Column) -> Column:
+    """The normal quantile, for p from 1e-10 to 1 - 1e-10."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p))) - 1.6
+    middle = q * polynomial(PROBIT_MIDDLE[0], 0.180625 - q * q) / polynomial(PROBIT_MIDDLE[1], 0.180625 - q * q)
+    return F.when(F.abs(q) <= 0.425, middle).otherwise(F.signum(q) * polynomial(PROBIT_TAIL[0], r) / polynomial(PROBIT_TAIL[1], r))
+
+
+def probit_sql(p: str) -> str:
+    q, r = f"({p} - 0.5e0)", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6e0)"
+    s = f"(0.180625e0 - {q} * {q})"
+    return f"(CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {polynomial_sql(PROBIT_MIDDLE[0], s)} / {polynomial_sql(PROBIT_MIDDLE[1], s)} ELSE sign({q}) * {polynomial_sql(PROBIT_TAIL[0], r)} / {polynomial_sql(PROBIT_TAIL[1], r)} END)"
+
+
 def normal_cdf_sql(z: str) -> str:
     x = f"(abs({z}) / sqrt(2e0))"
     t = f"(1e0 / (1e0 + {ERF_P}e0 * {x}))"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +58,67 @@ def psd(df: DataFrame, keys: Sequence[str], n: int, sfreq: float, fmin: float =
     return spec.groupBy(*keys, "freq").agg((F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.lit(float(sfreq))).alias("power"))
 
 
+def slepian_tapers(n: int, half_width: float = 2.5, k: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` sequences of ``n`` samples with most of their energy within ``half_width`` / n of the rate, and that share.
+
+    They are the last eigenvectors of a symmetric tridiagonal matrix, which splits into halves for even and odd ones. Even ones
+    have a positive mean, odd ones start upwards.
+    """
+    t, w = np.arange(n), half_width / n
+    whole = np.diag(((n - 1 - 2 * t) / 2) ** 2 * np.cos(2 * math.pi * w))
+    off = t[1:] * (n - t[1:]) / 2
+    whole[t[1:], t[:-1]] = whole[t[:-1], t[1:]] = off
+    half = n // 2
+    mirror = np.zeros((n, n))
+    mirror[:half, :half], mirror[n - half :, :half] = np.eye(half), np.eye(half)[::-1]
+    mirror[:half, n - half :], mirror[n - half :, n - half :] = np.eye(half), -np.eye(half)[::-1]
+    mirror /= math.sqrt(2)
+    if n % 2:
+        mirror[half, half] = 1
+    found = []
+    for side in (slice(0, n - half), slice(n - half, n)):
+        values, vectors = np.linalg.eigh(mirror[:, side].T @ whole @ mirror[:, side])
+        found += [(v, mirror[:, side] @ x) for v, x in zip(values[::-1], vectors.T[::-1], strict=True)]
+    tapers = np.array([x for _, x in sorted(found, key=lambda p: -p[0])[:k]])
+    for j, x in enumerate(tapers):
+        lead = x.sum() if j % 2 == 0 else ((n - 1 - 2 * t) * x).sum()
+        tapers[j] = x if lead > 0 else -x
+    lags = np.array([[x[: n - m] @ x[m:] for m in range(n)] for x in tapers])
+    sinc = 2 * w * np.sinc(2 * w * t)
+    return tapers, np.clip(lags @ np.where(t == 0, sinc, 2 * sinc), 0, 1)
+
+
+#: Rounds of the adaptive weights.
+ADAPTIVE = 12
+
+
+def multitaper_psd(df: DataFrame, keys: Sequence[str], n: int, sfreq: float, fmin: float = 0.0, fmax: float = 45.0, half_width: float = 2.5, n_tapers: int = 4, rounds: int = ADAPTIVE) -> DataFrame:
+    """(keys, freq, power): spectra over Slepian tapers, weighed at each frequency so that broad-band leakage counts little.
+
+    A taper's weight is the share of the power that it should have there, given the last estimate and the series' mean square;
+    the estimate starts from the first two tapers and goes ``rounds`` times round. Tapers are a row for each sample of an epoch,
+    as the sine ones of ``psd``; an epoch's sums are one pass, the rounds are a fold over its few tapers. Missing samples add nothing.
+    """
+    tapers, shares = slepian_tapers(n, half_width, n_tapers)
+    freqs = [k * sfreq / n for k in range(n // 2 + 1) if fmin <= k * sfreq / n <= fmax]
+    rows = [(t, [(k, f, float(h[t]) * math.cos(2 * math.pi * f * t / sfreq), -float(h[t]) * math.sin(2 * math.pi * f * t / sfreq)) for k, h in enumerate(tapers) for f in freqs]) for t in range(n)]
+    waves = df.sparkSession.createDataFrame(rows, "t int, waves array<struct<taper:int,freq:double,c:double,s:double>>")
+    own = df.groupBy(*keys).agg(F.avg(F.col("x") * F.col("x")).alias("_level"))
+    long = df.join(F.broadcast(waves), "t").select(*keys, "x", F.explode("waves").alias("w"))
+    spec = long.groupBy(*keys, F.col("w.taper").alias("taper"), F.col("w.freq").alias("freq")).agg((F.pow(F.sum(F.col("x") * F.col("w.c")), 2) + F.pow(F.sum(F.col("x") * F.col("w.s")), 2)).alias("e"))
+    each = spec.groupBy(*keys, "freq").agg(F.transform(F.array_sort(F.collect_list(F.struct("taper", "e"))), lambda s: s["e"]).alias("_e")).join(own, list(keys))
+    share = [float(x) for x in shares]
+    total = lambda parts: sum(parts[1:], parts[0])
+    e = lambda k: F.get("_e", F.lit(k))
+
+    def better(s):
+        weight = [F.pow(math.sqrt(x) * s / (x * s + (1 - x) * F.col("_level") + 1e-300), 2) for x in share]
+        return total([w * e(k) for k, w in enumerate(weight)]) / (total(weight) + 1e-300)
+
+    start = (e(0) + e(1)) / 2 if len(share) > 1 else e(0)
+    return each.select(*keys, "freq", (F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: better(s)) / F.lit(float(sfreq))).alias("power"))
+
+
 def band_power(psd_: DataFrame, band: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean over channels and bins from lo up to, but not with, the last bin at or below hi."""
     bins = psd_.select("freq").distinct()

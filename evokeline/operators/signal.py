@@ -44,6 +44,55 @@ def interpolate_bad(df: DataFrame, bad: DataFrame, position: DataFrame, power: f
     return good.select(*keys, "channel", "x").unionByName(filled.withColumnRenamed("target", "channel").select(*keys, "channel", "x"))
 
 
+def legendre_series(cosine: np.ndarray, stiffness: int, terms: int) -> np.ndarray:
+    """The sum over n of (2 n + 1) / (n (n + 1))^stiffness P_n(cosine) / 4 pi, by the recurrence of the polynomials."""
+    before, now, out = np.ones_like(cosine), cosine.copy(), np.zeros_like(cosine)
+    for n in range(1, terms + 1):
+        out += (2 * n + 1) / (n * (n + 1.0)) ** stiffness * now
+        before, now = now, ((2 * n + 1) * cosine * now - n * before) / (n + 1)
+    return out / (4 * math.pi)
+
+
+def spline_weights(good: np.ndarray, bad: np.ndarray, stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> np.ndarray:
+    """Bad x good channels: the spherical spline through the good ones, read at the bad ones; rows of places, taken to the unit sphere."""
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    g, b, n = unit(good), unit(bad), len(good)
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n] = legendre_series(np.clip(g @ g.T, -1, 1), stiffness, terms) + smooth * np.eye(n)
+    system[n, n] = 0
+    read = np.column_stack([legendre_series(np.clip(b @ g.T, -1, 1), stiffness, terms), np.ones(len(bad))])
+    return (read @ np.linalg.pinv(system))[:, :n]
+
+
+def interpolate_spline(df: DataFrame, bad: DataFrame, position: DataFrame, keys: Sequence[str] = ("subject", "trial", "t"), stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> DataFrame:
+    """Bad channels (subject, channel) read off a spherical spline through the subject's good ones; position: (channel, px, py, pz).
+
+    Each distinct set of bad channels has its weights solved once, in one row; subjects get them by their set. A repaired value is a
+    weighted sum: samples are joined by channel and added up, none is gathered. Channels without a place stay as they are and
+    repair nothing; bad ones without a place go. Missing values of good channels count as zero. The montage is a small table.
+    """
+    places = {r["channel"]: (r["px"], r["py"], r["pz"]) for r in position.select("channel", "px", "py", "pz").collect()}  # channels
+    names = sorted(places)
+    kind = dict(position.dtypes)["channel"]
+    sets = bad.join(F.broadcast(position.select("channel")), "channel").groupBy("subject").agg(F.array_sort(F.collect_set("channel")).alias("_set"))
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for own in pdf["_set"]:
+                out, rest = [c for c in names if c in set(own)], [c for c in names if c not in set(own)]
+                if rest:
+                    w = spline_weights(np.array([places[c] for c in rest], float), np.array([places[c] for c in out], float), stiffness, terms, smooth)
+                    rows += [(list(own), t, c, float(w[i, j])) for i, t in enumerate(out) for j, c in enumerate(rest)]
+            yield pd.DataFrame(rows, columns=["_set", "target", "channel", "w"])
+
+    weights = sets.select("_set").distinct().mapInPandas(solved, f"_set array<{kind}>, target {kind}, channel {kind}, w double")
+    good = df.join(bad.select("subject", "channel").distinct(), ["subject", "channel"], "left_anti")
+    pairs = sets.join(weights, "_set").drop("_set")
+    filled = good.join(pairs, ["subject", "channel"]).groupBy(*keys, "target").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return good.select(*keys, "channel", "x").unionByName(filled.withColumnRenamed("target", "channel").select(*keys, "channel", "x"))
+
+
 def sinc_kernel(taps: int, low: float | None, high: float | None, sfreq: float) -> list[float]:
     """A windowed-sinc kernel (Hamming): low-pass at ``high`` less low-pass at ``low``, both in Hz."""
     half = taps // 2
@@ -136,6 +185,60 @@ def resample_bins(df: DataFrame, keys: Sequence[str], sfreq_in: float, sfreq_out
     return df.groupBy(*keys, bin_.alias(order)).agg(F.avg("x").alias("x"))
 
 
+def resampling_kernel(up: int, down: int, reach: int = 10) -> np.ndarray:
+    """A centred low-pass (windowed sinc, Kaiser 5) at the lower of both Nyquist frequencies, for ``up`` samples between two; its phases sum to 1 on average."""
+    half = reach * max(up, down)
+    k = np.arange(-half, half + 1)
+    h = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    return h * (up / h.sum())
+
+
+def resample_poly(df: DataFrame, keys: Sequence[str], up: int, down: int, order: str = "sample", kernel: Sequence[float] | None = None, size: int = 8192) -> DataFrame:
+    """``x`` at ``up / down`` of its rate, without aliases: the sum over samples of x(k) h(m * down - k * up) for each new sample m.
+
+    New samples lie in chunks of ``size`` by their number, and a sample goes to each chunk that it reaches, so a recording of any
+    length is many groups; in a chunk each phase of the kernel is one product. Samples that aren't there or have no value
+    count as zero; a new sample exists where the one at or just before its time does. Doubled samples add up. The rates' common
+    factor is taken out. Columns other than the keys, the order and ``x`` go.
+    """
+    common = math.gcd(up, down)
+    up, down = up // common, down // common
+    taps = np.asarray(resampling_kernel(up, down) if kernel is None else kernel, float)
+    half = len(taps) // 2
+    at = F.col(order).cast("long")
+    lowest, highest = F.ceil((at * up - half) / down), F.floor((at * up + half) / down)
+    # the sample also goes where new samples take it for the one before them
+    last = F.greatest(highest, F.floor((at * up + up - 1) / down))
+    first = F.least(lowest, F.ceil(at * up / down))
+    own = df.select(*keys, at.alias(order), F.col("x").cast("double").alias("x"), F.explode(F.sequence(F.floor(first / size), F.floor(last / size))).alias("_chunk"))
+    types = dict(own.dtypes)
+    reach = half // up + 1
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, place = int(pdf["_chunk"].iloc[0]), pdf[order].to_numpy(np.int64)
+        m = np.arange(chunk * size, (chunk + 1) * size)
+        base, phase = np.floor_divide(m * down, up), np.mod(m * down, up)
+        low = min(int(place.min()), int(base[0])) - reach
+        x, there = np.zeros(max(int(place.max()), int(base[-1])) + reach - low + 1), np.zeros(max(int(place.max()), int(base[-1])) + reach - low + 1, bool)
+        np.add.at(x, place - low, pdf["x"].fillna(0.0).to_numpy())
+        there[place - low] = True
+        y = np.zeros(size)
+        for p in range(up):
+            new = np.flatnonzero(phase == p)
+            for j in range(-reach, reach + 1):  # sample base + j stands j * up - p after the new one
+                tap = half + p - j * up
+                if 0 <= tap < len(taps):
+                    y[new] += taps[tap] * x[base[new] + j - low]
+        kept = there[base - low]
+        out = pd.DataFrame({order: m[kept], "x": y[kept]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, order, "x"]]
+
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + f"`{order}` long, x double"
+    return own.groupBy(*keys, "_chunk").applyInPandas(one, schema)  # a chunk and what reaches into it
+
+
 def epoch_extract(recording: DataFrame, event: DataFrame, tmin: int, tmax: int, bucket: int | None = None) -> DataFrame:
     """Samples from onset + tmin to onset + tmax of each event, with ``t`` relative to the onset.
 

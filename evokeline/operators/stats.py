@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.distributions import normal_cdf, rank_sum_null, signed_rank_null, t_tail, tail
+from ..functions.distributions import normal_cdf, polynomial, probit, rank_sum_null, signed_rank_null, t_tail, tail
 from ..functions.hashing import signs
 from ..functions.session import cut
 
@@ -145,6 +145,54 @@ def jarque_bera(value: str) -> tuple[Column, Column]:
     return stat, F.exp(-stat / 2)
 
 
+# Fixed values of Royston's approximation (AS R94): the two outer coefficients by 1 / sqrt(n), and mean and deviation of the
+# transformed statistic by n (up to 11) and by log n.
+OUTER = ((0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+SMALL_LIMIT, SMALL_MEAN, SMALL_SD = (-2.273, 0.459), (0.5440, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN, LARGE_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+#: Values up to which the approximation holds.
+MOST_VALUES = 5000
+
+
+def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, n, w, p): the Shapiro-Wilk statistic by Royston's coefficients and transform, for 3 to ``MOST_VALUES`` values; else, and for constant ones, null.
+
+    The expected normal order statistics are columns of the ranks, and a group's sums give the statistic: missing values don't count.
+    """
+    own = [F.col(k) for k in keys] if keys else [F.lit(0)]
+    by = Window.partitionBy(*own)
+    known = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_x")).where("_x is not null")
+    ranked = known.withColumn("_i", F.row_number().over(by.orderBy("_x"))).withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_d", F.col("_x") - F.avg("_x").over(by))
+    at = ranked.withColumn("_m", probit((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
+    edge = lambda place, c: F.max(F.when(F.col("_i") == place, F.col(c)))
+    n = F.col("_n")
+    g = at.groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("_q"), F.sum(F.col("_m") * F.col("_x")).alias("_mx"), F.sum(F.col("_d") * F.col("_d")).alias("_ss"),
+        edge(n, "_m").alias("_m1"), edge(n - 1, "_m").alias("_m2"), (edge(n, "_x") - edge(F.lit(1), "_x")).alias("_r1"), (edge(n - 1, "_x") - edge(F.lit(2), "_x")).alias("_r2"),
+    )
+    w, p = _royston()
+    g = g.withColumn("w", F.when((F.col("n") >= 3) & (F.col("n") <= MOST_VALUES) & (F.col("_ss") > 1e-300), F.least(F.lit(1.0), w)))
+    return g.select(*keys, "n", "w", p.alias("p"))
+
+
+def _royston() -> tuple[Column, Column]:
+    """W from n, the sums _q, _mx, _ss and the outer order statistics, and p from W."""
+    n, q = F.col("n"), F.col("_q")
+    u, m1, m2 = 1 / F.sqrt(n), F.col("_m1"), F.col("_m2")
+    a1 = F.when(n == 3, F.lit(0.5**0.5)).otherwise(m1 / F.sqrt(q) + polynomial(OUTER[0], u))
+    a2 = m2 / F.sqrt(q) + polynomial(OUTER[1], u)
+    rest = F.col("_mx") - m1 * F.col("_r1")
+    few = F.sqrt((q - 2 * m1 * m1) / (1 - 2 * a1 * a1))
+    many = F.sqrt((q - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))
+    b = a1 * F.col("_r1") + F.when(n == 3, F.lit(0.0)).when(n <= 5, rest / few).otherwise(a2 * F.col("_r2") + (rest - m2 * F.col("_r2")) / many)
+    y, log_n, w = F.log(F.greatest(F.lit(1e-300), 1 - F.col("w"))), F.log(n.cast("double")), F.col("w")
+    small = -F.log(polynomial(SMALL_LIMIT, n) - y)
+    z = F.when(n <= 11, (small - polynomial(SMALL_MEAN, n)) / F.exp(polynomial(SMALL_SD, n))).otherwise((y - polynomial(LARGE_MEAN, log_n)) / F.exp(polynomial(LARGE_SD, log_n)))
+    three = F.greatest(F.lit(0.0), 6 / F.lit(np.pi) * (F.asin(F.sqrt(w)) - F.asin(F.sqrt(F.lit(0.75)))))
+    p = F.when(w.isNull(), F.lit(None)).when(n == 3, three).when((n <= 11) & (y >= polynomial(SMALL_LIMIT, n)), F.lit(0.0)).otherwise(1 - normal_cdf(z))
+    return b * b / F.col("_ss"), p
+
+
 def normality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, n, ks, ad, jb, jb_p, normal): distances of the standardised values from the normal distribution."""
     w = Window.partitionBy(*keys)
@@ -159,11 +207,17 @@ def normality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "ks", (-F.col("n") - F.col("_s") / F.col("n")).alias("ad"), "jb", "jb_p", (F.col("jb_p") > 0.05).alias("normal"))
 
 
-def adaptive_test(df: DataFrame, keys: Sequence[str], value: str, mu: float, alternative: str = "two-sided", exact: bool = True) -> DataFrame:
-    """(keys, test, stat, p): t for small samples, for many zeros and for normal ones, else the signed rank."""
-    stat, p = jarque_bera(value)
-    shape = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg((F.col(value) == mu).cast("double")).alias("_zeros"), p.alias("_jb"))
-    use_t = (F.col("_n") < 5) | (F.col("_zeros") > 0.5) | (F.col("_jb") > 0.05)
+def adaptive_test(df: DataFrame, keys: Sequence[str], value: str, mu: float, alternative: str = "two-sided", exact: bool = True, normal: str = "shapiro") -> DataFrame:
+    """(keys, test, stat, p): t for small samples, for many zeros and for normal ones, else the signed rank.
+
+    ``normal`` tells what normal ones are: those of a Shapiro-Wilk p above 0.05 (``shapiro``; of more than ``MOST_VALUES`` values by
+    the other rule), or of a Jarque-Bera p above it (``jb``).
+    """
+    _, jb = jarque_bera(value)
+    shape = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg((F.col(value) == mu).cast("double")).alias("_zeros"), jb.alias("_p"))
+    if normal == "shapiro":
+        shape = shape.join(shapiro_wilk(df, keys, value).select(*keys, F.col("p").alias("_sw")), list(keys), "left").withColumn("_p", F.coalesce("_sw", "_p"))
+    use_t = (F.col("_n") < 5) | (F.col("_zeros") > 0.5) | (F.col("_p") > 0.05)
     t = ttest_1samp(df, keys, value, mu, alternative, exact).select(*keys, F.col("stat").alias("_ts"), F.col("p").alias("_tp"))
     w = wilcoxon_1samp(df, keys, value, mu, alternative).select(*keys, F.col("stat").alias("_ws"), F.col("p").alias("_wp"))
     both = shape.join(t, list(keys)).join(w, list(keys))

@@ -61,6 +61,27 @@ def _psd(spark: SparkSession, d: str) -> DataFrame:
     return rounded(psd(spark, d), "power")
 
 
+WIDTH, TAPERS = 2.0, 3
+
+
+def taper_sql() -> str:
+    """Adaptive spectra over Slepian tapers, which stand there as values: s{n} after the n-th round."""
+    tapers, shares = A.slepian_tapers(N, WIDTH, TAPERS)
+    values = ", ".join(f"({k}, {t}, {float(tapers[k, t])!r}::DOUBLE)" for k in range(TAPERS) for t in range(N))
+    own, by = ", ".join(f"({k}, {float(x)!r}::DOUBLE)" for k, x in enumerate(shares)), "subject, trial, channel"
+    out = f""", h(k, t, h) AS (VALUES {values}), sh(k, l) AS (VALUES {own}), lv AS (SELECT {by}, avg(x * x) AS v FROM trial_long GROUP BY ALL),
+ ek AS (SELECT {by}, k, f * {RATE}e0 / {N} AS freq, pow(sum(x * h * cos(2 * pi() * f * t / {N})), 2) + pow(sum(x * h * sin(2 * pi() * f * t / {N})), 2) AS e FROM trial_long JOIN h USING (t) CROSS JOIN (SELECT unnest(range(0, {N // 2 + 1})) AS f) GROUP BY ALL),
+ s0 AS (SELECT {by}, freq, avg(e) AS s FROM ek WHERE k < 2 GROUP BY ALL)"""
+    for r in range(A.ADAPTIVE):
+        out += f""", w{r} AS (SELECT {by}, freq, e, pow(sqrt(l) * s / (l * s + (1 - l) * v + 1e-300), 2) AS w FROM ek JOIN sh USING (k) JOIN lv USING ({by}) JOIN s{r} USING ({by}, freq)), s{r + 1} AS MATERIALIZED (SELECT {by}, freq, sum(w * e) / (sum(w) + 1e-300) AS s FROM w{r} GROUP BY ALL)"""
+    return out + f" SELECT {by}, freq, round(s / {RATE}e0, 6) AS power FROM s{A.ADAPTIVE} WHERE freq <= 45"
+
+
+@query("multitaper_psd", V.sql("trial_long", taper_sql()))
+def _multitaper(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.multitaper_psd(trials(spark, d), ["subject", "trial", "channel"], N, RATE, half_width=WIDTH, n_tapers=TAPERS), "power")
+
+
 POWER_SQL = PSD_SQL + ", " + BAND_SQL + ", bound AS (SELECT band, lo, max(freq) AS bound FROM band JOIN (SELECT DISTINCT freq FROM psd) ON freq <= hi GROUP BY 1, 2), bp AS (SELECT subject, trial, band, avg(power) * 1000 AS power FROM psd JOIN bound ON freq >= lo AND freq < bound GROUP BY 1, 2, 3)"
 
 

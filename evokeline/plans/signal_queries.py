@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import components as K
 from ..operators import signal as P
 from . import views as V
 from .registry import query, rounded
@@ -44,6 +48,29 @@ def _bad(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.interpolate_bad(trials(spark, d), spark.createDataFrame(BAD, "subject long, channel int"), position), "x")
 
 
+def layout(c: int) -> tuple[float, float, float]:
+    """Eight places on the upper half of a sphere."""
+    turn, height = 2 * math.pi * c / 8, 0.1 + 0.1 * c
+    return math.sqrt(1 - height * height) * math.cos(turn), math.sqrt(1 - height * height) * math.sin(turn), height
+
+
+def spline_sql() -> str:
+    """The weights of each bad channel's subject, as values."""
+    rows = []
+    for s in sorted({s for s, _ in BAD}):
+        out = [c for k, c in BAD if k == s]
+        rest = [c for c in range(8) if c not in out]
+        w = P.spline_weights(np.array([layout(c) for c in rest]), np.array([layout(c) for c in out]))
+        rows += [f"({s}, {t}, {c}, {float(w[i, j])!r}::DOUBLE)" for i, t in enumerate(out) for j, c in enumerate(rest)]
+    return ", ".join(rows)
+
+
+@query("interpolate_spline", V.sql("trial_long", f", w(subject, target, channel, w) AS (VALUES {spline_sql()}), f AS (SELECT t.subject, trial, t, target AS channel, sum(w * x) AS x FROM trial_long t JOIN w ON w.subject = t.subject AND w.channel = t.channel GROUP BY ALL) SELECT subject, trial, t, channel, round(x, 6) + 0 AS x FROM (SELECT subject, trial, t, channel, x FROM trial_long t WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.subject = t.subject AND w.target = t.channel) UNION ALL SELECT * FROM f)"))
+def _spline(spark: SparkSession, d: str) -> DataFrame:
+    position = spark.createDataFrame([(c, *layout(c)) for c in range(8)], "channel int, px double, py double, pz double")
+    return rounded(P.interpolate_spline(trials(spark, d), spark.createDataFrame(BAD, "subject long, channel int"), position), "x")
+
+
 KERNEL = [0.1, 0.2, 0.4, 0.2, 0.1]
 _K = "(VALUES " + ", ".join(f"({k - 2}, {h}e0)" for k, h in enumerate(KERNEL)) + ") k(o, h)"
 
@@ -72,6 +99,21 @@ def _resample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.resample_bins(V.cont_signal(spark, d), ["subject", "channel"], 250.0, 100.0), "x")
 
 
+UP, DOWN = 2, 5
+
+
+def poly_sql() -> str:
+    """y: samples at UP / DOWN of the rate, each the sum over samples and taps that meet there."""
+    h = P.resampling_kernel(UP, DOWN)
+    taps = ", ".join(f"({k - len(h) // 2}, {float(v)!r}::DOUBLE)" for k, v in enumerate(h))
+    return f", k(o, h) AS (VALUES {taps}), y AS (SELECT subject, channel, (sample * {UP} + o) // {DOWN} AS m, sum(h * x) AS x FROM cont_signal CROSS JOIN k WHERE (sample * {UP} + o) % {DOWN} = 0 GROUP BY 1, 2, 3)"
+
+
+@query("resample_poly", V.sql("cont_signal", poly_sql() + f" SELECT y.subject, y.channel, m AS sample, round(y.x, 6) + 0 AS x FROM y JOIN cont_signal c ON c.subject = y.subject AND c.channel = y.channel AND c.sample = cast(floor(m * {DOWN} / {UP}) AS BIGINT)"))
+def _poly(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.resample_poly(V.cont_signal(spark, d), ["subject", "channel"], UP, DOWN), "x")
+
+
 @query("epoch_extract", V.sql("cont_signal", "SELECT e.subject, e.event_id, channel, sample, sample - e.seq AS t, round(x, 6) AS x FROM event_seq e JOIN cont_signal c ON c.subject = e.subject AND c.sample BETWEEN e.seq - 2 AND e.seq + 5 WHERE code = 1"))
 def _epochs(spark: SparkSession, d: str) -> DataFrame:
     event = V.event_seq(spark, d).where("code = 1").select("subject", "event_id", F.col("seq").alias("onset"))
@@ -142,6 +184,15 @@ AUTO_SQL = ", ptp AS (SELECT subject, trial, channel, max(x) - min(x) AS ptp, tr
  best AS (SELECT subject, channel, threshold, cost FROM (SELECT *, row_number() OVER (PARTITION BY subject, channel ORDER BY cost, threshold) AS k FROM mean) WHERE k = 1)"""
 
 
+@query("independent_components")
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    """Trials without the components that go along with channel 0, as a stand-in for an ocular one."""
+    rows = trials(spark, d)
+    model = K.stored(K.fit_components(rows, most=4, rounds=8))
+    bad = K.ocular_components(rows, model, 0, 1.2).where("bad")
+    return rounded(K.without_components(rows, model, bad).select("subject", "trial", "channel", "t", "x"), "x")
+
+
 @query("auto_threshold", V.sql("trial_long", AUTO_SQL + " SELECT p.subject, trial, round(avg(CASE WHEN ptp > threshold THEN 1e0 ELSE 0e0 END), 6) AS share_bad, avg(CASE WHEN ptp > threshold THEN 1e0 ELSE 0e0 END) > 0.4 AS dropped FROM ptp p JOIN best b ON b.subject = p.subject AND b.channel = p.channel GROUP BY 1, 2"))
 def _auto(spark: SparkSession, d: str) -> DataFrame:
     ptp = P.peak_to_peak(trials(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_cdf_sql, tail_sql
+from ..functions.distributions import normal_cdf_sql, polynomial_sql, probit_sql, tail_sql
 from ..functions.hashing import sign_sql
 from ..operators import stats as T
 from . import views as V
@@ -141,7 +141,26 @@ def _by(spark: SparkSession, d: str) -> DataFrame:
 JB_SQL = ", mo AS (SELECT {k}, count({v}) AS n, avg({v}) AS m FROM {s} GROUP BY {k}), c AS (SELECT {k}, avg(pow({v} - m, 2)) AS m2, avg(pow({v} - m, 3)) AS m3, avg(pow({v} - m, 4)) AS m4, any_value(n) AS n FROM {s} JOIN mo USING ({k}) GROUP BY {k}), jb AS (SELECT {k}, n, n / 6e0 * (pow(m3 / pow(m2, 1.5e0), 2) + pow(m4 / pow(m2, 2) - 3, 2) / 4) AS jb FROM c)"
 
 
-@query("adaptive_test", V.sql("score_matrix", SHIFT_SQL + JB_SQL.format(k="grp, t", v="score", s="sm") + wilcoxon_sql("o", "sm", "grp, t", "(score - 0.5e0)", "greater") + ", tt AS (SELECT grp, t, count(*) AS n, (avg(score) - 0.5e0) / (stddev_samp(score) / sqrt(count(*))) AS stat FROM sm GROUP BY 1, 2)" + t_tail_sql("tp", "tt", "grp, t") + ", u AS (SELECT grp, t, n < 5 OR exp(-jb / 2) > 0.05 AS use_t FROM jb) SELECT grp, t, CASE WHEN use_t THEN 'ttest' ELSE 'wilcoxon' END AS test, round(CASE WHEN use_t THEN tp.stat ELSE o.stat END, 6) + 0 AS stat, round(CASE WHEN use_t THEN tp.p ELSE o.p END, 6) AS p FROM u JOIN o USING (grp, t) JOIN tp USING (grp, t)").replace("WITH ", "WITH RECURSIVE ", 1))
+def shapiro_sql(name: str, source: str, keys: str, value: str) -> str:
+    """{name}: keys, n, w, p of Royston's approximation."""
+    poly, n, u, l = polynomial_sql, "n", "(1 / sqrt(n))", "ln(n)"  # noqa: E741
+    a1, a2 = f"CASE WHEN n = 3 THEN sqrt(0.5e0) ELSE m1 / sqrt(q) + {poly(T.OUTER[0], u)} END", f"m2 / sqrt(q) + {poly(T.OUTER[1], u)}"
+    z = f"CASE WHEN n <= 11 THEN (-ln({poly(T.SMALL_LIMIT, n)} - y) - {poly(T.SMALL_MEAN, n)}) / exp({poly(T.SMALL_SD, n)}) ELSE (y - {poly(T.LARGE_MEAN, l)}) / exp({poly(T.LARGE_SD, l)}) END"
+    return f""", r_{name} AS (SELECT {keys}, {value} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) AS i, cast(count(*) OVER (PARTITION BY {keys}) AS DOUBLE) AS n FROM {source} WHERE {value} IS NOT NULL),
+ m_{name} AS (SELECT *, {probit_sql("((i - 0.375e0) / (n + 0.25e0))")} AS m FROM r_{name}),
+ g_{name} AS (SELECT {keys}, any_value(n) AS n, sum(m * m) AS q, sum(m * x) AS mx, var_pop(x) * count(*) AS ss, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, max(x) - min(x) AS r1, max(x) FILTER (WHERE i = n - 1) - max(x) FILTER (WHERE i = 2) AS r2 FROM m_{name} GROUP BY {keys}),
+ a_{name} AS (SELECT *, {a1} AS a1, {a2} AS a2 FROM g_{name} WHERE n >= 3 AND ss > 0),
+ b_{name} AS (SELECT *, pow(a1 * r1 + CASE WHEN n = 3 THEN 0 WHEN n <= 5 THEN (mx - m1 * r1) / sqrt((q - 2 * m1 * m1) / (1 - 2 * a1 * a1)) ELSE a2 * r2 + (mx - m1 * r1 - m2 * r2) / sqrt((q - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END, 2) / ss AS w FROM a_{name}),
+ y_{name} AS (SELECT *, ln(greatest(1e-300, 1 - w)) AS y FROM b_{name}), z_{name} AS (SELECT *, {z} AS z FROM y_{name}),
+ {name} AS (SELECT {keys}, cast(n AS BIGINT) AS n, w, CASE WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75e0)))) ELSE 1 - {normal_cdf_sql("z")} END AS p FROM z_{name})"""
+
+
+@query("shapiro_wilk", V.sql("score_matrix", SHIFT_SQL + shapiro_sql("sw", "sm", "grp, t", "score") + " SELECT grp, t, n, round(w, 6) AS w, round(p, 6) AS p FROM sw"))
+def _shapiro(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(T.shapiro_wilk(shifted(spark, d), ["grp", "t"], "score"), "w", "p")
+
+
+@query("adaptive_test", V.sql("score_matrix", SHIFT_SQL + shapiro_sql("sw", "sm", "grp, t", "score") + wilcoxon_sql("o", "sm", "grp, t", "(score - 0.5e0)", "greater") + ", tt AS (SELECT grp, t, count(*) AS n, (avg(score) - 0.5e0) / (stddev_samp(score) / sqrt(count(*))) AS stat FROM sm GROUP BY 1, 2)" + t_tail_sql("tp", "tt", "grp, t") + ", u AS (SELECT grp, t, n < 5 OR sw.p > 0.05 AS use_t FROM sw) SELECT grp, t, CASE WHEN use_t THEN 'ttest' ELSE 'wilcoxon' END AS test, round(CASE WHEN use_t THEN tp.stat ELSE o.stat END, 6) + 0 AS stat, round(CASE WHEN use_t THEN tp.p ELSE o.p END, 6) AS p FROM u JOIN o USING (grp, t) JOIN tp USING (grp, t)").replace("WITH ", "WITH RECURSIVE ", 1))
 def _adaptive(spark: SparkSession, d: str) -> DataFrame:
     return rounded(T.adaptive_test(shifted(spark, d), ["grp", "t"], "score", CHANCE, "greater"), "stat", "p")
 

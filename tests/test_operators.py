@@ -308,3 +308,86 @@ def test_corpus_import_errors_surface(tmp_path):
             (copy / "corpus_pipeline.py").write_text("from evokeline.llm import queries\n")
         done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=copy, capture_output=True, text=True, timeout=120)
         assert (done.returncode == 0) == (not broken)
+
+
+def test_shapiro_wilk(spark):
+    """Published examples, sizes of every branch, and values that have no statistic."""
+    from statistics import NormalDist
+
+    from evokeline.functions.distributions import probit
+
+    p = spark.range(1, 2000).select((F.col("id") / 2000.0).alias("p")).select("p", probit(F.col("p")).alias("z")).collect()
+    assert max(abs(r["z"] - NormalDist().inv_cdf(r["p"])) for r in p) < 1e-12
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    rows = [("weights", float(v)) for v in weights] + [("weights", None), ("weights", float("nan"))] + [("three", v) for v in (1.0, 2.0, 4.0)] + [("same", 1.0)] * 9 + [("two", 1.0), ("two", 2.0)]
+    rows += [("normal", NormalDist().inv_cdf((k + 0.5) / 200)) for k in range(200)] + [("skewed", math.exp(2 * NormalDist().inv_cdf((k + 0.5) / 60))) for k in range(60)] + [("five", v) for v in (1.0, 2.0, 3.0, 4.0, 20.0)]
+    got = {r["k"]: (r["n"], r["w"], r["p"]) for r in stats.shapiro_wilk(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got["weights"][0] == 11 and abs(got["weights"][1] - 0.78881) < 1e-4 and abs(got["weights"][2] - 0.006704) < 1e-4
+    assert abs(got["three"][1] - 0.96429) < 1e-4 and abs(got["three"][2] - 0.63689) < 1e-4
+    assert got["same"][1:] == (None, None) and got["two"][1:] == (None, None)
+    assert got["normal"][2] > 0.99 and got["skewed"][2] < 1e-6 and 0 < got["five"][2] < 0.05
+    choice = {r["k"]: r["test"] for r in stats.adaptive_test(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 0.0).collect()}
+    assert choice["normal"] == "ttest" and choice["skewed"] == "wilcoxon" and choice["two"] == "ttest" and choice["weights"] == "wilcoxon"
+
+
+def tone(df, hz, rate):
+    """The amplitude of a frequency in the middle of a recording."""
+    x = np.array([r["x"] for r in df.orderBy("sample").collect()])[60:-60]
+    k = np.arange(len(x))
+    return 2 * abs(np.mean(x * np.hanning(len(x)) * 2 * np.exp(-2j * np.pi * hz * k / rate)))
+
+
+def test_resampling_has_no_aliases(spark):
+    rows = [("s", k, math.sin(2 * math.pi * 10 * k / 250) + math.sin(2 * math.pi * 80 * k / 250)) for k in range(2500)]
+    df = spark.createDataFrame(rows, "subject string, sample long, x double")
+    out = signal.resample_poly(df, ["subject"], 100, 250)
+    assert out.count() == 1000
+    assert abs(tone(out, 10, 100) - 1) < 0.02 and tone(out, 20, 100) < 0.01  # 80 Hz would show at 20
+    assert tone(signal.resample_bins(df, ["subject"], 250.0, 100.0), 20, 100) > 0.05
+    up = signal.resample_poly(df.where("sample < 600"), ["subject"], 3, 1)
+    assert abs(tone(up, 10, 750) - 1) < 0.02 and up.count() == 1800
+    gap = df.where("sample < 100 or sample >= 1000").withColumn("sample", F.col("sample") - 50)
+    whole, chunked = ({r["sample"]: r["x"] for r in signal.resample_poly(gap, ["subject"], 2, 5, size=n).collect()} for n in (8192, 17))
+    assert whole.keys() == chunked.keys() and all(abs(whole[k] - chunked[k]) < 1e-9 for k in whole)
+    h = signal.resampling_kernel(2, 5)
+    x = {r["sample"]: r["x"] for r in gap.collect()}
+    assert set(whole) == {m for m in range(-100, 1100) if (m * 5) // 2 in x}
+    for m in list(whole)[::37]:
+        assert abs(whole[m] - sum(v * h[len(h) // 2 + m * 5 - k * 2] for k, v in x.items() if abs(m * 5 - k * 2) <= len(h) // 2)) < 1e-9
+    assert signal.resample_poly(df.limit(0), ["subject"], 2, 5).count() == 0
+
+
+def test_splines_read_low_harmonics(spark):
+    """Smooth fields on the sphere come back at repaired channels; subjects with one set share its weights."""
+    draw = np.random.default_rng(6)
+    at = draw.normal(size=(60, 3))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    fields = [lambda p: 1 + 0 * p[0], lambda p: p[0] + 2 * p[2], lambda p: p[0] * p[1] + 0.5 * (3 * p[2] ** 2 - 1)]
+    rows = [(s, f, 0, f"c{c:02d}", float(field(at[c]))) for s in range(3) for f, field in enumerate(fields) for c in range(60)]
+    df = spark.createDataFrame(rows, "subject int, trial int, t int, channel string, x double")
+    bad = spark.createDataFrame([(0, "c03"), (0, "c40"), (1, "c03"), (1, "c40"), (1, "c03"), (2, "c07"), (2, "nowhere")], "subject int, channel string")
+    spoilt = df.join(bad.distinct().withColumn("b", F.lit(1)), ["subject", "channel"], "left").withColumn("x", F.when(F.col("b") == 1, 99.0).otherwise(F.col("x"))).drop("b")
+    position = spark.createDataFrame([(f"c{c:02d}", *(3 * at[c]).tolist()) for c in range(60)], "channel string, px double, py double, pz double")
+    got = {(r["subject"], r["trial"], r["channel"]): r["x"] for r in signal.interpolate_spline(spoilt, bad, position).collect()}
+    assert len(got) == len(rows)
+    assert max(abs(got[s, f, c] - x) for s, f, _, c, x in rows) < 0.02
+    assert all(abs(got[s, 0, c] - 1) < 1e-6 for s in range(3) for c in ("c03", "c40", "c07"))
+
+
+def test_slepian_tapers_and_adaptive_spectra(spark):
+    """Orthonormal tapers of nearly all their energy in the band; a strong tone leaks less than with sine tapers."""
+    for n, width, k in ((64, 2.5, 4), (101, 4.0, 7), (600, 2.5, 4)):
+        tapers, shares = aggregate.slepian_tapers(n, width, k)
+        assert np.abs(tapers @ tapers.T - np.eye(k)).max() < 1e-9 and np.all(np.diff(shares) <= 1e-12) and shares[0] > 0.999
+        t = np.arange(n)
+        kernel = np.where(t[:, None] == t, 2 * width / n, np.sin(2 * np.pi * width / n * (t[:, None] - t)) / np.where(t[:, None] == t, 1, np.pi * (t[:, None] - t)))
+        assert np.abs(kernel @ tapers.T - tapers.T * shares).max() < 1e-8  # eigenvectors of the band's own kernel
+    draw, n = np.random.default_rng(7), 128
+    x = draw.normal(size=(200, n))
+    rows = [(k, t, float(v)) for k, own in enumerate(x) for t, v in enumerate(own)]
+    white = aggregate.multitaper_psd(spark.createDataFrame(rows, "trial int, t int, x double"), ["trial"], n, 128.0, 5.0, 60.0).agg(F.avg("power")).first()[0]
+    assert abs(white - 1 / 128) < 0.05 / 128
+    tone = spark.createDataFrame([(0, t, 100 * math.sin(2 * math.pi * 10.3 * t / 128) + 0.001 * float(draw.normal())) for t in range(n)], "trial int, t int, x double")
+    far = {f.__name__: f(tone, ["trial"], n, 128.0, 30.0, 60.0).agg(F.avg("power")).first()[0] for f in (aggregate.psd, aggregate.multitaper_psd)}
+    assert far["multitaper_psd"] < far["psd"] / 3
+    assert aggregate.multitaper_psd(tone.limit(0), ["trial"], n, 128.0).count() == 0
