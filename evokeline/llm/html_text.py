@@ -3,7 +3,7 @@
 Pages of a host share a template. A page becomes a tree of its block elements; a run of equal leaf siblings (paragraphs,
 list items) is one node whose text is the sequence of theirs. Two pages of a host, those with the smallest and the
 largest hash, are its pivots, and every page is aligned with both by simple tree matching: the most pairs of nodes with
-equal keys (element and class), parents with parents and children in order. Over the host's pages each node of a pivot
+equal keys (element and class, whatever numbers it has), parents with parents and children in order. Over the host's pages each node of a pivot
 then gets three sums: pages with a partner for it, pages whose partner has the same text, and the text that varied. A
 node that is the same on most pages is template, varying slots are content, and the narrowest element around nine tenths
 of the varying text is the main region; a varying ``h1`` before it is its title.
@@ -14,8 +14,9 @@ doesn't make it template, and paragraphs, headings, quotes and tables without a
 
 On a page the blocks of the nodes aligned with the region are its text: white space in a block becomes one space, blocks
 are joined by newlines. Elements that HTML reserves for menus, footers, sidebars, forms and scripts go always. Where the
-alignment leaves it open (a notice that differs from page to page, a host of one page), words in classes and ids decide,
-unless that would drop most of the page. Pages that lack the region, and hosts of fewer than three different pages, take
+alignment leaves it open (a notice that differs from page to page, a host of one page), words in classes and ids decide, if
+they are all that an element's names say (``share-price`` or ``related work`` says more) and it is no paragraph, heading,
+quote or table, unless that would drop most of the page. Pages that lack the region, and hosts of fewer than three different pages, take
 the narrowest element around nine tenths of their own text, without blocks that are nothing but links.
 
 Null html is empty and gives an empty text. Pages without a host (null or relative url) are aligned with nothing. Repeated
@@ -53,9 +54,13 @@ PROSE = frozenset("p li dt dd blockquote pre figcaption caption table tbody thea
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr newsletter subscribe signup login popup modal overlay disqus comments pagination pager related recommended recommendations share sharing widget widgets toolbar topbar masthead".split())
 WHOLE = frozenset("nav aside side banner notice notices notification alert comment discussion reply replies respond reviews copyright disclaimer header subscription tags paging search searchform skip".split())
 
+#: Words that may stand beside such a word in the names of an element that it speaks for; any other word takes the element out.
+BESIDE = frozenset("area article articles bar block bottom box button buttons col column container content entry extra form group header holder icon icons id inner item items js label left line link links list main module outer page panel post posts primary right row secondary section site slot social small story text top ui unit view wrap wrapper zone".split())
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+NUMBER = re.compile(r"[0-9]+")
 #: Share of the varying text that the main region holds, and that must lie outside of marked elements if marks are to count.
 HELD, PLAIN = 0.9, 0.1
 #: Different pages beside the pivot with the same text that make a node template, in number at least; they must be most pages.
@@ -72,7 +77,7 @@ class Node:
 
 
 def node(tag: str, attributes: str, stack: list[Node]) -> Node:
-    off, marked, key = tag in DROPPED, False, tag
+    off, marked, other, key = tag in DROPPED, False, False, tag
     if tag == "header":
         off = not any(x.tag in ("article", "main") for x in stack)
     if attributes and tag not in ("html", "body"):
@@ -83,9 +88,13 @@ def node(tag: str, attributes: str, stack: list[Node]) -> Node:
             elif name in ("class", "id", "role"):
                 names = value.split()
                 if name == "class" and names:
-                    key = f"{tag}.{'.'.join(sorted(names))}"
-                marked = marked or any(x.lower() in WHOLE or not MARKS.isdisjoint(w.lower() for w in NAME.findall(x)) for x in names)
-    return Node(tag, key, off, marked and tag not in ("article", "main"))
+                    key = f"{tag}.{'.'.join(sorted({NUMBER.sub('0', x) for x in names}))}"  # numbers of posts differ from page to page
+                for x in names:
+                    words = [w.lower() for w in NAME.findall(x)]
+                    own = x.lower() in WHOLE or not MARKS.isdisjoint(words)
+                    marked = marked or own
+                    other = other or not own and not BESIDE.issuperset(words) or own and not (MARKS | WHOLE | BESIDE).issuperset(words)
+    return Node(tag, key, off, marked and not other and tag not in PROSE)
 
 
 def parse(page: str) -> Node:

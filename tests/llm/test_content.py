@@ -235,6 +235,38 @@ def test_copies_are_no_template(spark):
         assert f"Lead {k} with a link {k}" in got[n] and f"Body text number {k} goes on" in got[n] and "Menu" not in got[n]
 
 
+def numbered(k, name, tag="p", comments="comments-area"):
+    """A post with its number in the classes, a paragraph named ``name``, and readers' comments."""
+    draw = random.Random(k)
+    words = lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+    parts = [words(5), words(60), words(25), words(40)]
+    inner = f'<h1>{parts[0]}</h1><p>{parts[1]}</p><{tag} class="{name}">{parts[2]}</{tag}><p>{parts[3]}</p>'
+    said = "".join(f'<div class="c"><b>{words(1)}</b><p>{words(6)}</p></div>' for _ in range(draw.randrange(1, 4)))
+    page = f'<html><body><div class="top">Home of all posts</div><article class="post-{17 * k} post"><div class="entry">{inner}</div></article><div class="{comments}">{said}</div><div class="bottom">All rights kept</div></body></html>'
+    return page, "\n".join(parts)
+
+
+def test_names_inside_an_article(spark):
+    """Words of names take out nothing that says more than they do, and no paragraph; numbers of posts don't hide the wrapper."""
+    more = ["share-price", "related work", "login-steps", "ad hoc", "menu of the day", "widget spec"]
+    for tag, names in (("p", [*more, "comment", "side", "search", "notice"]), ("div", more)):
+        rows, want = [], {}
+        for h, name in enumerate(names):
+            for k in range(6):
+                page, want[h, k] = numbered(k, name, tag)
+                rows.append((6 * h + k, f"http://h{h}.example/{k}", page))
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert {key: got[6 * key[0] + key[1]] for key in want} == want
+
+
+def test_names_and_copies_of_columns(spark):
+    """Columns that are named as the operator's own, and rows that repeat."""
+    rows = [(k, "http://a.example/", neutral(k, True)[0], *["x"] * 6) for k in range(6)] + [(0, "http://a.example/", neutral(0, True)[0], *["x"] * 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, a string, b string, salt string, hot string, pages string")
+    got = html_text.extract(df).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((k, neutral(k, True)[1]) for k in [*range(6), 0])
+
+
 def test_deep_pages():
     for depth in (2, 300, 5000):
         page = "<div>x" * depth + "<nav>menu menu</nav>deep" + "</div>" * depth
