@@ -64,17 +64,10 @@ def spline_weights(good: np.ndarray, bad: np.ndarray, stiffness: int = 4, terms:
     return (read @ np.linalg.pinv(system))[:, :n]
 
 
-def interpolate_spline(df: DataFrame, bad: DataFrame, position: DataFrame, keys: Sequence[str] = ("subject", "trial", "t"), stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> DataFrame:
-    """Bad channels (subject, channel) read off a spherical spline through the subject's good ones; position: (channel, px, py, pz).
-
-    Each distinct set of bad channels has its weights solved once, in one row; subjects get them by their set. A repaired value is a
-    weighted sum: samples are joined by channel and added up, none is gathered. Channels without a place stay as they are and
-    repair nothing; bad ones without a place go. Missing values of good channels count as zero. The montage is a small table.
-    """
+def set_weights(sets: DataFrame, position: DataFrame, stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> DataFrame:
+    """(_set, target, channel, w): the spline's weights for each distinct set ``_set`` of bad channels, each solved once."""
     places = {r["channel"]: (r["px"], r["py"], r["pz"]) for r in position.select("channel", "px", "py", "pz").collect()}  # channels
-    names = sorted(places)
-    kind = dict(position.dtypes)["channel"]
-    sets = bad.join(F.broadcast(position.select("channel")), "channel").groupBy("subject").agg(F.array_sort(F.collect_set("channel")).alias("_set"))
+    names, kind = sorted(places), dict(position.dtypes)["channel"]
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -86,7 +79,18 @@ def interpolate_spline(df: DataFrame, bad: DataFrame, position: DataFrame, keys:
                     rows += [(list(own), t, c, float(w[i, j])) for i, t in enumerate(out) for j, c in enumerate(rest)]
             yield pd.DataFrame(rows, columns=["_set", "target", "channel", "w"])
 
-    weights = sets.select("_set").distinct().mapInPandas(solved, f"_set array<{kind}>, target {kind}, channel {kind}, w double")
+    return sets.select("_set").distinct().mapInPandas(solved, f"_set array<{kind}>, target {kind}, channel {kind}, w double")
+
+
+def interpolate_spline(df: DataFrame, bad: DataFrame, position: DataFrame, keys: Sequence[str] = ("subject", "trial", "t"), stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> DataFrame:
+    """Bad channels (subject, channel) read off a spherical spline through the subject's good ones; position: (channel, px, py, pz).
+
+    Each distinct set of bad channels has its weights solved once, in one row; subjects get them by their set. A repaired value is a
+    weighted sum: samples are joined by channel and added up, none is gathered. Channels without a place stay as they are and
+    repair nothing; bad ones without a place go. Missing values of good channels count as zero. The montage is a small table.
+    """
+    sets = bad.join(F.broadcast(position.select("channel")), "channel").groupBy("subject").agg(F.array_sort(F.collect_set("channel")).alias("_set"))
+    weights = set_weights(sets, position, stiffness, terms, smooth)
     good = df.join(bad.select("subject", "channel").distinct(), ["subject", "channel"], "left_anti")
     pairs = sets.join(weights, "_set").drop("_set")
     filled = good.join(pairs, ["subject", "channel"]).groupBy(*keys, "target").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
@@ -373,6 +377,52 @@ def rejection_grid(ptp: DataFrame, thresholds: DataFrame, n_interpolate: Sequenc
     return best.select(subject, "m.n_interpolate", "m.consensus", "m.cost", "m.n_kept")
 
 
+def spline_residual(df: DataFrame, position: DataFrame, keys: Sequence[str] = ("subject", "trial"), order: str = "t") -> DataFrame:
+    """(keys, channel, residual): how far each channel of a trial is from what a spline through all others says there, as the root of
+    the mean square over that of the others' prediction; a channel that differs from its neighbours stands out."""
+    each = set_weights(position.select(F.array("channel").alias("_set")), position).drop("_set")
+    said = df.join(F.broadcast(each), "channel").groupBy(*keys, order, "target").agg(F.sum(F.col("w") * F.col("x")).alias("_said"))  # channels squared
+    both = df.join(said.withColumnRenamed("target", "channel"), [*keys, order, "channel"])
+    off = F.sqrt(F.avg(F.pow(F.col("x") - F.col("_said"), 2)) / (F.avg(F.col("_said") * F.col("_said")) + 1e-300))
+    return both.groupBy(*keys, "channel").agg(off.alias("residual"))
+
+
+def repaired_ranges(df: DataFrame, ranked: DataFrame, position: DataFrame, n_interpolate: Sequence[int], subject: str) -> DataFrame:
+    """(subject, trial, channel, n_interpolate, range): of each trial the ranges of channels that are repaired, for each number of repairs."""
+    marked = ranked.where("over").select(subject, "trial", "channel", "worst", F.explode(F.array(*[F.lit(n) for n in n_interpolate])).alias("n_interpolate")).where("worst <= n_interpolate")
+    sets = marked.groupBy(subject, "trial", "n_interpolate").agg(F.array_sort(F.collect_set("channel")).alias("_set"))
+    pairs = sets.join(set_weights(sets, position), "_set").drop("_set")
+    filled = df.join(pairs, [subject, "trial", "channel"]).groupBy(subject, "trial", "n_interpolate", "target", "t").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return filled.groupBy(subject, "trial", F.col("target").alias("channel"), "n_interpolate").agg((F.max("x") - F.min("x")).alias("range"))
+
+
+def repair_grid(df: DataFrame, thresholds: DataFrame, position: DataFrame, n_interpolate: Sequence[int], consensus: Sequence[float], folds: int, subject: str = "subject", fold: Column | None = None) -> DataFrame:
+    """(subject, n_interpolate, consensus, cost, n_kept): as ``rejection_grid``, with the repairs made.
+
+    Of a trial that stays, the worst ``n_interpolate`` channels above their threshold are read off a spherical spline through its
+    other channels, and their new ranges count in the cost. Each distinct set of bad channels is solved once, whatever the
+    number of trials and settings that have it. ``df``: (subject, trial, channel, t, x); thresholds: (subject, channel, threshold).
+    """
+    ptp = peak_to_peak(df, (subject, "trial"))
+    dealt = ptp.withColumn("fold", fold if fold is not None else F.pmod(F.col("trial"), F.lit(folds)))
+    one = Window.partitionBy(subject, "trial")
+    above = dealt.join(thresholds.select(subject, "channel", "threshold"), [subject, "channel"]).withColumn("over", F.col("ptp") > F.col("threshold"))
+    ranked = above.withColumn("share", F.avg(F.col("over").cast("double")).over(one)).withColumn("worst", F.row_number().over(one.orderBy(F.col("over").desc(), F.col("ptp").desc(), "channel")))
+    repaired = repaired_ranges(df, ranked, position, n_interpolate, subject)
+    settings = F.explode(F.array(*[F.struct(F.lit(n).alias("n_interpolate"), F.lit(float(c)).alias("consensus")) for n in n_interpolate for c in consensus])).alias("s")
+    kept = ranked.select("*", settings).select("*", "s.*").where("share <= consensus")  # a few settings
+    ranges = kept.join(repaired, [subject, "trial", "channel", "n_interpolate"], "left").withColumn("ptp", F.coalesce("range", "ptp"))
+    own = [subject, "channel", "n_interpolate", "consensus"]
+    sums = ranges.groupBy(*own, "fold").agg(F.sum("ptp").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = sums.groupBy(*own).agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+    middle = dealt.groupBy(subject, "channel", "fold").agg(F.percentile("ptp", 0.5).alias("middle"))
+    tests = whole.join(middle, [subject, "channel"]).join(sums, [*own, "fold"], "left")
+    left = F.col("n_all") - F.coalesce("n", F.lit(0))
+    costs = tests.where(left > 0).withColumn("cost", F.abs((F.col("s_all") - F.coalesce("s", F.lit(0.0))) / left - F.col("middle")))
+    mean = costs.groupBy(subject, "n_interpolate", "consensus").agg(F.round(F.avg("cost"), 9).alias("cost"), F.sum(F.coalesce("n", F.lit(0))).alias("n_kept"))
+    return mean.groupBy(subject).agg(F.min(F.struct("cost", "n_interpolate", "consensus", "n_kept")).alias("m")).select(subject, "m.n_interpolate", "m.consensus", "m.cost", "m.n_kept")
+
+
 def split_good_window(df: DataFrame, overrides: DataFrame) -> DataFrame:
     """Only samples lo..hi of the subjects in ``overrides`` (subject, lo, hi); others stay whole."""
     both = df.join(overrides, "subject", "left")

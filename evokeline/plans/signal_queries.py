@@ -216,6 +216,14 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.rejection_grid(ptp, best, REPAIR, CONSENSUS, 4), "cost")
 
 
+@query("repair_grid")
+def _repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = trials(spark, d)
+    best = P.auto_threshold(P.peak_to_peak(rows), spark.createDataFrame([(c,) for c in CANDIDATES], "threshold double"), 4)
+    position = spark.createDataFrame([(c, *layout(c)) for c in range(8)], "channel int, px double, py double, pz double")
+    return rounded(P.repair_grid(rows, best, position, REPAIR, CONSENSUS, 4), "cost")
+
+
 @query("split_good_window", V.sql("cont_signal", "SELECT c.subject, channel, sample, round(x, 6) AS x FROM cont_signal c LEFT JOIN (VALUES (3, 10, 20), (7, 1, 5)) o(subject, lo, hi) ON o.subject = c.subject WHERE lo IS NULL OR sample BETWEEN lo AND hi"))
 def _good(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.split_good_window(V.cont_signal(spark, d), spark.createDataFrame([(3, 10, 20), (7, 1, 5)], "subject long, lo long, hi long")).select("subject", "channel", "sample", "x"), "x")

@@ -391,3 +391,36 @@ def test_slepian_tapers_and_adaptive_spectra(spark):
     far = {f.__name__: f(tone, ["trial"], n, 128.0, 30.0, 60.0).agg(F.avg("power")).first()[0] for f in (aggregate.psd, aggregate.multitaper_psd)}
     assert far["multitaper_psd"] < far["psd"] / 3
     assert aggregate.multitaper_psd(tone.limit(0), ["trial"], n, 128.0).count() == 0
+
+
+def test_repairs_in_the_grid(spark):
+    """Planted bad channels stand out, are repaired, and the chosen setting is the one of a plain search."""
+    draw = np.random.default_rng(8)
+    at = draw.normal(size=(12, 3))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    x = np.einsum("kpt,cp->kct", draw.normal(size=(24, 3, 20)), at) + 0.05 * draw.normal(size=(24, 12, 20))
+    for k in range(24):
+        x[k, k % 2 + 3] += 30 * draw.normal(size=20)  # one bad channel in each trial
+    x[7] += 40 * draw.normal(size=(12, 20))  # and a trial that is bad all over
+    rows = [(1, k, c, t, float(x[k, c, t])) for k in range(24) for c in range(12) for t in range(20)]
+    df = spark.createDataFrame(rows, "subject int, trial int, channel int, t int, x double")
+    position = spark.createDataFrame([(c, *at[c].tolist()) for c in range(12)], "channel int, px double, py double, pz double")
+    limits = spark.createDataFrame([(1, c, 12.0) for c in range(12)], "subject int, channel int, threshold double")
+    off = np.zeros((24, 12))
+    for r in signal.spline_residual(df, position).collect():
+        off[r["trial"], r["channel"]] = r["residual"]
+    assert all(off[k].argmax() == k % 2 + 3 for k in range(24) if k != 7)
+    want, ptp = [], np.ptp(x, axis=2)
+    for n in (0, 1, 3):
+        for share in (0.3, 1.0):
+            fixed, kept = ptp.copy(), (ptp > 12).mean(1) <= share
+            for k in range(24):
+                bad = sorted(np.flatnonzero(ptp[k] > 12), key=lambda c: (-ptp[k, c], c))[:n]
+                if bad:
+                    rest = [c for c in range(12) if c not in bad]
+                    fixed[k, sorted(bad)] = np.ptp(signal.spline_weights(at[rest], at[sorted(bad)]) @ x[k, rest], axis=1)
+            cost = [abs(fixed[kept & (np.arange(24) % 4 != f), c].mean() - np.median(ptp[np.arange(24) % 4 == f, c])) for f in range(4) for c in range(12)]
+            want.append((round(float(np.mean(cost)), 6), n, share, int(kept.sum()) * 12))
+    got = signal.repair_grid(df, limits, position, [0, 1, 3], [0.3, 1.0], 4).first()
+    assert (round(got["cost"], 6), got["n_interpolate"], got["consensus"], got["n_kept"]) == min(want)
+    assert got["n_interpolate"] > 0
