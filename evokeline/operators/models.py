@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -390,14 +391,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def drawn(trial: Sequence, tree: int, seed: int) -> np.ndarray:
-    """How often a tree takes each trial: Poisson with mean 1, by the trial's text alone."""
-    own = np.array([int.from_bytes(hashlib.md5(f"{seed}:{t}".encode()).digest()[:8], "big") for t in trial], np.uint64)
-    u = (mixed(own + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) / 2.0**53
+def words_of(trial: Sequence, seed: int) -> np.ndarray:
+    """A word for each trial, by its text alone."""
+    return np.array([int.from_bytes(hashlib.md5(f"{seed}:{t}".encode()).digest()[:8], "big") for t in trial], np.uint64)
+
+
+def drawn(words: np.ndarray, tree: int) -> np.ndarray:
+    """How often a tree takes each trial: Poisson with mean 1."""
+    u = (mixed(words + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) / 2.0**53
     chance = np.cumsum(np.exp(-1) / np.cumprod([1, 1, 2, 3, 4, 5, 6, 7]))
     return np.searchsorted(chance, u).astype(float)
 
 
+@lru_cache(maxsize=1 << 16)
 def chosen(d: int, tree: int, node: int, seed: int) -> np.ndarray:
     """The features that a node may split by, ascending: the root of their number, at least one."""
     word = int.from_bytes(hashlib.md5(f"{seed}:{tree}:{node}".encode()).digest()[:8], "big")
@@ -463,20 +469,18 @@ def fit_forest(folded: DataFrame, keys: Sequence[str], feature: str = "channel",
 
         def parts(row: dict, level: int = level, width: int = width) -> Iterator[tuple]:
             z, bins, made = grown(row)
-            trial, d = row["trial"].as_py(), z.x.shape[1]
+            words, d = words_of(row["trial"].as_py(), seed), z.x.shape[1]
             for tree, by, edge, _ in made:
-                times = drawn(trial, tree, seed)
-                subsets = [chosen(d, tree, width - 1 + j, seed) for j in range(width)]
+                times = drawn(words, tree)
+                subsets = np.stack([chosen(d, tree, width - 1 + j, seed) for j in range(width)])
+                m = subsets.shape[1]
                 out = []
                 for f in range(len(z.folds)):
                     at = reached(bins[f], by[f], edge[f], level) - (width - 1)
                     weight = z.weight[f] * times
-                    hist = np.zeros((width, len(subsets[0]), BINS, 2))
-                    for j in range(width):
-                        inside = np.flatnonzero((at == j) & (weight > 0))
-                        for i, c in enumerate(subsets[j]):
-                            np.add.at(hist[j, i], (bins[f][inside, c], z.y[inside]), weight[inside])
-                    out.append(hist.ravel())
+                    inside = np.flatnonzero((at >= 0) & (at < width) & (weight > 0))
+                    cell = (at[inside, None] * m + np.arange(m)) * BINS + bins[f][inside[:, None], subsets[at[inside]]]
+                    out.append(np.bincount((2 * cell + z.y[inside, None]).ravel(), np.repeat(weight[inside], m), 2 * width * m * BINS))
                 yield (tree,), z.folds, out
 
         def gathered(names: list, folds: list, sums: list[np.ndarray]) -> Iterator[tuple]:
