@@ -15,6 +15,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", f"{folder}/local")
         .config("spark.checkpoint.dir", f"{folder}/shared")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
