@@ -17,7 +17,13 @@ those of the largest group are done by then, and only what is still outside it m
 groups goes unseen. Shingles that the sample finds in many texts are hot keys: their nodes are dealt to ``SALTS`` parts, each
 with a smallest node of its own, and these meet the key's smallest one.
 
-Words are as in operator 3. Texts with fewer than five words are one shingle; null, empty and blank texts are one group.
+Words are as in operator 3. Texts with fewer than five words are one shingle; null, empty and blank texts are one group. A row's
+id orders a group and rows without one come last; equal rows are one node, of which one row stays. Empty tables give empty
+ones. Other columns stay as they are, whatever their names: the operator's own get names that the table doesn't have.
+
+A bound that isn't met: members of a large group whose pairs resemble by just under 0.8 share keys and sketches, so the last
+step compares each of them that no link joins to the group with all that share enough keys. That is exact, and grows with
+the square of such a group.
 """
 
 from __future__ import annotations

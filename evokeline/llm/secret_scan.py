@@ -13,7 +13,8 @@ that of the random strings (by medians).
 
 A token's ratio for each pair of characters varies the less the longer it is, so the threshold has a part that falls with
 the root of the length. Its level is set so that of the long ordinary tokens in the sample ``FALSE`` are spans. Tokens of
-fewer than ``DISTINCT`` different characters (rulers, runs) are never spans.
+fewer than ``DISTINCT`` different characters (rulers, runs) and those of digits and separators alone (dates, numbers) are never
+spans. UUIDs are as random as keys, but they name rows and requests: a token is scored without them, if enough of it is left.
 
 The corpus sample are about ``SAMPLE`` rows by a hash of id and text; of their tokens at most ``TOKENS`` of each kind, by hash and
 of at most ``LONGEST`` characters, reach the driver. That is the one bounded sample: the same on every run, whatever the ids.
@@ -53,6 +54,11 @@ PATTERNS = {
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE = 8
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: Names of rows and requests, whole or cut off behind their third group.
+UUID = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}(?:-[0-9A-Fa-f]{4}(?:-[0-9A-Fa-f]{1,12})?)?(?![0-9A-Fa-f])")
+NUMBERS = re.compile(r"[0-9+/_=-]*")
+#: Characters of a token from which on it is scored.
+LONG = 20
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Alphabets in which random strings are written.
@@ -111,7 +117,8 @@ def joined(names: list[str], n: int) -> list[str]:
         text = text.upper() if kind == 5 else text.lower() if kind == 6 else text[:1].lower() + text[1:] if kind == 0 else text
         if len(text) >= 20:
             out.append(text)
-    runs = [UPPER, LOWER, DIGITS * 3, UPPER + LOWER + DIGITS, DIGITS + LOWER + UPPER, LOWER + DIGITS, UPPER + DIGITS]
+    keyboard = ["qwertyuiopasdfghjklzxcvbnm", "QWERTYUIOPASDFGHJKLZXCVBNM", "qwertyuiop" * 2, "asdfghjkl" * 3, "zxcvbnm" * 3, "1qaz2wsx3edc4rfv5tgb6yhn"]
+    runs = [*keyboard, UPPER, LOWER, DIGITS * 3, UPPER + LOWER + DIGITS, DIGITS + LOWER + UPPER, LOWER + DIGITS, UPPER + DIGITS]
     return out + runs * (n // 100)
 
 
@@ -167,6 +174,9 @@ class Markov:
         return self.rate(token) - 2 * self.spread / math.sqrt(max(1, len(token) - 1))
 
     def secret(self, token: str) -> bool:
+        token = UUID.sub("", token)
+        if len(token) < LONG or NUMBERS.fullmatch(token):
+            return False
         return len(set(token)) >= DISTINCT and self.level(token) > self.least
 
 

@@ -43,3 +43,28 @@ def test_stages(spark):
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, last))
     assert packing.CAPACITY == 4096
+
+
+def tables(spark, docs, folder):
+    """A folder with ``docs`` as documents, labels of some of them and the other tables that stages read."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(8)], "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_odd_tables_go_through(spark, odd, none, tmp_path):
+    """Null columns, empty and long texts, repeated rows and clashing names give pieces of all kept texts; an empty table gives none."""
+    rows = corpus_pipeline.run(spark, tables(spark, odd, str(tmp_path / "odd"))).collect()
+    texts = {r["doc_id"] for r in odd.collect()}
+    assert rows and {r["doc_id"] for r in rows} <= texts
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= packing.CAPACITY
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "odd"))
+        assert kept.columns == odd.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows}
+    assert corpus_pipeline.run(spark, tables(spark, none, str(tmp_path / "none"))).collect() == []

@@ -41,3 +41,23 @@ def test_sample_is_the_same_with_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     models = [secret_scan.train(df.repartition(n), 40) for n in (1, 5)]
     assert models[0].least == models[1].least and (models[0].random == models[1].random).all()
+
+
+def test_ordinary_tokens_stay(docs):
+    """Of hundreds of identifiers that aren't secrets, UUIDs among them, one in a hundred is a span at most; a key behind a UUID is one."""
+    import importlib
+    import uuid
+
+    model, draw = secret_scan.train(docs), random.Random(31)
+    ids = [str(uuid.UUID(int=draw.getrandbits(128))) for _ in range(120)]
+    tokens = ids + [x.upper() for x in ids[:30]] + [f"request_id={x}" for x in ids[:30]] + [x[:23] for x in ids[:30]] + [f"user/{x}/{y}" for x, y in zip(ids, ids[1:31], strict=False)]
+    modules = ("ftplib", "imaplib", "optparse", "doctest", "pdb", "xmlrpc.client", "difflib", "tokenize", "locale")  # none that training takes names from
+    names = sorted({n for m in modules for n in vars(importlib.import_module(m)) if len(n) > 5 and n.isascii()})
+    while len(tokens) < 500:
+        own = draw.choice("_-/").join(draw.choices(names, k=3))
+        tokens += [own] * (len(own) >= 20)
+    tokens += ["qwertyuiopasdfghjklzxcvbnm", "1234567890123456789012345", "2024-01-31/23-59-59_000123", "20240131235959000123"]
+    wrong = [x for x in tokens if any(k == 3 for _, k, _ in secret_scan.spans(f"see {x} here", model))]
+    assert len(wrong) <= len(tokens) // 100, wrong
+    key = "".join(draw.choices(LETTERS, k=40))
+    assert secret_scan.spans(f"{ids[0]}/{key}", model) == [(0, 3, 77)]
