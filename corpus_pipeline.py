@@ -2,6 +2,9 @@
 
 The stages that call Python do so inside, in small batches, as five stages of one job share the executors' memory; those of
 which Python gives the result write it to the shared folder.
+
+Nulls, empty and long texts, ties and repeated rows go through each stage as its operator says. An empty table gives an empty
+result. All but the last stage return the columns of the documents, extra and clashing ones included.
 """
 
 from __future__ import annotations
