@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.session import scratch
 from ..sources import tables as S
 from ..streaming import streams as R
+from ..streaming.blinks import stream_blinks
 from . import views as V
 from .decode_queries import CURVES_SQL, curves
 from .registry import query, rounded
@@ -119,3 +120,21 @@ def _ptp(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_blink_sessions", "WITH h AS (SELECT user_id AS subject, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events WHERE value > 60), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 12 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY ts) AS k FROM h) SELECT subject, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(max(value), 6) AS peak FROM g GROUP BY subject, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 30 SECONDS FROM h)")
 def _blinks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(told(R.finished(R.stream_blink_sessions(stream(spark, d), 60.0, gap="12 hours"), scratch(spark, "blinks"))), "peak")
+
+
+#: Refractory gap of blinks in microseconds, and how many a subject must have.
+GAP, LEAST = 12 * 3600 * 1_000_000, 3
+STREAMED_SQL = f"""WITH e AS (SELECT user_id AS subject, epoch_us(ts) AS s, value AS x FROM events), r AS (SELECT * FROM e WHERE s // 1000 <= (SELECT max(s) // 1000 - 30000 FROM e)),
+ n AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b, max(s) OVER (PARTITION BY subject) AS seen FROM r WINDOW w AS (PARTITION BY subject ORDER BY s)),
+ p AS (SELECT *, s - lag(s) OVER (PARTITION BY subject ORDER BY s) AS gap FROM n WHERE x > 60 AND (a IS NULL OR x > a) AND x >= b),
+ k AS (SELECT *, sum(CASE WHEN gap <= {GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY subject ORDER BY s) AS blink FROM p),
+ o AS (SELECT *, row_number() OVER (PARTITION BY subject, blink ORDER BY x DESC, s) AS place, max(s) OVER (PARTITION BY subject, blink) AS final FROM k),
+ c AS (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM o WHERE place = 1 AND seen - final > {GAP})
+SELECT subject, cast(blink AS BIGINT) AS blink, s AS sample, round(x, 6) AS peak FROM c WHERE n >= {LEAST}"""
+
+
+@query("stream_blinks", STREAMED_SQL)
+def _stream_blinks(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream(spark, d).withColumn("sample", F.unix_micros("ts"))
+    found = R.finished(stream_blinks(rows, 60.0, GAP, LEAST), scratch(spark, "stream_blinks"))
+    return rounded(found.withColumn("subject", F.col("subject").cast("long")), "peak")
