@@ -166,7 +166,27 @@ def _lda(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.linear_scorer(C.folded_rows(rows, fold, ["subject"]), ["subject", "repeat"], "lda", shrink=LDA_SHRINK).select("subject", "repeat", "fold", "t", "trial", "y", "score"), "score")
 
 
-@query("linear_scorer_logreg")
+def newton_sql(loss: str, steps: int) -> str:
+    """sn: the scores of balanced linear models with a squared penalty, by full Newton steps; the constant is feature CHANNELS and has no penalty."""
+    by, size = "subject, repeat, fold, t", CHANNELS + 1
+    slope, curve = {"logistic": ("-1 / (1 + exp(m))", "1 / (1 + exp(m)) * (1 - 1 / (1 + exp(m)))"), "squared_hinge": ("-2 * greatest(0, 1 - m)", "CASE WHEN m < 1 THEN 2 ELSE 0 END")}[loss]
+    out = f""", sca AS (SELECT r.subject, r.repeat, g.fold, r.t, r.channel, avg(x) AS m, CASE WHEN var_pop(x) > 1e-18 THEN sqrt(var_pop(x)) ELSE 1 END AS s, count(*) / (2e0 * count(*) FILTER (WHERE y = 0)) AS w0, count(*) / (2e0 * count(*) FILTER (WHERE y = 1)) AS w1 FROM fr r JOIN (SELECT DISTINCT subject, repeat, fold FROM folds) g ON g.subject = r.subject AND g.repeat = r.repeat AND g.fold <> r.fold GROUP BY ALL),
+ zc AS (SELECT r.subject, r.repeat, s.fold, r.t, trial, y, r.channel AS i, s.fold <> r.fold AS trains, (x - m) / s AS z, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM fr r JOIN sca s ON s.subject = r.subject AND s.repeat = r.repeat AND s.t = r.t AND s.channel = r.channel),
+ zr AS MATERIALIZED (SELECT * FROM zc UNION ALL SELECT DISTINCT subject, repeat, fold, t, trial, y, {CHANNELS}, trains, 1e0, w FROM zc), tz AS MATERIALIZED (SELECT * FROM zr WHERE trains),
+ b0 AS (SELECT DISTINCT {by}, i, 0e0 AS b FROM tz)"""
+    for k in range(steps):
+        out += f""", m{k} AS (SELECT {by}, trial, (2 * any_value(y) - 1) * sum(b * z) AS m, (2 * any_value(y) - 1) * any_value(w) AS u, any_value(w) AS w FROM tz JOIN b{k} USING ({by}, i) GROUP BY {by}, trial),
+ d{k} AS MATERIALIZED (SELECT {by}, trial, u * ({slope}) AS sl, w * ({curve}) AS cu FROM m{k}),
+ h{k} AS (SELECT a.subject, a.repeat, a.fold, a.t, a.i, c.i AS j, sum(cu * a.z * c.z) AS v FROM tz a JOIN tz c USING ({by}, trial) JOIN d{k} USING ({by}, trial) GROUP BY ALL),
+ n{k}_0 AS MATERIALIZED (SELECT {by}, i, j, v + CASE WHEN i = j THEN 1e-9 + CASE WHEN i < {CHANNELS} THEN 1 ELSE 0 END ELSE 0 END AS v FROM h{k} UNION ALL SELECT {by}, i, {size}, sum(sl * z) + CASE WHEN i < {CHANNELS} THEN any_value(b) ELSE 0 END FROM tz JOIN d{k} USING ({by}, trial) JOIN b{k} USING ({by}, i) GROUP BY {by}, i){gauss_jordan_sql(f"n{k}_", by, size)},
+ b{k + 1} AS MATERIALIZED (SELECT {by}, i, b - v AS b FROM b{k} JOIN n{k}_{size} USING ({by}, i) WHERE j = {size})"""
+    return out + f", sn AS (SELECT {by}, trial, y, sum(b * z) AS score FROM zr JOIN b{steps} USING ({by}, i) WHERE NOT trains GROUP BY ALL)" + auc_sql("an", "sn", by) + " SELECT subject, cast(repeat AS INT) AS repeat, fold, t, round(auc, 6) AS auc FROM an"
+
+
+ONE_REPEAT_SQL = MAIN_SQL + folds_sql("subject", K, 1) + ", fr AS (SELECT r.*, f.repeat, f.fold FROM tr r JOIN folds f USING (subject, trial))"
+
+
+@query("linear_scorer_logreg", V.sql("trial_long", ONE_REPEAT_SQL + newton_sql("logistic", 7)))
 def _logreg(spark: SparkSession, d: str) -> DataFrame:
     rows, fold = rows_folds(spark, d, 1)
     return rounded(C.sliding_auc(rows, fold, ["subject"], "logreg"), "auc")
@@ -207,7 +227,7 @@ def _logistic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.linear_scorer(C.folded_rows(rows, fold, ["subject"]), ["subject", "repeat"], "logistic").select("subject", "repeat", "fold", "t", "trial", "y", "score"), "score")
 
 
-@query("linear_scorer_svc")
+@query("linear_scorer_svc", V.sql("trial_long", ONE_REPEAT_SQL + newton_sql("squared_hinge", 8)))
 def _svc(spark: SparkSession, d: str) -> DataFrame:
     rows, fold = rows_folds(spark, d, 1)
     return rounded(C.sliding_auc(rows, fold, ["subject"], "linear_svc"), "auc")
