@@ -116,9 +116,26 @@ def _whitney(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mann_whitney(spark, d), "mean1", "mean2", "sd1", "sd2", "p")
 
 
-@query("mann_whitney_exact")
+EXACT = 30
+
+
+def rank_sum_sql(most: int) -> str:
+    """ex: (n1, n2, u, below), the share of orders of n1 and n2 values in which the first beat the second at most u times; one more value, the largest, a step."""
+    steps = "".join(f", l{k} AS MATERIALIZED (SELECT n1, n2, u, sum(c) AS c FROM (SELECT n1 + 1 AS n1, n2, u + n2 AS u, c FROM l{k - 1} WHERE n1 < {most} UNION ALL SELECT n1, n2 + 1, u, c FROM l{k - 1} WHERE n2 < {most}) GROUP BY ALL)" for k in range(1, 2 * most + 1))
+    return f", l0 AS (SELECT 0 AS n1, 0 AS n2, 0 AS u, 1e0 AS c){steps}, ex AS (SELECT n1, n2, u, sum(c) OVER (PARTITION BY n1, n2 ORDER BY u) / sum(c) OVER (PARTITION BY n1, n2) AS below FROM ({' UNION ALL '.join(f'FROM l{k}' for k in range(1, 2 * most + 1))}))"
+
+
+EXACT_SQL = f""", gs AS (SELECT DISTINCT t, grp FROM score_matrix), pe AS (SELECT a.t, a.grp AS g1, b.grp AS g2 FROM gs a JOIN gs b ON a.t = b.t AND a.grp < b.grp),
+ be AS (SELECT pe.t, g1, g2, grp = g1 AS one, score AS v, count(*) OVER (PARTITION BY pe.t, g1, g2, score) AS c, rank() OVER (PARTITION BY pe.t, g1, g2 ORDER BY score) + (count(*) OVER (PARTITION BY pe.t, g1, g2, score) - 1) / 2e0 AS r FROM score_matrix s JOIN pe ON pe.t = s.t AND grp IN (g1, g2)),
+ ge AS (SELECT t, g1, g2, count(*) FILTER (WHERE one) AS n1, count(*) FILTER (WHERE NOT one) AS n2, avg(v) FILTER (WHERE one) AS mean1, avg(v) FILTER (WHERE NOT one) AS mean2, stddev_pop(v) FILTER (WHERE one) AS sd1, stddev_pop(v) FILTER (WHERE NOT one) AS sd2, sum(r) FILTER (WHERE one) AS r1, sum(c * c - 1) AS ties FROM be GROUP BY 1, 2, 3),
+ ue AS (SELECT *, r1 - n1 * (n1 + 1) / 2e0 AS u, sqrt(n1 * n2 / 12e0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM ge){rank_sum_sql(EXACT)}
+SELECT t, g1, g2, ue.n1, ue.n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(sd1, 6) AS sd1, round(sd2, 6) AS sd2, ue.u, round(CASE WHEN ties = 0 AND below IS NOT NULL THEN least(1e0, 2 * below) WHEN s > 0 THEN least(1e0, 2 * (1e0 - {normal_cdf_sql('((greatest(ue.u, ue.n1 * ue.n2 - ue.u) - ue.n1 * ue.n2 / 2e0 - 0.5e0) / s)')})) ELSE 1 END, 6) AS p
+FROM ue LEFT JOIN ex ON ex.n1 = ue.n1 AND ex.n2 = ue.n2 AND ex.u = cast(least(ue.u, ue.n1 * ue.n2 - ue.u) AS INT)"""
+
+
+@query("mann_whitney_exact", V.sql("score_matrix", EXACT_SQL))
 def _whitney_exact(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(T.mann_whitney_pairs(V.score_matrix(spark, d), "grp", "score", ["t"], exact=30), "mean1", "mean2", "sd1", "sd2", "p")
+    return rounded(T.mann_whitney_pairs(V.score_matrix(spark, d), "grp", "score", ["t"], exact=EXACT), "mean1", "mean2", "sd1", "sd2", "p")
 
 
 POINT_SQL = SHIFT_SQL + wilcoxon_sql("o", "sm", "grp, t", "(holed - 0.5e0)", "greater")
