@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evokeline.functions.session import forget, scratch
 from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicity
-from evokeline.llm.common import documents, small_batches
+from evokeline.llm.common import documents, give_back, small_batches
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, as a table in the shared folder."""
+    """What ``make`` gives, as a table in the shared folder. What the driver needed for a model goes back to the system before."""
     path = scratch(spark, name)
+    give_back()
     with small_batches(spark):
         make().write.parquet(path)
     return spark.read.parquet(path)
@@ -40,6 +41,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: operator 3's links over five words, and all others of 0.8 or more."""
+    give_back()
     with small_batches(spark):
         return near_copies.first_of_each(docs)
 
