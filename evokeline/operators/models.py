@@ -37,16 +37,18 @@ class Keyed:
 
     def __init__(self, folded: DataFrame, keys: Sequence[str], feature: str = "channel", rows: int = ROWS):
         self.keys, self.feature = list(keys), feature
-        self.own = [f"k{i}" for i in range(len(self.keys))]
         types = dict(folded.dtypes)
-        self.schema = "".join(f"k{i} {types[c]}, " for i, c in enumerate(self.keys))
+        kinds = [types[c] for c in self.keys] or ["int"]  # a table without keys gets one that is the same everywhere
+        self.own = [f"k{i}" for i in range(len(kinds))]
+        self.schema = "".join(f"k{i} {kind}, " for i, kind in enumerate(kinds))
+        keyed = [F.col(c).alias(k) for c, k in zip(self.keys, self.own, strict=False)] or [F.lit(0).alias("k0")]
         self.fold, self.name, self.trial = types["fold"], types[feature], types["trial"]
-        flat = folded.select(*[F.col(c).alias(k) for c, k in zip(self.keys, self.own, strict=True)], F.col("trial").alias("trial"), F.col("y").cast("int").alias("y"), F.col("fold").alias("fold"), F.col(feature).alias("name"), F.col("x").cast("double").alias("x"))
+        flat = folded.select(*keyed, F.col("trial").alias("trial"), F.col("y").cast("int").alias("y"), F.col("fold").alias("fold"), F.col(feature).alias("name"), F.col("x").cast("double").alias("x"))
         known = F.col("x").isNotNull() & ~F.isnan("x")
         vectors = flat.groupBy(*self.own, "trial", "y", "fold").agg(F.array_sort(F.collect_list(F.when(known, F.struct("name", "x")))).alias("v"))
         vectors = vectors.select(*self.own, "trial", "y", "fold", F.transform("v", lambda s: s["name"]).alias("names"), F.transform("v", lambda s: s["x"]).alias("v"))
         sizes = vectors.groupBy(*self.own).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("whole"))
-        joined = vectors.join(sizes, self.own).where(F.col("names") == F.col("whole")) if self.own else vectors.crossJoin(F.broadcast(sizes)).where(F.col("names") == F.col("whole"))  # one row
+        joined = vectors.join(sizes, self.own).where(F.col("names") == F.col("whole"))
         dealt = joined.withColumn("block", F.pmod(F.xxhash64("trial"), F.ceil(F.col("n") / rows)))
         each = F.array_sort(F.collect_list(F.struct("trial", "y", "fold", "v")))
         packed = dealt.groupBy(*self.own, "block").agg(F.first("whole").alias("names"), F.first(F.ceil(F.col("n") / rows)).cast("int").alias("blocks"), each.alias("e"))
@@ -56,10 +58,11 @@ class Keyed:
 
     def named(self, df: DataFrame, *names: tuple[str, str]) -> DataFrame:
         """``df`` with the caller's names of keys, and others as given."""
-        return df.withColumnsRenamed(dict(zip(self.own, self.keys, strict=True)) | dict(names))
+        df = df if self.keys else df.drop("k0")
+        return df.withColumnsRenamed(dict(zip(self.own, self.keys, strict=False)) | dict(names))
 
     def met(self, rows: DataFrame, state: DataFrame) -> DataFrame:
-        return rows.join(state, self.own) if self.own else rows.crossJoin(F.broadcast(state))  # without keys the state is one row
+        return rows.join(state, self.own)
 
     def summed(self, rows: DataFrame, parts: Callable, more: str = "") -> DataFrame:
         """(keys, ``more``, folds, sums): what ``parts`` gives for each row, as (own key, arrays by fold), added up by task."""
@@ -93,7 +96,6 @@ class Keyed:
     def total(self, sums: DataFrame, finish: Callable, schema: str, more: Sequence[str] = ()) -> DataFrame:
         """What ``finish`` (names, folds, sums by fold) gives for each key: rows of ``schema`` behind the key."""
         own = [*self.own, *more]
-        by = own or [F.lit(0)]
         kinds = {f.name: f.dataType for f in sums.schema.fields}
         ddl = "".join(f"{c} {kinds[c].simpleString()}, " for c in own) + schema
         typed = arrow_schema(ddl)
@@ -112,7 +114,7 @@ class Keyed:
             rows = [(*key, *r) for r in finish(features, folds, [held[f] for f in folds])] if folds else []
             yield table(rows, typed)
 
-        return sums.groupBy(*by).applyInArrow(_iterating(made), ddl)
+        return sums.groupBy(*own).applyInArrow(_iterating(made), ddl)
 
 
 def _iterating(f: Callable) -> Callable:
