@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -22,6 +23,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no table needs any more: it notices when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simhash
-from .common import bounded, checkpoint, own_names, parts, text_of
+from .common import bounded, checkpoint, let_go, own_names, parts, text_of
 
 SHINGLE = 5
 SEED = 42
@@ -156,7 +156,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame
     sets = _sets(texts.join(bounded(one, 24), "text_hash", "left_semi")).dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return checkpoint(pairs.join(right, "b").join(left, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    found = checkpoint(pairs.join(right, "b").join(left, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    del sketched, pairs, needed, one, sets, left, right
+    let_go(texts.sparkSession)
+    return found
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -184,6 +187,7 @@ def roots(texts: DataFrame, marked: DataFrame, hot: DataFrame) -> DataFrame:
     least = tops.groupBy("h").agg(F.min("top").alias("least"))
     stars = keys.select("root", "node", "place", "top").union(tops.join(least, "h").select("top.root", "top.node", "top.place", "least"))
     stars = stars.where(F.col("root") != F.col("top.root")).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
+    del placed, salted, met
     links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
     found = simhash.components(links)
     for drawn in (False, True):
