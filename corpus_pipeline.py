@@ -1,7 +1,7 @@
 """A corpus pipeline: toxic documents go, lines that spread over sites go, near copies go, secrets are hidden, the rest is packed.
 
 The stages that call Python do so inside, in small batches, as five stages of one job share the executors' memory; those of
-which Python gives the result write it to the shared folder.
+which Python gives the result write it to the shared folder, the first one as a checkpoint, which goes with its table.
 
 Nulls, empty and long texts, ties and repeated rows go through each stage as its operator says. An empty table gives an empty
 result. All but the last stage return the columns of the documents, extra and clashing ones included.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evokeline.functions.session import forget, scratch
 from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicity
-from evokeline.llm.common import documents, give_back, small_batches
+from evokeline.llm.common import checkpoint, documents, give_back, small_batches
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -31,7 +31,9 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of their language."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return settled(spark, "toxicity", lambda: toxicity.clean(docs, model))
+    give_back()
+    with small_batches(spark):
+        return checkpoint(toxicity.clean(docs, model))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_boilerplate), ("simhash_near_dedup", without_near_copies), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
 
 #: Stages that give a table of their own.
-SETTLED = (without_toxic, without_secrets)
+SETTLED = (without_secrets,)
 
 #: Learned models and tokenizers aren't expressible in SQL.
 ORACLE_SQL = None

@@ -21,14 +21,19 @@ Words are as in operator 3. Texts with fewer than five words are one shingle; nu
 id orders a group and rows without one come last; equal rows are one node, of which one row stays. Empty tables give empty
 ones. Other columns stay as they are, whatever their names: the operator's own get names that the table doesn't have.
 
-A bound that isn't met: members of a large group whose pairs resemble by just under 0.8 share keys and sketches, so the last
-step compares each of them that no link joins to the group with all that share enough keys. That is exact, and grows with
-the square of such a group.
+What is still outside a key's largest group meets it in one of two ways, whichever is less work. Where few nodes share a key, the
+pairs of each key are joined, and those with too few common keys for 0.8 go. Members of a large group whose pairs resemble by
+just under 0.8 share so many keys that these rows are far more than the pairs: there all nodes outside a group are compared
+by sketches with the group and each other, in blocks of ``SIDE`` by ``SIDE`` nodes inside a task, which returns the pairs that may
+link. Both are exact; the second still compares with the square of such a group, but neither moves nor keeps its pairs.
+
+Tables of keys, the largest ones, are written as compressed columns and deleted as soon as their step is over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.session import forget, scratch
 from . import simhash
 from .common import bounded, checkpoint, let_go, own_names, parts, text_of
 
@@ -46,6 +52,10 @@ SEED = 42
 SAMPLE, OFTEN, COMMON = 4000, 4, 100_000
 #: How many sampled texts hold a hot key, and the parts of its nodes.
 HOT, SALTS = 40, 32
+#: Nodes on each side of a block, and how many comparisons of sketches in blocks take as long as one row of a join, or less.
+SIDE, WORTH = 4096, 64
+#: Words of sketches that are compared at once.
+AT_ONCE = 1 << 20
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -150,18 +160,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame
     side = lambda node, n, name: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("sketch").alias(name))
     sketched = pairs.distinct().join(side("b", "n_b", "y"), "b").join(side("a", "n_a", "x"), "a")
     close = (F.size("x") <= 2 * F.size("y")) & (F.size("y") <= 2 * F.size("x"))  # all that resemble by 0.8 are
-    pairs = checkpoint(sketched.where(close).where(9 * _differing("x", "y") <= F.col("n_a") + F.col("n_b")).select("a", "b"))
+    return _linked(sketched.where(close).where(9 * _differing("x", "y") <= F.col("n_a") + F.col("n_b")).select("a", "b"), texts, nodes)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of some distinct pairs whose whole sets resemble by 0.8 or more."""
+    pairs = checkpoint(pairs)
     needed = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     one = checkpoint(nodes.select("node", "text_hash").join(bounded(needed, 24), "node", "left_semi").select("text_hash"))
     sets = _sets(texts.join(bounded(one, 24), "text_hash", "left_semi")).dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     found = checkpoint(pairs.join(right, "b").join(left, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
-    del sketched, pairs, needed, one, sets, left, right
+    del pairs, needed, one, sets, left, right
     let_go(texts.sparkSession)
     return found
 
 
+@contextmanager
+def put_aside(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, which is deleted afterwards."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "keys")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        let_go(spark)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        forget(spark, path)
+
+
+def alike(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of two sides (node, root, n, sketches of one length each) whose sketches leave a resemblance of 0.8 open.
+
+    Nodes of one root are no pairs. ``same``: both sides are one, of which each pair counts once. The longer sketches are folded.
+    """
+    (a, root_a, n_a, x), (b, root_b, n_b, y) = left, right
+    fold = lambda z: z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :]
+    x, y = fold(x) if x.shape[1] > y.shape[1] else x, fold(y) if y.shape[1] > x.shape[1] else y
+    rows, found = max(1, AT_ONCE // max(1, len(b))), []
+    for at in range(0, len(a), rows):
+        part = slice(at, at + rows)
+        differing = np.zeros((len(a[part]), len(b)), np.int32)
+        for k in range(x.shape[1]):
+            differing += np.bitwise_count(x[part, k, None] ^ y[None, :, k])
+        u, v = np.nonzero(9 * differing <= n_a[part, None] + n_b[None, :])
+        u += at
+        keep = root_a[u] != root_b[v]
+        if same:
+            keep &= u < v
+        found.append((a[u[keep]], b[v[keep]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else a[:0] for k in (0, 1))
+
+
+def _block_pairs(block: pa.Table) -> pa.Table:
+    """a, b of the pairs of a block that may link: of its two sides, or of its only one."""
+    block = block.combine_chunks()
+    cells = block["sketch"].combine_chunks()
+    lengths = cells.value_lengths().to_numpy()
+    starts, words = cells.offsets.to_numpy()[:-1], cells.values.to_numpy()
+    second = block["second"].to_numpy()
+    numbers = [block[c].to_numpy() for c in ("node", "root", "n")]
+    one_side = not second.any()
+
+    def of(side: bool, length: int) -> tuple[np.ndarray, ...]:
+        own = np.flatnonzero((second == side) & (lengths == length))
+        return (*(x[own] for x in numbers), words[starts[own, None] + np.arange(length)].view(np.uint64))
+
+    found = []
+    for length in np.unique(lengths):
+        for u, v in ((length, length), (length, 2 * length), (2 * length, length))[: 2 if one_side else 3]:
+            left, right = of(False, u), of(not one_side, v)
+            if len(left[0]) and len(right[0]):
+                found.append(alike(left, right, one_side and u == v))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _in_blocks(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link of nodes (main, node, root, blocks) outside a group ``main`` (blocks[0] blocks) with its members (blocks[1]) and each other."""
+    outside, number = F.col("root") != F.col("main"), F.pmod(F.xxhash64("node"), F.when(F.col("root") != F.col("main"), F.col("blocks.few")).otherwise(F.col("blocks.own")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cell = lambda x, y, mixed, second: F.struct(x.alias("x"), y.alias("y"), F.lit(mixed).alias("mixed"), second.alias("second"))
+    i = F.col("number")
+    among = F.transform(upto("blocks.few"), lambda j: cell(F.least(i, j), F.greatest(i, j), False, i > j))
+    to_group = F.transform(upto("blocks.own"), lambda k: cell(i, k, True, F.lit(False)))
+    of_group = F.transform(upto("blocks.few"), lambda k: cell(k, i, True, F.lit(True)))
+    dealt = shared.withColumn("number", number).withColumn("cell", F.explode(F.when(outside, F.concat(among, to_group)).otherwise(of_group)))
+    blocks = dealt.select("main", "node", "root", "cell.*").join(nodes.select("node", "n", "sketch"), "node")
+    return blocks.groupBy("main", "x", "y", "mixed").applyInArrow(_block_pairs, "a long, b long").distinct()
+
+
+def _last_pairs(split: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links of what is outside a key's largest group; ``split`` has h, node, place, root, main of the keys of several groups."""
+    spark = texts.sparkSession
+    here = split.groupBy("h", "main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("root") != F.col("main")).alias("few"))
+    joined = here.groupBy("main").agg(F.sum(F.col("few") * (F.col("all") - (F.col("few") + 1) / 2)).alias("rows"))
+    shared = checkpoint(split.select("main", "node", "root").distinct())
+    sizes = shared.groupBy("main").agg(F.count_if(F.col("root") != F.col("main")).alias("few"), F.count_if(F.col("root") == F.col("main")).alias("own"))
+    compared = F.col("few") * (F.col("own") + F.col("few") / 2)
+    blocks = F.struct(*(F.ceil(F.col(c) / SIDE).alias(c) for c in ("few", "own")))
+    dense = checkpoint(sizes.join(joined, "main").where(compared <= WORTH * F.col("rows")).select("main", blocks.alias("blocks")))
+    pairs = checkpoint(_in_blocks(shared.join(bounded(dense, 32), "main"), nodes))
+    rest = split.join(bounded(dense, 32), "main", "left_anti")
+    few = rest.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
+    meet = few.join(rest, "h").where("own <> root and (root = main or a < node)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.shiftright("a_place", 32)).otherwise(F.shiftright("place", 32)).alias("n_a"), F.when(F.col("a") < F.col("node"), F.shiftright("place", 32)).otherwise(F.shiftright("a_place", 32)).alias("n_b"))
+    across = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(_enough_keys())
+    sparse = _verified(across.select("a", "b"), texts, nodes)
+    found = checkpoint(sparse.union(_linked(pairs, texts, nodes)))
+    del shared, dense, pairs, sparse
+    let_go(spark)
+    return found
+
+
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes with equal fingerprints, as stars, and with fingerprints that operator 3 links."""
     firsts = nodes.groupBy("bits").agg(F.min("node").alias("first"))
@@ -171,40 +281,48 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.union(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    found = simhash.components(links)
+    let_go(links.sparkSession)  # of the rounds
+    return found
+
+
 def roots(texts: DataFrame, marked: DataFrame, hot: DataFrame) -> DataFrame:
     """(node, root) for every node that links to another one; ``hot`` has the keys ``h`` of many texts."""
     nodes = marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
     nodes = checkpoint(nodes)
     links = _verified(_by_fingerprint(nodes), texts, nodes)
-    found = simhash.components(links)
+    found = _components(links)
     listed = marked.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("at", "h"))
     placed = listed.select("h", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place")).join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
     salted = placed.join(F.broadcast(hot.withColumn("salts", F.lit(SALTS))), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "salts")).cast("int"))  # COMMON keys at most
     part = Window.partitionBy("h", "salt")
     met = salted.withColumn("top", F.min(F.struct("root", "node", "place")).over(part)).withColumn("last", F.max("root").over(part))
-    keys = checkpoint(met.where("top.root < last or salts is not null").select("h", "node", "place", "root", "top", F.col("salts").isNotNull().alias("hot")))
-    tops = keys.where("hot").select("h", "top").distinct()  # SALTS for each hot key
-    least = tops.groupBy("h").agg(F.min("top").alias("least"))
-    stars = keys.select("root", "node", "place", "top").union(tops.join(least, "h").select("top.root", "top.node", "top.place", "least"))
-    stars = stars.where(F.col("root") != F.col("top.root")).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
-    del placed, salted, met
-    links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
-    found = simhash.components(links)
-    for drawn in (False, True):
-        placed = checkpoint(keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root")))
-        sizes = checkpoint(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("h", "main"))
-        split = placed.join(sizes, "h")
-        few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"), F.col("root").alias("own"))
-        if drawn:
-            break
-        member = split.where("root = main").groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "node").alias("order"), "node", "place")).alias("one"))
-        tries = few.join(member, "h").select("a", "a_place", F.col("one.node").alias("b"), F.col("one.place").alias("b_place")).where(_may_link("a_place", "b_place"))
-        links = checkpoint(links.union(_verified(tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
-        found = simhash.components(links)
-    meet = few.join(split, "h").where("own <> root and (root = main or a < node)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.shiftright("a_place", 32).alias("n_a"), F.shiftright("place", 32).alias("n_b"))
-    across = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(_enough_keys())
-    more = _verified(across.select("a", "b"), texts, nodes)
-    return found if more.isEmpty() else simhash.components(links.union(more))
+    met = met.where("top.root < last or salts is not null").select("h", "node", "place", "root", "top", F.col("salts").isNotNull().alias("hot"))
+    del placed, salted
+    with put_aside(met) as keys:
+        tops = keys.where("hot").select("h", "top").distinct()  # SALTS for each hot key
+        least = tops.groupBy("h").agg(F.min("top").alias("least"))
+        stars = keys.select("root", "node", "place", "top").union(tops.join(least, "h").select("top.root", "top.node", "top.place", "least"))
+        stars = stars.where(F.col("root") != F.col("top.root")).select("node", "place", "top.node", "top.place").toDF("b", "b_place", "a", "a_place").where(_may_link("a_place", "b_place"))
+        links = checkpoint(links.union(_verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
+        found = _components(links)
+        with put_aside(_split(keys, found)) as split:
+            few = split.where("root <> main").select("h", F.col("node").alias("a"), F.col("place").alias("a_place"))
+            member = split.where("root = main").groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "node").alias("order"), "node", "place")).alias("one"))
+            tries = few.join(member, "h").select("a", "a_place", F.col("one.node").alias("b"), F.col("one.place").alias("b_place")).where(_may_link("a_place", "b_place"))
+            links = checkpoint(links.union(_verified(tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes)))
+        found = _components(links)
+        with put_aside(_split(keys, found)) as split:
+            more = _last_pairs(split, texts, nodes)
+    return found if more.isEmpty() else _components(links.union(more))
+
+
+def _split(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """h, node, place, root, main (the largest group) of the keys that nodes of several groups share."""
+    placed = keys.select("h", "node", "place").join(bounded(found, 24), "node", "left").select("h", "node", "place", F.coalesce("root", "node").alias("root"))
+    sizes = checkpoint(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("h", "main"))
+    return placed.join(bounded(sizes, 24), "h")
 
 
 def grouped(df: DataFrame) -> DataFrame:
