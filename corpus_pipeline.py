@@ -19,6 +19,10 @@ from evokeline.llm import line_dedup, near_copies, packing, secret_scan, toxicit
 from evokeline.llm.common import checkpoint, documents, give_back, small_batches
 
 
+#: Bytes of words whose ids a packing task keeps. Workers stay between the stages, beside a heap that is full by then.
+WORDS = 12 << 20
+
+
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, as a table in the shared folder. What the driver needed for a model goes back to the system before."""
     path = scratch(spark, name)
@@ -56,7 +60,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their ids in two bytes each and their place in the training sequences."""
     with small_batches(spark):
-        return packing.pack(packing.pieces(docs, with_ids=2))
+        return packing.pack(packing.pieces(docs, with_ids=2, words=WORDS))
 
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", without_boilerplate), ("simhash_near_dedup", without_near_copies), ("secret_scans", without_secrets), ("best_fit_packing", packed)]

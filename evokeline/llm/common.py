@@ -60,7 +60,7 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+def small_batches(spark: SparkSession, most: int = 1 << 20) -> Iterator[None]:
     """Actions inside hand Python at most about ``most`` bytes at once; the session's own bound is back afterwards.
 
     For jobs of many steps in one executor: a batch is held several times over, by the JVM and by its worker.

@@ -40,8 +40,11 @@ CLOSING_ID = 1
 SALTS = 64
 
 
-def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; with_ids (2 or 4) adds the ids as little-endian integers of so many bytes."""
+def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: int = 0, words: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; with_ids (2 or 4) adds the ids as little-endian integers of so many bytes.
+
+    A task keeps the ids of at most ``words`` bytes of words from slice to slice; fewer take longer and give the same.
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     closing = CLOSING_ID.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * bool(with_ids)
@@ -49,7 +52,7 @@ def pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             rows = []
-            for doc, ids in zip(part.column(0).to_pylist(), packed_ids(part.column(1).to_pylist(), path), strict=True):
+            for doc, ids in zip(part.column(0).to_pylist(), packed_ids(part.column(1).to_pylist(), path, words), strict=True):
                 ids += closing
                 for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[i : i + 4 * capacity]

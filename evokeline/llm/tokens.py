@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 
 class RecentWords(dict):
     """Values that ``make`` gives, kept by key while they have at most ``most`` bytes or so; beyond, ``trim`` starts again.
@@ -85,8 +87,8 @@ def encoder(path: str) -> tuple[RecentWords, RecentWords]:
     return RecentWords(word, WORDS), RecentWords(whole, OTHERS)
 
 
-def packed_ids(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
+def packed_ids(texts: list[str], path: str, most: int | None = None) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers; afterwards at most ``most`` bytes of words (or WORDS) are kept."""
     words, others = encoder(path)
     spaced = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
     split = pc.split_pattern(spaced, " ")
@@ -105,11 +107,12 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
     ends = np.cumsum(n)
     packed = ids[np.repeat(starts[place] - ends + n, n) + np.arange(n.sum())]
     bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
-    words.trim()
+    words.trim(most)
     others.trim()
     return [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def forget_words() -> None:
-    """Let go of vocabulary and caches at a task's end: its worker may serve other jobs for long."""
+    """Let go of vocabulary and caches at a task's end, and give their memory back: its worker may serve other jobs for long."""
     encoder.cache_clear()
+    give_back()
