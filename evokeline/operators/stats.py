@@ -154,8 +154,8 @@ LARGE_MEAN, LARGE_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.0
 MOST_VALUES = 5000
 
 
-def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, n, w, p): the Shapiro-Wilk statistic by Royston's coefficients and transform, for 3 to ``MOST_VALUES`` values; else, and for constant ones, null.
+def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str, most: int | None = MOST_VALUES) -> DataFrame:
+    """(keys, n, w, p): the Shapiro-Wilk statistic by Royston's coefficients and transform, for 3 to ``most`` values (None: any number); else, and for constant ones, null.
 
     The expected normal order statistics are columns of the ranks, and a group's sums give the statistic: missing values don't count.
     """
@@ -171,7 +171,8 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         edge(n, "_m").alias("_m1"), edge(n - 1, "_m").alias("_m2"), (edge(n, "_x") - edge(F.lit(1), "_x")).alias("_r1"), (edge(n - 1, "_x") - edge(F.lit(2), "_x")).alias("_r2"),
     )
     w, p = _royston()
-    g = g.withColumn("w", F.when((F.col("n") >= 3) & (F.col("n") <= MOST_VALUES) & (F.col("_ss") > 1e-300), F.least(F.lit(1.0), w)))
+    held = F.lit(True) if most is None else F.col("n") <= most
+    g = g.withColumn("w", F.when((F.col("n") >= 3) & held & (F.col("_ss") > 1e-300), F.least(F.lit(1.0), w)))
     return g.select(*keys, "n", "w", p.alias("p"))
 
 
