@@ -208,16 +208,16 @@ def normality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "ks", (-F.col("n") - F.col("_s") / F.col("n")).alias("ad"), "jb", "jb_p", (F.col("jb_p") > 0.05).alias("normal"))
 
 
-def adaptive_test(df: DataFrame, keys: Sequence[str], value: str, mu: float, alternative: str = "two-sided", exact: bool = True, normal: str = "shapiro") -> DataFrame:
+def adaptive_test(df: DataFrame, keys: Sequence[str], value: str, mu: float, alternative: str = "two-sided", exact: bool = True, normal: str = "shapiro", most: int | None = MOST_VALUES) -> DataFrame:
     """(keys, test, stat, p): t for small samples, for many zeros and for normal ones, else the signed rank.
 
-    ``normal`` tells what normal ones are: those of a Shapiro-Wilk p above 0.05 (``shapiro``; of more than ``MOST_VALUES`` values by
+    ``normal`` tells what normal ones are: those of a Shapiro-Wilk p above 0.05 (``shapiro``; of more than ``most`` values by
     the other rule), or of a Jarque-Bera p above it (``jb``).
     """
     _, jb = jarque_bera(value)
     shape = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg((F.col(value) == mu).cast("double")).alias("_zeros"), jb.alias("_p"))
     if normal == "shapiro":
-        shape = shape.join(shapiro_wilk(df, keys, value).select(*keys, F.col("p").alias("_sw")), list(keys), "left").withColumn("_p", F.coalesce("_sw", "_p"))
+        shape = shape.join(shapiro_wilk(df, keys, value, most).select(*keys, F.col("p").alias("_sw")), list(keys), "left").withColumn("_p", F.coalesce("_sw", "_p"))
     use_t = (F.col("_n") < 5) | (F.col("_zeros") > 0.5) | (F.col("_p") > 0.05)
     t = ttest_1samp(df, keys, value, mu, alternative, exact).select(*keys, F.col("stat").alias("_ts"), F.col("p").alias("_tp"))
     w = wilcoxon_1samp(df, keys, value, mu, alternative).select(*keys, F.col("stat").alias("_ws"), F.col("p").alias("_wp"))

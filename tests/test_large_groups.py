@@ -47,3 +47,10 @@ def test_shapiro_wilk_of_large_groups(spark, large):
         assert abs(ours[g]["w"] - r["w"]) < 2e-6 and abs(ours[g]["p"] - r["p"]) < 2e-6
     df = spark.createDataFrame([("many", float(k % 97)) for k in range(SIZE)], "k string, v double")
     assert stats.shapiro_wilk(df, ["k"], "v").first()["w"] is None and 0 < stats.shapiro_wilk(df, ["k"], "v", None).first()["w"] < 1
+
+
+def test_adaptive_test_of_large_groups(spark, large):
+    ours, theirs = both(spark, large, "adaptive_test")
+    assert {g: r["test"] for g, r in theirs.items()} == {"three": "wilcoxon", "normal": "ttest", "skewed": "wilcoxon"}
+    for g, r in theirs.items():
+        assert ours[g]["test"] == r["test"] and abs(ours[g]["stat"] - r["stat"]) < 2e-6 and abs(ours[g]["p"] - r["p"]) < 2e-6
