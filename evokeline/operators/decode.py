@@ -8,7 +8,6 @@ by (keys, repeat, fold, t): one plan for all subjects, comparisons and times.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import drawn
-from ..functions.session import cut
 from . import models
 
 
@@ -129,43 +127,14 @@ def linear_scorer(folded: DataFrame, keys: Sequence[str], kind: str = "dlda", **
 STEPS, DAMPING, PENALTY = 6, 0.5, 1.0
 
 
-def logistic(folded: DataFrame, keys: Sequence[str], steps: int = STEPS) -> DataFrame:
+def logistic(folded: DataFrame, keys: Sequence[str], steps: int = STEPS, rows: int = models.ROWS) -> DataFrame:
     """(keys, fold, t, trial, y, score): balanced, penalised logistic regression of each fold and time on scaled channels.
 
-    Each step moves every coefficient by its own gradient over its own curvature, damped: sums over trials, so a recording
-    may be of any size. A row is repeated for each fold: it trains all folds but its own, which it tests. The constant is a
-    channel without a name, a value of 1 and no penalty.
+    Each step moves every coefficient by its own gradient over its own curvature, damped: sums over blocks of at most ``rows``
+    trials, so a recording may be of any size. The constant has no penalty.
     """
-    own, by = [*keys, "t"], [*keys, "fold", "t"]
-    sums = folded.groupBy(*keys, "fold", "t", "channel").agg(*_sums())
-    w = Window.partitionBy(*own, "channel")
-    rest = {c: F.sum(c).over(w) - F.coalesce(c, F.lit(0)) for c in ("n0", "s0", "q0", "n1", "s1", "q1")}
-    train = sums.select(*by, "channel", *[v.alias(c) for c, v in rest.items()]).where("n0 > 0 and n1 > 0")
-    n = F.col("n0") + F.col("n1")
-    mean = (F.col("s0") + F.col("s1")) / n
-    variance = (F.col("q0") + F.col("q1")) / n - mean * mean
-    scale = train.select(*by, "channel", mean.alias("_m"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(F.lit(1.0)).alias("_s"), (n / (2 * F.col("n0"))).alias("_w0"), (n / (2 * F.col("n1"))).alias("_w1"))
-    rows = folded.withColumnRenamed("fold", "_own").join(scale, [*own, "channel"])
-    z = rows.select(*by, "trial", "y", "channel", (F.col("fold") != F.col("_own")).alias("_trains"), ((F.col("x") - F.col("_m")) / F.col("_s")).alias("_z"), F.when(F.col("y") == 1, F.col("_w1")).otherwise(F.col("_w0")).alias("_w"))
-    one = z.groupBy(*by, "trial", "y", "_trains").agg(F.first("_w").alias("_w")).withColumn("channel", F.lit(None).cast(z.schema["channel"].dataType)).withColumn("_z", F.lit(1.0))
-    rows = cut(z.unionByName(one))
-    beta = rows.select(*by, "channel").distinct().withColumn("_b", F.lit(0.0))
-    score = F.sum(F.col("_b") * F.col("_z")).over(Window.partitionBy(*by, "trial"))
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-F.col("_score")))
-        at = _with(rows, beta, by).withColumn("_score", score).where("_trains").withColumn("_p", p)
-        penalty = F.when(F.col("channel").isNull(), F.lit(0.0)).otherwise(F.lit(1 / PENALTY))
-        moved = at.groupBy(*by, "channel").agg(F.sum(F.col("_w") * (F.col("_p") - F.col("y")) * F.col("_z")).alias("_g"), F.sum(F.col("_w") * F.col("_p") * (1 - F.col("_p")) * F.col("_z") * F.col("_z")).alias("_h"), F.first("_b").alias("_b"))
-        beta = moved.select(*by, "channel", (F.col("_b") - DAMPING * (F.col("_g") + penalty * F.col("_b")) / (F.col("_h") + penalty)).alias("_b"))
-    held = _with(rows.where("not _trains"), cut(beta), by)
-    return held.groupBy(*by, "trial", "y").agg(F.sum(F.col("_b") * F.col("_z")).alias("score"))
-
-
-def _with(rows: DataFrame, beta: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The rows with the coefficient of their channel; the constant's channel is null."""
-    b = beta.select(*[F.col(c).alias(f"_{c}") for c in (*by, "channel")], "_b")
-    same = reduce(lambda x, y: x & y, [rows[c] == b[f"_{c}"] for c in by], rows["channel"].eqNullSafe(b["_channel"]))
-    return rows.join(b, same).drop(*[f"_{c}" for c in (*by, "channel")])
+    scores = models.diagonal_logistic(folded, [*keys, "t"], steps, DAMPING, PENALTY, rows=rows)
+    return scores.select(*keys, "fold", "t", "trial", "y", "score")
 
 
 def auc(df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
